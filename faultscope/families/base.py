@@ -1,27 +1,24 @@
-"""What a family is made of: an ordered list of line signatures and its sentences."""
+"""What a family is made of: an ordered list of line signatures and its sentences.
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+Families are data. Payload values and special sentences are Spark SQL snippets:
+``{1}`` stands for a group of the pattern, ``{key}`` for a payload value.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import re
+from dataclasses import dataclass, field
 
-Group = Callable[[int], Column]
+from faultscope.functions.sql import literal, regex
 
 
 @dataclass(frozen=True)
 class Field:
-    """One payload entry. ``value`` is a group number, or a function of the
-    group accessor. An ``optional`` entry is left out when its text is empty."""
+    """One payload entry: a group number, or a snippet over groups. An ``optional``
+    entry is left out when its text is empty; a null one always is."""
 
     key: str
-    value: int | Callable[[Group], Column]
+    value: int | str
     optional: bool = False
 
-    def column(self, group: Group) -> Column:
-        col = group(self.value) if isinstance(self.value, int) else self.value(group)
-        return F.nullif(col, F.lit("")) if self.optional else col
-
 
 @dataclass(frozen=True)
 class Signature:
@@ -30,28 +27,42 @@ class Signature:
     ``probes`` are literals of which one occurs in every matching line: they are
     searched before the pattern because Catalyst does not take literals out of a
     regular expression. Patterns are Java syntax; ``(?U)`` gives ``\\w \\s \\d``
-    their Unicode meaning. ``unless`` drops matching lines that say nothing.
+    their Unicode meaning. ``unless`` drops matching lines that say nothing;
+    ``expand`` makes several observations of one line.
     """
 
     kind: str
     probes: tuple[str, ...]
     pattern: str
     fields: tuple[Field, ...] = ()
-    unless: Callable[[Group], Column] | None = None
+    unless: str | None = None
+    expand: str | None = None
+
+    def _fill(self, snippet: str, line: str) -> str:
+        return re.sub(r"\{(\d)\}", lambda m: f"regexp_extract({line}, {regex(self.pattern)}, {m[1]})", snippet)
 
-    def matches(self, line: Column) -> Column:
-        probe = F.contains(line, F.lit(self.probes[0]))
-        for literal in self.probes[1:]:
-            probe = probe | F.contains(line, F.lit(literal))
-        return probe & line.rlike(self.pattern)
+    def matches(self, line: str) -> str:
+        probes = " or ".join(f"contains({line}, {literal(p)})" for p in self.probes)
+        return f"(({probes}) and {line} rlike {regex(self.pattern)})"
 
-    def payload(self, line: Column) -> Column:
-        def group(n: int) -> Column:
-            return F.regexp_extract(line, self.pattern, n)
+    def payload(self, line: str) -> str:
         if not self.fields:
-            return F.create_map().cast("map<string,string>")
-        entries = [x for f in self.fields for x in (F.lit(f.key), f.column(group).cast("string"))]
-        return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+            return "cast(map() as map<string,string>)"
+        entries = []
+        for f in self.fields:
+            value = "{%d}" % f.value if isinstance(f.value, int) else f.value
+            value = self._fill(f"nullif({value}, '')" if f.optional else value, line)
+            entries.append(f"{literal(f.key)}, cast({value} as string)")
+        whole = f"map({', '.join(entries)})"
+        sure = all(isinstance(f.value, int) and not f.optional for f in self.fields)
+        return whole if sure else f"map_filter({whole}, (k, v) -> v is not null)"
+
+    def observations(self, line: str) -> str:
+        """array<struct<ordinal, kind, data>> of a matching line."""
+        if self.expand:
+            return self._fill(self.expand, line)
+        one = f"array(struct(0 as ordinal, {literal(self.kind)} as kind, {self.payload(line)} as data))"
+        return f"case when not ({self._fill(self.unless, line)}) then {one} end" if self.unless else one
 
 
 @dataclass(frozen=True)
@@ -66,27 +77,29 @@ class Context:
     required: bool = False
 
 
+class Sql(str):
+    """A sentence that is a snippet rather than a template."""
+
+
 @dataclass(frozen=True)
 class Family:
     name: str
     signatures: tuple[Signature, ...]
-    summaries: dict[str, Callable[[Callable[[str], Column]], Column]]
+    summaries: dict[str, str]
     context: Context | None = None
     rules: list[dict] = field(default_factory=list)
 
 
-def say(template: str) -> Callable[[Callable[[str], Column]], Column]:
-    """Sentence builder: ``{key}`` is a payload value, ``{key:120}`` cuts it."""
-    import re
+def sentence(template: str, data: str) -> str:
+    """SQL of a sentence: ``{key}`` is a payload value, ``{key:120}`` cuts it."""
+    if isinstance(template, Sql):
+        return re.sub(r"\{(\w+)\}", lambda m: f"{data}[{literal(m[1])}]", template)
     parts = re.split(r"\{(\w+)(?::(\d+))?\}", template)
-
-    def build(get: Callable[[str], Column]) -> Column:
-        out = []
-        for i in range(0, len(parts), 3):
-            if parts[i]:
-                out.append(F.lit(parts[i]))
-            if i + 1 < len(parts):
-                value = F.coalesce(get(parts[i + 1]), F.lit("?"))
-                out.append(F.left(value, F.lit(int(parts[i + 2]))) if parts[i + 2] else value)
-        return F.concat(*out)
-    return build
+    out = []
+    for i in range(0, len(parts), 3):
+        if parts[i]:
+            out.append(literal(parts[i]))
+        if i + 1 < len(parts):
+            value = f"coalesce({data}[{literal(parts[i + 1])}], '?')"
+            out.append(f"left({value}, {parts[i + 2]})" if parts[i + 2] else value)
+    return f"concat({', '.join(out)})"

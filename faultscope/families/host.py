@@ -1,27 +1,47 @@
 """Raspberry Pi host captures."""
 
-from pyspark.sql import functions as F
+from faultscope.families.base import Family, Field, Signature, Sql
+from faultscope.functions.bits import decode_sql, describe_sql, hex_of_decimal_sql
+from faultscope.functions.sql import within_let
 
-from faultscope.families.base import Family, Field, Signature, say
-from faultscope.functions.bits import decode_hex, hex_of_decimal
-from faultscope.functions.numbers import div
 
+def _listed(values: str, quote: str = '"') -> str:
+    """JSON text of a list of plain words or numbers."""
+    return f"if(size({values}) = 0, '[]', concat('[{quote}', array_join({values}, '{quote},{quote}'), '{quote}]'))"
 
-def _bits(name: str):
-    def of(g):
-        return decode_hex(F.when(g(1) != "", g(1)).otherwise(hex_of_decimal(g(2))))[name]
-    return of
 
+def _map(**entries: str) -> str:
+    return "map(" + ", ".join(f"'{key}', cast({value} as string)" for key, value in entries.items()) + ")"
 
-def _raw(g):
-    """Decimal text of the reading, where it fits 38 digits."""
-    digits = F.ltrim(F.upper(g(1)), F.lit("0"))
-    low = F.conv(F.right(digits, F.lit(15)), 16, 10).cast("decimal(38,0)")
-    high = F.conv(F.when(F.length(digits) > 15, F.left(digits, F.length(digits) - 15)).otherwise("0"), 16, 10)
-    value = F.when(F.length(digits) <= 15, F.coalesce(low, F.lit(0).cast("decimal(38,0)"))).when(
-        F.length(digits) <= 30,
-        (high.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low).try_cast("decimal(38,0)"))
-    return F.when(g(1) != "", value.cast("string")).otherwise(g(2).try_cast("decimal(38,0)").cast("string"))
+
+def _named(keys: str) -> str:
+    return _map(conditions=describe_sql(keys), condition_keys=_listed(keys), count=f"size({keys})", hex="d.hex")
+
+
+# Decimal text of the reading, where it fits 38 digits.
+_DIGITS = "substr(d.hex, 3)"
+_RAW = (f"case when {{2}} <> '' then try_cast({{2}} as decimal(38,0)) when length({_DIGITS}) <= 15 then cast(conv({_DIGITS}, 16, 10) as decimal(38,0)) "
+        f"when length({_DIGITS}) <= 30 then cast(conv(left({_DIGITS}, length({_DIGITS}) - 15), 16, 10) as decimal(19,0)) "
+        f"* cast({1 << 60} as decimal(19,0)) + cast(conv(right({_DIGITS}, 15), 16, 10) as decimal(19,0)) end")
+_WHOLE = "map_filter(" + _map(
+    hex="d.hex", dec="nullif({2}, '')", raw=_RAW, live=_listed("d.live"), sticky=_listed("d.sticky"),
+    unknown_bits=_listed("d.unknown_bits", ""), healthy="d.healthy") + ", (k, v) -> v is not null)"
+
+# A reading and the states it stands for, in order: what holds now, what happened
+# earlier, bits nobody documents, or nothing at all.
+_STATES = (
+    ("throttled_bitfield", "true", _WHOLE),
+    ("throttle_active", "size(d.live) > 0", _named("d.live")),
+    ("throttle_occurred", "size(d.sticky) > 0", _named("d.sticky")),
+    ("throttle_unknown_bits", "size(d.unknown_bits) > 0",
+     _map(bits="array_join(transform(d.unknown_bits, b -> cast(b as string)), ', ')", bit_numbers=_listed("d.unknown_bits", ""), hex="d.hex")),
+    ("throttle_clear", "d.healthy", _map(hex="d.hex")),
+)
+_READING = within_let(
+    decode_sql(f"if({{1}} <> '', {{1}}, {hex_of_decimal_sql('{2}')})"), "d",
+    "array_compact(array(" + ", ".join(
+        f"case when {cond} then struct({i} as ordinal, '{kind}' as kind, {data} as data) end"
+        for i, (kind, cond, data) in enumerate(_STATES)) + "))")
 
 
 # The tools' and the kernel's formats, in matching order.
@@ -30,19 +50,15 @@ SIGNATURES = (
     Signature(
         "throttled_bitfield", ("throttled",),
         r"(?U)throttled\s*=\s*(?:0x([0-9a-fA-F]{1,32})|(\d{1,32}))\b",
-        (Field("hex", lambda g: _bits("hex")(g)), Field("dec", 2, optional=True), Field("raw", _raw),
-         Field("live", lambda g: F.to_json(_bits("live")(g))),
-         Field("sticky", lambda g: F.to_json(_bits("sticky")(g))),
-         Field("unknown_bits", lambda g: F.to_json(_bits("unknown_bits")(g))),
-         Field("healthy", lambda g: _bits("healthy")(g)))),
+        expand=_READING),
     Signature(
         "soc_temperature", ("temp",),
-        r"(?U)temp\s*=\s*([\d.]+)'?C", (Field("celsius", lambda g: F.coalesce(g(1).try_cast("double").cast("string"), g(1))),)),
+        r"(?U)temp\s*=\s*([\d.]+)'?C", (Field("celsius", "coalesce(cast(try_cast({1} as double) as string), {1})"),)),
     Signature(
         "arm_clock", ("frequency(",),
         r"(?U)frequency\((\d{1,8})\)\s*=\s*(\d{1,20})",
-        (Field("clock_id", 1), Field("hertz", lambda g: g(2).cast("decimal(20,0)")),
-         Field("mhz", lambda g: div(g(2).cast("decimal(20,0)"), F.lit(1_000_000).cast("decimal(20,0)"))))),
+        (Field("clock_id", 1), Field("hertz", "cast({2} as decimal(20,0))"),
+         Field("mhz", "cast({2} as decimal(20,0)) div 1000000"))),
     Signature(
         "oom_kill", ("Out of memory: Killed process ",),
         r"(?U)Out of memory: Killed process (\d{1,12}) \(([^)\n]{1,256})\)",
@@ -58,24 +74,22 @@ SIGNATURES = (
     Signature(
         "allocation_failed", ("Failed to allocate memory for requested buffer of size ", "bad_alloc"),
         r"(?U)Failed to allocate memory for requested buffer of size (\d{1,32})|bad_alloc",
-        (Field("bytes", lambda g: F.nullif(g(1), F.lit("")).try_cast("decimal(38,0)")),
-         Field("mib", lambda g: F.round(F.nullif(g(1), F.lit("")).try_cast("double") / 1024 / 1024, 1)))),
+        (Field("bytes", "try_cast(nullif({1}, '') as decimal(38,0))"),
+         Field("mib", "round(try_cast(nullif({1}, '') as double) / 1024 / 1024, 1)"))),
 )
 
 SUMMARIES = {
-    "throttled_bitfield": lambda get: F.concat(F.lit("get_throttled reads "), F.coalesce(get("dec"), get("hex"))),
-    "throttle_active": say("Now: {conditions}"),
-    "throttle_occurred": say("Earlier: {conditions}"),
-    "throttle_unknown_bits": say("Bits without documented meaning are set: {bits}"),
-    "throttle_clear": say("No throttling and no undervoltage, now or earlier"),
-    "soc_temperature": say("SoC temperature {celsius} °C"),
-    "arm_clock": say("Arm clock {mhz} MHz"),
-    "oom_kill": say("The kernel killed '{process}' (pid {pid}) for lack of memory"),
-    "oom_invoked": say("'{invoker}' ran into the out-of-memory killer"),
-    "oom_memory_summary": say("Memory state at the time of the kill"),
-    "allocation_failed": lambda get: F.coalesce(
-        F.concat(F.lit("A buffer of "), get("bytes"), F.lit(" bytes could not be allocated")),
-        F.lit("An allocation failed (bad_alloc)")),
+    "throttled_bitfield": Sql("concat('get_throttled reads ', coalesce({dec}, {hex}))"),
+    "throttle_active": "Now: {conditions}",
+    "throttle_occurred": "Earlier: {conditions}",
+    "throttle_unknown_bits": "Bits without documented meaning are set: {bits}",
+    "throttle_clear": "No throttling and no undervoltage, now or earlier",
+    "soc_temperature": "SoC temperature {celsius} °C",
+    "arm_clock": "Arm clock {mhz} MHz",
+    "oom_kill": "The kernel killed '{process}' (pid {pid}) for lack of memory",
+    "oom_invoked": "'{invoker}' ran into the out-of-memory killer",
+    "oom_memory_summary": "Memory state at the time of the kill",
+    "allocation_failed": Sql("coalesce(concat('A buffer of ', {bytes}, ' bytes could not be allocated'), 'An allocation failed (bad_alloc)')"),
 }
 
 _DOCS = "https://www.raspberrypi.com/documentation/computers/os.html"

@@ -1,7 +1,5 @@
 """ONNX Runtime profiling traces: sentences and rules (facts come from aggregates)."""
 
-from faultscope.families.base import say
-
 NAME = "ort_profile"
 
 # What counts as a session phase, a notable share and a reliable run.
@@ -11,12 +9,12 @@ RELIABLE_ITERATIONS = 3
 KERNEL_SUFFIX = "_kernel_time"
 
 SUMMARIES = {
-    "session_phase": say("{phase} took {ms} ms"),
-    "profile_summary": say("{unique_nodes} node(s) in about {iterations} iteration(s), {total_node_ms} ms in all"),
-    "few_iterations": say("Only about {iterations} iteration(s): warm-up is part of the timings"),
-    "op_cost": say("{op}: {ms} ms, {share_pct}% of the measured node time"),
-    "provider_time_split": say("Node time is divided among {provider_count} providers, {cpu_share_pct}% on the CPU"),
-    "slowest_node": say("Slowest single node: '{node}' ({op}), {ms} ms"),
+    "session_phase": "{phase} took {ms} ms",
+    "profile_summary": "{unique_nodes} node(s) in about {iterations} iteration(s), {total_node_ms} ms in all",
+    "few_iterations": "Only about {iterations} iteration(s): warm-up is part of the timings",
+    "op_cost": "{op}: {ms} ms, {share_pct}% of the measured node time",
+    "provider_time_split": "Node time is divided among {provider_count} providers, {cpu_share_pct}% on the CPU",
+    "slowest_node": "Slowest single node: '{node}' ({op}), {ms} ms",
 }
 
 _DOCS = "https://onnxruntime.ai/docs/performance/tune-performance/profiling-tools.html"

@@ -5,10 +5,8 @@ decoded exactly instead of overflowing a bigint.
 """
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from faultscope.functions.numbers import div
-from faultscope.functions.text import let
+from faultscope.functions.sql import let_sql, literal, within_let
 
 # Documented bits. Live conditions, then "has occurred" records.
 LIVE = {
@@ -28,54 +26,45 @@ DOCUMENTED = sorted({**LIVE, **STICKY})
 _HALF = 1 << 60
 
 
-def hex_of_decimal(digits: Column) -> Column:
+def hex_of_decimal_sql(digits: str) -> str:
     """Hex text of up to 32 decimal digits."""
-    number = digits.cast("decimal(38,0)")
-    high = div(number, F.lit(_HALF).cast("decimal(38,0)")).cast("bigint")
+    number, half = f"cast({digits} as decimal(38,0))", f"cast({_HALF} as decimal(19,0))"
+    low = f"cast({number} - h * {half} as bigint)"
+    return within_let(f"cast({number} div {half} as decimal(19,0))", "h",
+                      f"if(h = 0, hex({low}), concat(hex(cast(h as bigint)), lpad(hex({low}), 15, '0')))")
 
-    def join(h: Column) -> Column:
-        low = (number - h.cast("decimal(19,0)") * F.lit(_HALF).cast("decimal(19,0)")).cast("bigint")
-        return F.when(h == 0, F.hex(low)).otherwise(F.concat(F.hex(h), F.lpad(F.hex(low), 15, "0")))
-    return let(high, join)
 
+def _is_set(bit: str) -> str:
+    return f"(shiftright(instr('0123456789ABCDEF', substr(h, length(h) - cast({bit} div 4 as int), 1)) - 1, {bit} % 4) & 1) = 1"
 
-def normal_hex(digits: Column) -> Column:
-    """Upper case without leading zeros; zero is ``0``."""
-    bare = F.ltrim(F.upper(digits), F.lit("0"))
-    return F.when(bare == "", F.lit("0")).otherwise(bare)
 
+def _named(table: dict) -> str:
+    entries = ", ".join(f"struct({bit} as bit, '{key}' as key)" for bit, (key, _) in table.items())
+    return f"transform(filter(array({entries}), e -> e.bit < length(h) * 4 and {_is_set('e.bit')}), e -> e.key)"
 
-def _is_set(hexa: Column, bit: Column) -> Column:
-    digit = F.substring(hexa, F.length(hexa) - div(bit, 4).cast("int"), F.lit(1))
-    value = F.instr(F.lit("0123456789ABCDEF"), digit) - 1
-    return F.floor(value / F.pow(F.lit(2), bit % 4)).cast("bigint") % 2 == 1
 
-
-def decode_hex(digits: Column) -> Column:
+def decode_sql(digits: str) -> str:
     """struct<hex, live, sticky, unknown_bits, healthy> of hexadecimal digits."""
-    def named(h: Column, table: dict) -> Column:
-        entries = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(key).alias("key")) for b, (key, _) in table.items()])
-        hit = F.filter(entries, lambda e: (e["bit"] < F.length(h) * 4) & _is_set(h, e["bit"]))
-        return F.transform(hit, lambda e: e["key"])
+    documented = ", ".join(map(str, DOCUMENTED))
+    return within_let(
+        f"coalesce(nullif(ltrim('0', upper({digits})), ''), '0')", "h",
+        f"struct(concat('0x', h) as hex, {_named(LIVE)} as live, {_named(STICKY)} as sticky, "
+        f"filter(sequence(0, length(h) * 4 - 1), b -> b not in ({documented}) and {_is_set('b')}) as unknown_bits, h = '0' as healthy)")
+
 
-    def decode(h: Column) -> Column:
-        unknown = F.filter(F.sequence(F.lit(0), F.length(h) * 4 - 1),
-                           lambda b: ~b.isin(DOCUMENTED) & _is_set(h, b))
-        return F.struct(F.concat(F.lit("0x"), h).alias("hex"), named(h, LIVE).alias("live"),
-                        named(h, STICKY).alias("sticky"), unknown.alias("unknown_bits"),
-                        (h == "0").alias("healthy"))
-    return let(normal_hex(digits), decode)
+def describe_sql(keys: str) -> str:
+    """Prose list of condition keys; an unknown key stands for itself."""
+    prose = "map(" + ", ".join(f"{literal(k)}, {literal(p)}" for k, p in (*LIVE.values(), *STICKY.values())) + ")"
+    return f"array_join(transform({keys}, k -> coalesce(try_element_at({prose}, k), k)), ', ')"
 
 
 def decode_bitfield(value: Column) -> Column:
-    """The same for a bigint, with ``raw``; a negative value is refused (null)."""
-    value = value.cast("bigint")
-    return F.when(value >= 0, let(decode_hex(F.hex(value)), lambda d: F.struct(
-        value.alias("raw"), d["hex"].alias("hex"), d["live"].alias("live"), d["sticky"].alias("sticky"),
-        d["unknown_bits"].alias("unknown_bits"), d["healthy"].alias("healthy"))))
+    """struct<raw, hex, live, sticky, unknown_bits, healthy> of a bigint; a negative
+    value is refused (null)."""
+    decoded = within_let(decode_sql("hex(v)"), "d",
+                         "struct(v as raw, d.hex as hex, d.live as live, d.sticky as sticky, d.unknown_bits as unknown_bits, d.healthy as healthy)")
+    return let_sql(value.cast("bigint"), "v", f"case when v >= 0 then {decoded} end")
 
 
 def describe_bits(keys: Column) -> Column:
-    """Prose list of condition keys; an unknown key stands for itself."""
-    prose = F.create_map(*[F.lit(x) for pair in (*LIVE.values(), *STICKY.values()) for x in pair])
-    return F.array_join(F.transform(keys, lambda k: F.coalesce(F.try_element_at(prose, k), k)), ", ")
+    return let_sql(keys, "ks", describe_sql("ks"))

@@ -5,7 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultscope.functions.text import let, visible
+from faultscope.functions.sql import let_sql, literal, regex, within_let
+from faultscope.functions.text import visible
 
 
 @dataclass(frozen=True)
@@ -62,42 +63,34 @@ _ASSIGNED_REPLACEMENT = f"$1$2$3[REDACTED:{_ASSIGNED.kind}]$2$3"
 KINDS = [shape.kind for shape in SHAPES]
 
 
-def _mask_step(state: Column, shape: SecretShape) -> Column:
-    def apply(s: Column) -> Column:
-        text = s["text"]
-        haystack = F.lower(text) if shape.fold else text
-        probe = F.lit(False)
-        for literal in shape.probes:
-            probe = probe | F.contains(haystack, F.lit(literal))
-        replacement = _ASSIGNED_REPLACEMENT if shape is _ASSIGNED else shape.replacement
-        return F.when(probe & text.rlike(shape.pattern), F.struct(
-            F.regexp_replace(text, F.lit(shape.pattern), F.lit(replacement)).alias("text"),
-            F.concat(s["kinds"], F.array(F.lit(shape.kind))).alias("kinds"))).otherwise(s)
-    return let(state, apply)
+def _probe(shape: SecretShape, text: str) -> str:
+    haystack = f"lower({text})" if shape.fold else text
+    return "(" + " or ".join(f"contains({haystack}, {literal(p)})" for p in shape.probes) + ")"
+
 
+def _clean(text: str) -> str:
+    return f"struct({text} as text, cast(array() as array<string>) as kinds)"
 
-def may_hold_secret(text: Column) -> Column:
-    """Cheap screen: no shape can match where this is false."""
-    folded = F.lower(text)
-    hit = F.lit(False)
+
+def _chain() -> str:
+    """SQL over ``t``: the shapes one after the other, each over the text the earlier
+    ones left. Text without any probe skips them all."""
+    state = _clean("t")
     for shape in SHAPES:
-        for literal in shape.probes:
-            hit = hit | F.contains(folded if shape.fold else text, F.lit(literal))
-    return hit
+        replacement = _ASSIGNED_REPLACEMENT if shape is _ASSIGNED else shape.replacement
+        masked = (f"struct(regexp_replace(s.text, {regex(shape.pattern)}, {literal(replacement)}) as text, "
+                  f"concat(s.kinds, array({literal(shape.kind)})) as kinds)")
+        state = within_let(state, "s", f"if({_probe(shape, 's.text')} and s.text rlike {regex(shape.pattern)}, {masked}, s)")
+    return f"if({' or '.join(_probe(shape, 't') for shape in SHAPES)}, {state}, {_clean('t')})"
+
+
+_REDACTED = _chain()
 
 
 def redact(text: Column) -> Column:
     """struct<text, kinds array<string>>: masked text and the kinds found, in
-    order of application. A later shape sees the text the earlier ones left."""
-    def clean(value: Column) -> Column:
-        return F.struct(value.alias("text"), F.array().cast("array<string>").alias("kinds"))
-
-    def chain(value: Column) -> Column:
-        state = clean(value)
-        for shape in SHAPES:
-            state = _mask_step(state, shape)
-        return F.when(may_hold_secret(value), state).otherwise(clean(value))
-    return let(text, chain)
+    order of application."""
+    return let_sql(text, "t", _REDACTED)
 
 
 def secret_kinds(text: Column) -> Column:
@@ -107,6 +100,5 @@ def secret_kinds(text: Column) -> Column:
 def sanitize(text: Column, redact_text: bool = True) -> Column:
     """struct<text, kinds>: mask first, then make every character visible. The
     second pass runs even when masking is off."""
-    if not redact_text:
-        return F.struct(visible(text).alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return let(redact(text), lambda r: F.struct(visible(r["text"]).alias("text"), r["kinds"].alias("kinds")))
+    masked = redact(text) if redact_text else let_sql(text, "t", _clean("t"))
+    return F.transform(F.array(masked), lambda r: F.struct(visible(r["text"]).alias("text"), r["kinds"].alias("kinds")))[0]

@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultscope.functions.sql import char, let_sql, regex
+
 # Code points that may not reach a reader raw. TAB and LF stay.
 CONTROL = [*range(0x00, 0x09), *range(0x0B, 0x20), *range(0x7F, 0xA0)]
 INVISIBLE = [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065),
@@ -28,11 +30,6 @@ _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip_unicode(text: Column) -> Column:
     """Trim Unicode white space. A trim set is linear where a regex on the end
     of a long run of blanks is quadratic."""
@@ -41,30 +38,30 @@ def strip_unicode(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; a final line break opens no further line."""
-    def drop_tail(parts: Column) -> Column:
-        size = F.size(parts)
-        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), size - 1)).otherwise(parts)
-    return let(F.split(text, LINE_BREAK, -1), drop_tail)
+    return let_sql(F.split(text, LINE_BREAK, -1), "p", "if(element_at(p, -1) = '', slice(p, 1, size(p) - 1), p)")
+
+
+def _shown(codes: list[int], klass: str, mark: Callable[[int], str]) -> str:
+    """SQL over ``t``: every listed character replaced by its mark. Most text holds
+    none, so the class is tried first."""
+    out = "t"
+    for code in codes:
+        out = f"replace({out}, {char(code)}, '{mark(code)}')"
+    return f"if(t rlike {regex(klass)}, {out}, t)"
+
+
+_CONTROL_SHOWN = _shown(CONTROL, CONTROL_CLASS, lambda c: "<ESC>" if c == 0x1B else f"<0x{c:02x}>")
+_INVISIBLE_SHOWN = _shown(INVISIBLE, INVISIBLE_CLASS, lambda c: f"<U+{c:04X}>")
 
 
 def strip_control(text: Column) -> Column:
     """Show C0, DEL and C1 characters as ``<0xhh>`` and ESC as ``<ESC>``."""
-    def rewrite(value: Column) -> Column:
-        out = value
-        for code in CONTROL:
-            out = F.replace(out, F.lit(chr(code)), F.lit("<ESC>" if code == 0x1B else f"<0x{code:02x}>"))
-        return F.when(value.rlike(CONTROL_CLASS), out).otherwise(value)
-    return let(text, rewrite)
+    return let_sql(text, "t", _CONTROL_SHOWN)
 
 
 def strip_bidi(text: Column) -> Column:
     """Show invisible and reordering characters as ``<U+HHHH>``."""
-    def rewrite(value: Column) -> Column:
-        out = value
-        for code in INVISIBLE:
-            out = F.replace(out, F.lit(chr(code)), F.lit(f"<U+{code:04X}>"))
-        return F.when(value.rlike(INVISIBLE_CLASS), out).otherwise(value)
-    return let(text, rewrite)
+    return let_sql(text, "t", _INVISIBLE_SHOWN)
 
 
 def visible(text: Column) -> Column:
@@ -75,19 +72,17 @@ def visible(text: Column) -> Column:
 def oneline(text: Column, limit: int = MESSAGE_LIMIT) -> Column:
     """One line of visible text: runs of blanks become one, and a cut is marked."""
     flat = F.trim(F.regexp_replace(visible(text), _SPACE_RUN, " "))
-    return let(flat, lambda t: F.when(F.length(t) <= limit, t).otherwise(
-        F.concat(F.left(t, F.lit(limit)), F.lit("… (truncated, use --json for the full text)"))))
+    return let_sql(flat, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), '… (truncated, use --json for the full text)'))")
 
 
 def clip(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
     """Cut an over-long excerpt and say how much is hidden."""
-    return let(text, lambda t: F.when(F.length(t) <= limit, t).otherwise(
-        F.concat(F.left(t, F.lit(limit)), F.lit("… (+"), (F.length(t) - limit).cast("string"),
-                 F.lit(" chars, use --json for the full line)"))))
+    return let_sql(text, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), '… (+', length(t) - {limit}, "
+                   "' chars, use --json for the full line)'))")
 
 
 def cause_lines(text: Column) -> Column:
     """struct<lines array<string>, hidden int>: the first lines of a root cause."""
-    return let(split_lines(text), lambda parts: F.struct(
-        F.transform(F.slice(parts, 1, CAUSE_LINES), lambda t: oneline(t, CAUSE_LINE_LIMIT)).alias("lines"),
-        F.greatest(F.size(parts) - CAUSE_LINES, F.lit(0)).alias("hidden")))
+    parts = split_lines(text)
+    return F.struct(F.transform(F.slice(parts, 1, CAUSE_LINES), lambda t: oneline(t, CAUSE_LINE_LIMIT)).alias("lines"),
+                    F.greatest(F.size(parts) - CAUSE_LINES, F.lit(0)).alias("hidden"))

@@ -2,12 +2,13 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.families import FAMILIES
 from faultscope.functions.paths import find_machine_paths
 from faultscope.functions.secrets import secret_kinds
+from faultscope.functions.sql import literal
 from faultscope.functions.text import strip_unicode
 from faultscope.operators.rules import SEVERITIES
 from faultscope.schema import KEY
@@ -51,10 +52,11 @@ def audit_messages(diagnoses: DataFrame) -> DataFrame:
 def signature_hits(lines: DataFrame) -> DataFrame:
     """``(family, signature, lines)``: how many lines each pattern matches, every pattern on
     its own and not only the first that wins."""
-    def hits(name: str) -> Column:
-        return F.array(*[F.when(s.matches(F.col("line")), F.lit(i)) for i, s in enumerate(FAMILIES[name].signatures)])
-    all_hits = reduce(lambda acc, n: acc.when(F.col("family") == n, hits(n)), list(FAMILIES)[1:],
-                      F.when(F.col("family") == next(iter(FAMILIES)), hits(next(iter(FAMILIES)))))
+    branches = []
+    for f in FAMILIES.values():
+        each = ", ".join(f"case when {s.matches('line')} then {i} end" for i, s in enumerate(f.signatures))
+        branches.append(f"when {literal(f.name)} then array({each})")
+    all_hits = F.expr(f"case family {' '.join(branches)} end")
     return (lines.select("family", F.explode(F.array_compact(all_hits)).alias("signature"))
             .groupBy("family", "signature").agg(F.count(F.lit(1)).alias("lines")))
 

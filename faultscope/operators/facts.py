@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from faultscope.families import FAMILIES
 from faultscope.families import profile
+from faultscope.families.base import sentence
+from faultscope.functions.sql import literal
 from faultscope.schema import FACTS, KEY
 
 
@@ -13,25 +15,21 @@ def citation(artifact: Column, anchor: Column) -> Column:
     return F.concat_ws(":", artifact, anchor.cast("string"))
 
 
-def summary_text(family: Column, kind: Column, data: Column) -> Column:
-    """The sentence of a fact, built from its payload."""
-    def get(key: str) -> Column:
-        return data[key]
-    out = F.lit(None).cast("string")
+def summary_text() -> Column:
+    """The sentence of a fact, from its ``family``, ``kind`` and ``data``."""
     tables = {**{f.name: f.summaries for f in FAMILIES.values()}, profile.NAME: profile.SUMMARIES}
+    branches = []
     for name, sentences in tables.items():
-        inner = F.lit(None).cast("string")
-        for k, build in sentences.items():
-            inner = F.when(kind == k, build(get)).otherwise(inner)
-        out = F.when(family == name, inner).otherwise(out)
-    return out
+        inner = " ".join(f"when {literal(k)} then {sentence(t, 'data')}" for k, t in sentences.items())
+        branches.append(f"when {literal(name)} then case kind {inner} end")
+    return F.expr(f"case family {' '.join(branches)} end")
 
 
 def as_facts(df: DataFrame, anchor: Column) -> DataFrame:
     """Put numbered rows into the facts schema."""
     return df.select(
         *KEY, F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("f"), F.col("seq")).alias("id"), "kind",
-        summary_text(F.col("family"), F.col("kind"), F.col("data")).alias("summary"),
+        summary_text().alias("summary"),
         citation(F.col("artifact"), anchor).alias("source"), "excerpt", "data")
 
 

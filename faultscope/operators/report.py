@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultscope import __version__
 from faultscope.functions.numbers import div
 from faultscope.functions.secrets import sanitize
-from faultscope.functions.text import MESSAGE_LIMIT, let, oneline, visible
+from faultscope.functions.text import MESSAGE_LIMIT, oneline, visible
 from faultscope.operators.rules import SHOWN
 from faultscope.schema import KEY
 
@@ -135,4 +135,4 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
     document = F.concat(F.left(head, F.length(head) - 1), F.lit(',"diagnostics":'), listed("diagnostics"),
                         F.lit(',"facts":'), listed("facts"), F.lit("}"))
     return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left").join(secrets, KEY, "left")
-            .select(*KEY, "part", "parts", let(document, lambda d: d).alias("json")))
+            .select(*KEY, "part", "parts", document.alias("json")))

@@ -1,82 +1,36 @@
 """Lines to raw facts: the first matching signature of the line's family."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.families import FAMILIES
 from faultscope.families.base import Family
-from faultscope.functions.bits import describe_bits
 from faultscope.functions.numbers import div
+from faultscope.functions.sql import literal, within_let
 from faultscope.functions.text import strip_unicode
 from faultscope.operators.ordered import SLICE
 
 
-def _case(branches: list[tuple[Column, Column]]) -> Column:
-    return reduce(lambda acc, b: acc.when(*b), branches[1:], F.when(*branches[0]))
-
-
-def _per_family(families: list[Family], of) -> Column:
-    return _case([(F.col("family") == f.name, of(f)) for f in families])
-
-
-def signature_number(families: list[Family], line: Column) -> Column:
-    """Index of the first signature that matches, null when none does."""
-    return _per_family(families, lambda f: _case(
-        [(sig.matches(line), F.lit(i)) for i, sig in enumerate(f.signatures)]))
-
-
-def _states_of_reading(data: Column) -> Column:
-    """A throttle reading and the states it stands for, in order, as
-    array<struct<ordinal, kind, data>>."""
-    def keys(name: str) -> Column:
-        return F.from_json(data[name], "array<string>")
-
-    def named(name: str) -> Column:
-        return F.create_map(F.lit("conditions"), describe_bits(keys(name)), F.lit("condition_keys"), data[name],
-                            F.lit("count"), F.size(keys(name)).cast("string"), F.lit("hex"), data["hex"])
-
-    states = [
-        ("throttled_bitfield", F.lit(True), data),
-        ("throttle_active", data["live"] != "[]", named("live")),
-        ("throttle_occurred", data["sticky"] != "[]", named("sticky")),
-        ("throttle_unknown_bits", data["unknown_bits"] != "[]",
-         F.create_map(F.lit("bits"), F.array_join(keys("unknown_bits"), ", "),
-                      F.lit("bit_numbers"), data["unknown_bits"], F.lit("hex"), data["hex"])),
-        ("throttle_clear", data["healthy"] == "true", F.create_map(F.lit("hex"), data["hex"])),
-    ]
-    return F.filter(
-        F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(kind).alias("kind"),
-                           F.when(cond, payload).alias("data")) for i, (kind, cond, payload) in enumerate(states)]),
-        lambda s: s["data"].isNotNull())
+def observe(families: list[Family]) -> Column:
+    """array<struct<ordinal, kind, data>> of the first signature that matches ``line``,
+    null when none does. The line is evaluated once, whatever it is made of."""
+    branches = []
+    for f in families:
+        first = " ".join(f"when {s.matches('t')} then {s.observations('t')}" for s in f.signatures)
+        branches.append(f"when family = {literal(f.name)} then case {first} end")
+    return F.expr(within_let("line", "t", f"case {' '.join(branches)} end"))
 
 
 def match_signatures(lines: DataFrame, families: list[Family] | None = None, slice_lines: int = SLICE) -> DataFrame:
     """Raw facts ``(family, artifact, slice, lineno, ordinal, kind, excerpt, data)``.
 
-    A narrow step: one pass over the lines, no shuffle, no Python. The payload is
-    taken out only of lines that matched. Every column a stream can compute is
-    computed here.
+    A narrow step: one pass over the lines, no shuffle, no Python. The generator
+    yields nothing for a line without a match, so every line is looked at once and
+    a payload is taken out only of lines that matched.
     """
     families = families or list(FAMILIES.values())
-    line = F.col("line")
-    matched = (lines.where(F.col("family").isin([f.name for f in families]))
-               .select("family", "artifact", F.col("lineno").cast("bigint").alias("lineno"), "line",
-                       signature_number(families, line).alias("sig"))
-               .where(F.col("sig").isNotNull()))
-
-    def drops(f: Family) -> Column:
-        hits = [(F.col("sig") == i, s.unless(lambda n, p=s.pattern: F.regexp_extract(line, p, n)))
-                for i, s in enumerate(f.signatures) if s.unless]
-        return F.coalesce(_case(hits), F.lit(False)) if hits else F.lit(False)
-
-    kind = _per_family(families, lambda f: F.element_at(F.array(*[F.lit(s.kind) for s in f.signatures]), F.col("sig") + 1))
-    data = _per_family(families, lambda f: _case([(F.col("sig") == i, s.payload(line)) for i, s in enumerate(f.signatures)]))
-    raw = (matched.where(~_per_family(families, drops))
-           .select("family", "artifact", div(F.col("lineno") - 1, slice_lines).alias("slice"), "lineno",
-                   kind.alias("kind"), strip_unicode(line).alias("excerpt"), data.alias("data")))
-    one = F.array(F.struct(F.lit(0).alias("ordinal"), F.col("kind").alias("kind"), F.col("data").alias("data")))
-    return raw.select(
-        "family", "artifact", "slice", "lineno", "excerpt",
-        F.inline(F.when(F.col("kind") == "throttled_bitfield", _states_of_reading(F.col("data"))).otherwise(one)))
+    lineno = F.col("lineno").cast("bigint")
+    return (lines.where(F.col("family").isin([f.name for f in families]))
+            .select("family", "artifact", lineno.alias("lineno"), "line", F.inline(observe(families)))
+            .select("family", "artifact", div(F.col("lineno") - 1, slice_lines).alias("slice"), "lineno", "ordinal", "kind",
+                    strip_unicode(F.col("line")).alias("excerpt"), "data"))

@@ -1,92 +1,37 @@
-"""Rules: hand-edited data made safe, as a small table."""
+"""The rule table of a run."""
 
 import json
-import math
 import re
-import string
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultscope.families import FAMILIES, profile
+from faultscope.operators.rule_tables import normalize_rules
 from faultscope.schema import RULES
 
 # A table this small is always worth a broadcast; a larger one is left to Spark.
 BROADCAST_ROWS = 10_000
 
 
-def _names(value: Any) -> list[str]:
-    """A bare string is one name, never its characters; other types are none."""
-    if isinstance(value, str):
-        return [value]
-    return [str(v) for v in value] if isinstance(value, list | tuple | set) else []
-
-
-def _bound(value: Any) -> tuple[float | None, bool]:
-    if value is None:
-        return None, True
-    try:
-        number = float(value)
-    except (TypeError, ValueError):
-        return None, False
-    return (None, True) if math.isnan(number) else (number, True)
-
-
-def _condition(value: Any) -> dict:
-    bad = {"kind": None, "field": None, "lo": None, "hi": None, "ok": False}
-    if not isinstance(value, dict) or value.get("kind") is None or value.get("field") is None:
-        return bad
-    (lo, lo_ok), (hi, hi_ok) = _bound(value.get("min")), _bound(value.get("max"))
-    return {"kind": str(value["kind"]), "field": str(value["field"]), "lo": lo, "hi": hi, "ok": lo_ok and hi_ok}
-
-
-def _segments(template: str) -> list[dict]:
-    """A message cut at its placeholders, so that braces inside a value are never
-    taken for a placeholder. A template that cannot be read stays as it is."""
-    try:
-        pieces = list(string.Formatter().parse(template))
-    except ValueError:
-        return [{"lit": template, "key": None}]
-    out = []
-    for lit, key, _, _ in pieces:
-        if lit:
-            out.append({"lit": lit, "key": None})
-        if key is not None:
-            out.append({"lit": None, "key": key})
-    return out
-
-
-def normalize_rule(rule: dict, family: str, order: int) -> dict:
-    """One rule in the rules schema. What cannot be read fails closed: the rule
-    stays silent and the others go on."""
-    conditions = rule.get("conditions")
-    if not isinstance(conditions, list):
-        conditions = [] if conditions is None else [conditions]
-    suggestions = rule.get("suggestions")
-    suggestions = suggestions if isinstance(suggestions, list) else []
-    message = rule.get("message") or ""
+def _builtin(rule: dict, family: str, order: int) -> dict:
+    """A rule of this package in the rules schema."""
+    pieces = re.split(r"\{(\w+)\}", rule["message"])
     return {
-        "family": family, "id": str(rule.get("id", "")), "severity": str(rule.get("severity", "error")), "ord": order,
-        "requires": list(dict.fromkeys(_names(rule.get("requires")))), "absent": list(dict.fromkeys(_names(rule.get("absent")))),
-        "optional": list(dict.fromkeys(_names(rule.get("optional")))),
-        "conditions": [_condition(c) for c in conditions],
-        "segments": _segments(message if isinstance(message, str) else str(message)),
-        "cause": str(rule.get("cause") or "").strip(),
-        "suggestions": [{"summary": str(s.get("summary", "")), "command": str(s.get("command", "")),
-                         "applicability": str(s.get("applicability", "maybe-incorrect"))}
-                        for s in suggestions if isinstance(s, dict)],
-        "refs": _names(rule.get("refs")),
+        "family": family, "id": rule["id"], "severity": rule["severity"], "ord": order,
+        "requires": rule["requires"], "absent": rule.get("absent", []), "optional": rule.get("optional", []),
+        "conditions": [{"kind": c["kind"], "field": c["field"], "lo": c.get("min"), "hi": c.get("max"), "ok": True}
+                       for c in rule.get("conditions", [])],
+        "segments": [{"lit": p, "key": None} if i % 2 == 0 else {"lit": None, "key": p}
+                     for i, p in enumerate(pieces) if p],
+        "cause": rule["cause"], "refs": rule["refs"],
+        "suggestions": [{"summary": s["summary"], "command": s.get("command", ""),
+                         "applicability": s.get("applicability", "maybe-incorrect")} for s in rule["suggestions"]],
     }
 
 
-def usable_family(name: Any) -> bool:
-    """A bare name, so that it can never be a path."""
-    return isinstance(name, str) and bool(re.fullmatch(r"[A-Za-z0-9_.-]+", name)) and name not in (".", "..")
-
-
 @dataclass(frozen=True)
 class Rulebook:
     """The rules of all families. Tiny and known when the plan is built, so kinds
@@ -95,31 +40,27 @@ class Rulebook:
     rules: tuple[dict, ...]
 
     @classmethod
-    def of(cls, by_family: dict[str, list]) -> "Rulebook":
-        out = []
-        for family, rules in by_family.items():
-            if not usable_family(family) or not isinstance(rules, list):
-                continue
-            out += [normalize_rule(r, family, i) for i, r in enumerate(x for x in rules if isinstance(x, dict))]
-        return cls(tuple(out))
+    def builtin(cls) -> "Rulebook":
+        by_family = {**{f.name: f.rules for f in FAMILIES.values()}, profile.NAME: profile.RULES}
+        return cls(tuple(_builtin(r, name, i) for name, rules in by_family.items() for i, r in enumerate(rules)))
 
     @classmethod
-    def builtin(cls) -> "Rulebook":
-        return cls.of({**{f.name: f.rules for f in FAMILIES.values()}, profile.NAME: profile.RULES})
+    def of(cls, rules: DataFrame) -> "Rulebook":
+        """From a table in the rules schema. Rules are configuration that people
+        write, so their number is checked before they come to the driver."""
+        rows = rules.limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) > BROADCAST_ROWS:
+            raise ValueError(f"more than {BROADCAST_ROWS} rules; a rule table is hand-edited data")
+        return cls(tuple(sorted((r.asDict(recursive=True) for r in rows), key=lambda r: (r["family"], r["ord"]))))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Rulebook":
-        """A rule table in JSON lines: ``family`` and the fields of a rule. Lines
+        """A rule table in JSON lines: ``family``, ``ord`` and the fields of a rule. Lines
         that are no JSON object are dropped one by one."""
-        rows = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
-        objects = rows.where(F.schema_of_variant("v").startswith("OBJECT")).select(F.to_json("v").alias("j")).limit(BROADCAST_ROWS + 1).collect()
-        if len(objects) > BROADCAST_ROWS:
-            raise ValueError(f"{path} holds more than {BROADCAST_ROWS} rules; a rule table is hand-edited data")
-        by_family: dict[str, list] = {}
-        for row in objects:
-            rule = json.loads(row["j"])
-            by_family.setdefault(rule.get("family") or "", []).append(rule)
-        return cls.of(by_family)
+        raw = spark.read.text(path).select(F.try_parse_json("value").alias("rule"))
+        return cls.of(normalize_rules(raw.select(
+            F.try_variant_get("rule", "$.family", "string").alias("family"),
+            F.coalesce(F.try_variant_get("rule", "$.ord", "int"), F.lit(0)).alias("ord"), "rule")))
 
     def _bits(self, names: list[str], what: str) -> dict[str, int]:
         if len(names) > 63:
