@@ -1,6 +1,6 @@
 """The registered queries over the given tables."""
 
-from faultscope.workload import extraction  # noqa: F401
+from faultscope.workload import extraction, relations, text  # noqa: F401
 from faultscope.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
