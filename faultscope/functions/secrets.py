@@ -52,7 +52,9 @@ SHAPES = (
                 r"(?iU)(\bauthorization\s*:\s*(?:bearer|basic|token)\s+)[A-Za-z0-9_\-.=+/]{8,600}",
                 fold=True, keep=(1, None)),
     SecretShape("assigned-secret",
-                ("secret", "passwd", "password", "token", "key", "credential", "session"),
+                ("secret", "passwd", "password", "token", "credential",
+                 *(f"{a}{sep}{b}" for a, b in (("api", "key"), ("access", "key"), ("private", "key"), ("session", "id"))
+                   for sep in ("", "_", "-"))),
                 rf"(?iU)(\b{_NAME}\s*[=:]\s*)(?:(\"){_VALUE}\"|('){_VALUE}'|{_VALUE})",
                 fold=True, keep=(1, None)),
 )
@@ -63,9 +65,13 @@ _ASSIGNED_REPLACEMENT = f"$1$2$3[REDACTED:{_ASSIGNED.kind}]$2$3"
 KINDS = [shape.kind for shape in SHAPES]
 
 
-def _probe(shape: SecretShape, text: str) -> str:
-    haystack = f"lower({text})" if shape.fold else text
-    return "(" + " or ".join(f"contains({haystack}, {literal(p)})" for p in shape.probes) + ")"
+def _probes(shapes: tuple[SecretShape, ...], text: str) -> str:
+    """Whether any shape could match at all; the text is folded once."""
+    plain = [f"contains({text}, {literal(p)})" for s in shapes if not s.fold for p in s.probes]
+    folded = [f"contains(w, {literal(p)})" for s in shapes if s.fold for p in s.probes]
+    if folded:
+        plain.append(within_let(f"lower({text})", "w", " or ".join(folded)))
+    return "(" + " or ".join(plain) + ")"
 
 
 def _clean(text: str) -> str:
@@ -80,8 +86,8 @@ def _chain() -> str:
         replacement = _ASSIGNED_REPLACEMENT if shape is _ASSIGNED else shape.replacement
         masked = (f"struct(regexp_replace(s.text, {regex(shape.pattern)}, {literal(replacement)}) as text, "
                   f"concat(s.kinds, array({literal(shape.kind)})) as kinds)")
-        state = within_let(state, "s", f"if({_probe(shape, 's.text')} and s.text rlike {regex(shape.pattern)}, {masked}, s)")
-    return f"if({' or '.join(_probe(shape, 't') for shape in SHAPES)}, {state}, {_clean('t')})"
+        state = within_let(state, "s", f"if({_probes((shape,), 's.text')} and s.text rlike {regex(shape.pattern)}, {masked}, s)")
+    return f"if({_probes(SHAPES, 't')}, {state}, {_clean('t')})"
 
 
 _REDACTED = _chain()

@@ -1,6 +1,6 @@
 """Facts and diagnoses on their way out: masking, listing, JSON documents."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope import __version__
@@ -65,7 +65,6 @@ def evidence_shown(evidence: DataFrame, facts: DataFrame, limit: int = SHOWN) ->
     """``(…, code, position, id, source, excerpt, hidden)``: the first facts of each
     diagnosis, and how many citations stay hidden. Ranks are per diagnosis over the
     facts that exist, so a dangling id never takes a place."""
-    from pyspark.sql import Window
     found = evidence_lookup(evidence, facts.select(*KEY, "id", "source", "excerpt"))
     order = Window.partitionBy(*KEY, "code").orderBy("position")
     totals = evidence.groupBy(*KEY, "code").agg(F.count(F.lit(1)).alias("cited"))
@@ -97,19 +96,23 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
     no task ever holds a whole hot artifact and nothing is cut off.
     """
     if redact:
-        secrets = secret_kinds_of(redact_facts(facts))
         facts = redact_facts(facts)
         diagnoses = mask_diagnoses(diagnoses)
     else:
-        secrets = facts.sparkSession.createDataFrame([], "family string, artifact string, secrets array<string>")
         facts = facts.withColumns({c: visible(F.col(c)) for c in ("excerpt", "summary", "source")})
+        facts = facts.withColumn("secrets", F.array().cast("array<string>"))
 
     def part(col: str) -> Column:
         return div(F.col(col) - 1, part_rows)
 
     fact = F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data"))
     by_part = facts.groupBy(*KEY, part("seq").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(fact).alias("j")))), lambda s: s["j"]).alias("facts"))
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(fact).alias("j")))), lambda s: s["j"]).alias("facts"),
+        F.array_distinct(F.flatten(F.collect_list("secrets"))).alias("secrets"))
+    # Few rows per artifact, each with 13 kinds at most.
+    every_part = Window.partitionBy(*KEY)
+    secrets = F.array_sort(F.array_distinct(F.flatten(F.collect_list("secrets").over(every_part))))
+    by_part = by_part.withColumn("secrets", secrets)
     counts = facts.groupBy(*KEY).agg(F.max("seq").alias("n"))
     frame = (artifacts.select(*KEY).distinct().join(counts, KEY, "left")
              .withColumn("parts", F.greatest(div(F.coalesce("n", F.lit(0)) - 1, part_rows) + 1, F.lit(1)))
@@ -134,5 +137,5 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
         F.col("part"), F.col("parts")))
     document = F.concat(F.left(head, F.length(head) - 1), F.lit(',"diagnostics":'), listed("diagnostics"),
                         F.lit(',"facts":'), listed("facts"), F.lit("}"))
-    return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left").join(secrets, KEY, "left")
+    return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left")
             .select(*KEY, "part", "parts", document.alias("json")))

@@ -119,14 +119,14 @@ def rank_diagnoses(fired: DataFrame) -> DataFrame:
     return fired.withColumn("rank", F.row_number().over(order))
 
 
-def diagnose(facts: DataFrame, book: Rulebook, evidence: DataFrame | None = None, slice_rows: int = SLICE,
-             prefer_met: bool = False) -> DataFrame:
+def diagnose(facts: DataFrame, book: Rulebook, fired: DataFrame | None = None, evidence: DataFrame | None = None,
+             slice_rows: int = SLICE, prefer_met: bool = False) -> DataFrame:
     """The diagnoses of every artifact; an artifact no rule explains has none.
 
     Citations stay in their own table (``gather_evidence``); here are their number
-    and the first few. ``facts`` is read several times: hand in a stored table.
+    and the first few. Every input is read more than once: hand in stored tables.
     """
-    fired = match_rules(artifact_profile(facts, book), book)
+    fired = match_rules(artifact_profile(facts, book), book) if fired is None else fired
     cited = cited_facts(facts, fired, book, slice_rows)
     evidence = gather_evidence(cited) if evidence is None else evidence
     messages = render_messages(fired, resolve_placeholders(cited, prefer_met), book)

@@ -57,9 +57,10 @@ def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | None
     book = book or Rulebook.builtin()
     facts = stage(facts, "facts") if staged else facts
     fired = match_rules(artifact_profile(facts, book), book)
+    fired = stage(fired, "fired") if staged else fired
     evidence = gather_evidence(cited_facts(facts, fired, book, slice_rows))
     evidence = stage(evidence, "evidence") if staged else evidence
-    found = diagnose(facts, book, evidence, slice_rows, prefer_met)
+    found = diagnose(facts, book, fired, evidence, slice_rows, prefer_met)
     if proposals is not None:
         sound = grounding.ground(proposals, grounding.unmatched_facts(facts, evidence))
         found = grounding.merge_synthesized(found, grounding.label_synthesized(sound))

@@ -22,8 +22,9 @@ from faultscope.workload.views import ARTIFACTS, BASE, duck, log_facts, v_log, w
 def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, evidence and diagnoses of ``V_LOG``; facts and evidence are stored tables."""
     facts = log_facts(spark, sf_dir)
-    evidence = stage(gather_evidence(cited_facts(facts, match_rules(artifact_profile(facts, BOOK), BOOK), BOOK)), "evidence")
-    return facts, evidence, diagnose(facts, BOOK, evidence)
+    fired = stage(match_rules(artifact_profile(facts, BOOK), BOOK), "fired")
+    evidence = stage(gather_evidence(cited_facts(facts, fired, BOOK)), "evidence")
+    return facts, evidence, diagnose(facts, BOOK, fired, evidence)
 
 
 # --------------------------------------------------------------- C: comparison

@@ -342,7 +342,7 @@ def r5_resolve_placeholders(spark, sf_dir):
 @query("r6_render_messages", with_rules(f"select family, artifact, code, {MESSAGES} as message from ev where position = 1"))
 def r6_render_messages(spark, sf_dir):
     facts = log_facts(spark, sf_dir)
-    fired = _fired(facts)
+    fired = stage(_fired(facts), "fired")
     return render_messages(fired, resolve_placeholders(cited_facts(facts, fired, BOOK)), BOOK)
 
 
@@ -354,5 +354,6 @@ join (select a, code, count(*) as n, array_to_string(list(concat('f', seq) order
   on t.a = ev.a and t.code = ev.code
 where ev.position = 1"""))
 def r7_diagnose(spark, sf_dir):
-    found = diagnose(log_facts(spark, sf_dir), BOOK)
+    facts = log_facts(spark, sf_dir)
+    found = diagnose(facts, BOOK, stage(_fired(facts), "fired"))
     return found.drop("root_cause", "suggestions").withColumn("shown", F.array_join("shown", ","))

@@ -41,7 +41,7 @@ def rulebook(spark, *rules):
 def diagnose_facts(facts, book, slice_rows=65_536):
     fired = match_rules(artifact_profile(facts, book), book)
     evidence = gather_evidence(cited_facts(facts, fired, book, slice_rows))
-    return diagnose(facts, book, evidence, slice_rows), evidence
+    return diagnose(facts, book, fired, evidence, slice_rows), evidence
 
 
 # ------------------------------------------------------------------- ordering
