@@ -29,7 +29,7 @@ def audit_evidence(diagnoses: DataFrame, evidence: DataFrame, facts: DataFrame)
     """Dangling ids, diagnoses without evidence, ids cited twice."""
     key = [*KEY, "code"]
     dangling = evidence.join(facts.select(*KEY, "id"), [*KEY, "id"], "left_anti").select(*key, "id", F.lit("dangling").alias("problem"))
-    empty = (diagnoses.join(evidence.select(*key), key, "left_anti")
+    empty = (diagnoses.join(evidence.select(*key).distinct(), key, "left_anti")
              .select(*key, F.lit(None).cast("string").alias("id"), F.lit("no evidence").alias("problem")))
     twice = (evidence.groupBy(*key, "id").count().where("count > 1").select(*key, "id", F.lit("cited twice").alias("problem")))
     return dangling.unionByName(empty).unionByName(twice)

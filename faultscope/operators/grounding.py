@@ -50,7 +50,7 @@ def label_synthesized(grounded: DataFrame) -> DataFrame:
         *KEY, F.col("proposal").cast("int").alias("rank"), F.lit(CODE).alias("code"), severity.alias("severity"), "message",
         "root_cause", suggestions.alias("suggestions"), F.slice(evidence, 1, SHOWN).alias("shown"),
         F.size(evidence).cast("bigint").alias("cited"), F.lit(CONFIDENCE).alias("confidence"),
-        F.lit(False).alias("insufficient_info"), F.lit(ORIGIN).alias("origin"))
+        F.lit(False).alias("insufficient_info"), F.lit(ORIGIN).alias("origin"), F.col("proposal").cast("bigint").alias("proposal"))
 
 
 def synthesized_evidence(grounded: DataFrame) -> DataFrame:
@@ -60,6 +60,12 @@ def synthesized_evidence(grounded: DataFrame) -> DataFrame:
             .select(*KEY, "code", "proposal", (F.col("pos") + 1).cast("bigint").alias("position"), "id"))
 
 
+def merge_evidence(evidence: DataFrame, synthesized: DataFrame) -> DataFrame:
+    """Citations of rules (proposal 0) and of grounded proposals in one table."""
+    cols = [*KEY, "code", "proposal", "position", "id"]
+    return evidence.withColumn("proposal", F.lit(0).cast("bigint")).select(*cols).unionByName(synthesized.select(*cols))
+
+
 def merge_synthesized(diagnoses: DataFrame, synthesized: DataFrame) -> DataFrame:
     """Diagnoses of rules, then the synthesized ones behind them."""
     last = diagnoses.groupBy(*KEY).agg(F.max("rank").alias("_last"))

@@ -52,8 +52,11 @@ def facts_listing(facts: DataFrame, artifacts: DataFrame) -> DataFrame:
     without facts is one row with the count 0: that is a result too."""
     counts = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("facts"))
     rows = facts.select(*KEY, "seq", visible(F.col("source")).alias("source"), "kind", sanitize(F.col("summary"))["text"].alias("observation"))
-    return (artifacts.select(*KEY).distinct().join(counts, KEY, "left").fillna(0, ["facts"])
-            .join(rows, KEY, "left").select(*KEY, "seq", "source", "kind", "observation", "facts"))
+    # Inner and anti join instead of one outer join: Spark can split a hot artifact
+    # on the facts' side of an inner join only.
+    empty = artifacts.select(*KEY).distinct().join(counts, KEY, "left_anti").select(
+        *KEY, *[F.lit(None).cast(t).alias(c) for c, t in rows.drop(*KEY).dtypes], F.lit(0).cast("bigint").alias("facts"))
+    return rows.join(counts, KEY).unionByName(empty)
 
 
 def evidence_lookup(evidence: DataFrame, facts: DataFrame) -> DataFrame:
@@ -88,15 +91,18 @@ def mask_diagnoses(diagnoses: DataFrame) -> DataFrame:
 
 
 def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame,
-                redact: bool = True, part_rows: int = PART) -> DataFrame:
+                part_rows: int = PART) -> DataFrame:
     """``(family, artifact, part, parts, json)``: strictly valid JSON documents.
 
+    ``facts`` from ``redact_facts`` give a masked report; plain facts give a verbatim
+    one, with control characters shown. Hand in stored tables: facts are read twice.
+
     An artifact with up to ``part_rows`` facts is one document. A larger one is
     split: part p holds its facts and citations number ``p*part_rows+1`` and on, so
     no task ever holds a whole hot artifact and nothing is cut off.
     """
+    redact = "secrets" in facts.columns
     if redact:
-        facts = redact_facts(facts)
         diagnoses = mask_diagnoses(diagnoses)
     else:
         facts = facts.withColumns({c: visible(F.col(c)) for c in ("excerpt", "summary", "source")})
@@ -107,21 +113,18 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
 
     fact = F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data"))
     by_part = facts.groupBy(*KEY, part("seq").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(fact).alias("j")))), lambda s: s["j"]).alias("facts"),
-        F.array_distinct(F.flatten(F.collect_list("secrets"))).alias("secrets"))
-    # Few rows per artifact, each with 13 kinds at most.
-    every_part = Window.partitionBy(*KEY)
-    secrets = F.array_sort(F.array_distinct(F.flatten(F.collect_list("secrets").over(every_part))))
-    by_part = by_part.withColumn("secrets", secrets)
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(fact).alias("j")))), lambda s: s["j"]).alias("facts"))
     counts = facts.groupBy(*KEY).agg(F.max("seq").alias("n"))
     frame = (artifacts.select(*KEY).distinct().join(counts, KEY, "left")
              .withColumn("parts", F.greatest(div(F.coalesce("n", F.lit(0)) - 1, part_rows) + 1, F.lit(1)))
              .select(*KEY, "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")))
-    ids = evidence.groupBy(*KEY, "code", part("position").alias("part")).agg(
+    if "proposal" not in evidence.columns:
+        evidence = evidence.withColumn("proposal", F.lit(0).cast("bigint"))
+    ids = evidence.groupBy(*KEY, "code", "proposal", part("position").alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda s: s["id"]).alias("evidence"))
-    shown = diagnoses.withColumn("parts", F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("cited") - 1, part_rows)))).withColumnRenamed("parts", "part")
+    shown = diagnoses.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("cited") - 1, part_rows))))
     diagnosis = F.struct("code", "severity", "message", "root_cause", "suggestions", "evidence", "confidence", "insufficient_info", "origin")
-    found = (shown.join(ids, [*KEY, "code", "part"], "left")
+    found = (shown.join(ids, [*KEY, "code", "proposal", "part"], "left")
              .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
              .groupBy(*KEY, "part").agg(F.transform(
                  F.array_sort(F.collect_list(F.struct("rank", F.to_json(diagnosis).alias("j")))), lambda s: s["j"]).alias("diagnostics")))
@@ -137,5 +140,5 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
         F.col("part"), F.col("parts")))
     document = F.concat(F.left(head, F.length(head) - 1), F.lit(',"diagnostics":'), listed("diagnostics"),
                         F.lit(',"facts":'), listed("facts"), F.lit("}"))
-    return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left")
+    return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left").join(secret_kinds_of(facts), KEY, "left")
             .select(*KEY, "part", "parts", document.alias("json")))

@@ -138,4 +138,4 @@ def diagnose(facts: DataFrame, book: Rulebook, fired: DataFrame | None = None, e
             .join(messages, [*KEY, "code"]).join(counts, [*KEY, "code"])
             .select(*KEY, "rank", "code", "severity", "message", F.col("cause").alias("root_cause"), "suggestions",
                     F.transform("_head", lambda h: h["id"]).alias("shown"), "cited",
-                    F.lit("high").alias("confidence"), F.lit(False).alias("insufficient_info"), F.lit("rules").alias("origin")))
+                    F.lit("high").alias("confidence"), F.lit(False).alias("insufficient_info"), F.lit("rules").alias("origin"), F.lit(0).cast("bigint").alias("proposal")))

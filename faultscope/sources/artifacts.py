@@ -1,9 +1,9 @@
 """Artifacts and lines."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultscope.functions.text import split_lines
+from faultscope.functions.text import LINE_BREAK, split_lines
 
 
 def read_artifacts(spark: SparkSession, paths: str | list[str], family: str) -> DataFrame:
@@ -21,6 +21,33 @@ def explode_lines(artifacts: DataFrame) -> DataFrame:
             .select(*keep, (F.col("pos") + 1).cast("bigint").alias("lineno"), "line"))
 
 
+def read_lines(spark: SparkSession, paths: str | list[str], family: str) -> DataFrame:
+    """The lines of text files of any size, the same as ``explode_lines(read_artifacts(…))``.
+
+    A whole file must fit one row there (2 GB); here a file is read block by block on
+    many tasks. Row ids are consecutive inside a block, so a line's number is its id
+    less the block's first id plus the lines of the blocks before: no shuffle of the
+    text. Only blocks that hold a rarer line break (form feed, NEL and the like) are
+    numbered by a window, one block at a time.
+    """
+    rows = spark.read.text(paths).select(
+        F.lit(family).alias("family"), F.col("_metadata.file_name").alias("artifact"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
+        F.split(F.make_valid_utf8("value"), LINE_BREAK, -1).alias("_parts"))
+    block = ["_path", "_block"]
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum(F.size("_parts")).alias("_lines"))
+              .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))))
+    plain = rows.join(blocks.where("_rows = _lines"), block).select(
+        "family", "artifact", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("lineno"), F.col("_parts")[0].alias("line"))
+    earlier = Window.partitionBy(*block).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = (rows.join(blocks.where("_rows <> _lines"), block)
+             .withColumn("_start", F.col("_before") + F.coalesce(F.sum(F.size("_parts")).over(earlier), F.lit(0)))
+             .select("family", "artifact", "_start", F.posexplode("_parts").alias("pos", "line"))
+             .select("family", "artifact", (F.col("_start") + F.col("pos") + 1).alias("lineno"), "line"))
+    return plain.unionByName(mixed)
+
+
 def lines_of_text(df: DataFrame, family: str, artifact: Column, text: Column) -> DataFrame:
     """The same from any text column: pasted text, a message body, a stream."""
     return explode_lines(df.select(F.lit(family).alias("family"), artifact.alias("artifact"), text.alias("text")))

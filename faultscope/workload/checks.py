@@ -351,7 +351,7 @@ from {ARTIFACTS} g left join t on t.a = g.a left join cc on cc.a = g.a left join
 def s7_report_json(spark, sf_dir):
     """The documents, read back by a JSON parser."""
     facts, evidence, found = _run(spark, sf_dir)
-    docs = report.report_json(v_log(spark, sf_dir), facts, stage(found, "diagnoses"), evidence)
+    docs = report.report_json(v_log(spark, sf_dir), stage(report.redact_facts(facts), "masked"), found, evidence)
     schema = ("schemaVersion int, backend string, artifact string, redacted boolean, diagnostics array<struct<code string, evidence array<string>>>, "
               "facts array<struct<id string, data map<string, variant>>>")
     doc = docs.select("parts", F.from_json("json", schema, {"mode": "FAILFAST"}).alias("d"))

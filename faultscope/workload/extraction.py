@@ -13,7 +13,7 @@ from faultscope.operators.ordered import carry_last
 from faultscope.operators.report import facts_listing
 from faultscope.operators.rule_tables import normalize_rules
 from faultscope.operators.signatures import match_signatures
-from faultscope.sources.artifacts import explode_lines, lines_of_text, read_artifacts, sidecar_labels
+from faultscope.sources.artifacts import explode_lines, lines_of_text, read_artifacts, read_lines, sidecar_labels
 from faultscope.sources.documents import read_facts_json, write_facts_json
 from faultscope.sources.traces import read_trace, type_events
 from faultscope.staging import shared_folder
@@ -40,8 +40,8 @@ def s1_read_artifacts(spark, sf_dir):
     folder = _new_folder(spark, "texts")
     bad = F.when(F.col("c_custkey") % 10 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("2E")))
     (table(spark, sf_dir, "customer")
-     .select("c_nationkey", F.concat(F.encode("c_name", "utf-8"), bad, F.encode(F.concat(F.lit("@"), F.col("c_nationkey")), "utf-8")).cast("string").alias("value"))
-     .repartition("c_nationkey").write.option("maxRecordsPerFile", 100_000).partitionBy("c_nationkey").text(folder))
+     .select("c_nationkey", "c_custkey", F.concat(F.encode("c_name", "utf-8"), bad, F.encode(F.concat(F.lit("@"), F.col("c_nationkey")), "utf-8")).cast("string").alias("value"))
+     .repartition("c_nationkey", F.expr("c_custkey div 100000")).drop("c_custkey").write.option("maxRecordsPerFile", 100_000).partitionBy("c_nationkey").text(folder))
     lines = explode_lines(read_artifacts(spark, folder, "customers"))
     parts = F.split("line", "@")
     return (lines.select(F.element_at(parts, -1).cast("int").alias("nation"), F.element_at(parts, 1).alias("text"))
@@ -49,6 +49,18 @@ def s1_read_artifacts(spark, sf_dir):
                                    F.count_if(F.col("text").endswith("�")).alias("replaced")))
 
 
+@query("s1_read_lines", "select count(*) as lines, count(distinct e) as kinds, 0 as gaps from (" + duck(BASE) + ")")
+def s1_read_lines(spark, sf_dir):
+    """Log lines in files of any size, read block by block: no number is missing or given twice."""
+    folder = _new_folder(spark, "line-files")
+    events = _events(spark, sf_dir)
+    events.select(F.concat("e", F.lit(" "), "k").alias("value")).write.text(folder)
+    per_file = (read_lines(spark, folder, "events").groupBy("artifact")
+                .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lineno").alias("d"), F.max("lineno").alias("last"), F.collect_set(F.split("line", " ")[0]).alias("e")))
+    return per_file.agg(F.sum("n").alias("lines"), F.size(F.array_distinct(F.flatten(F.collect_set("e")))).alias("kinds"),
+                        F.count_if((F.col("n") != F.col("d")) | (F.col("n") != F.col("last"))).alias("gaps"))
+
+
 @query("s2_explode_lines", r"""
 with p as (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]') as parts from documents),
 q as (select doc_id, case when parts[-1] = '' then parts[1:len(parts) - 1] else parts end as parts from p)

@@ -356,4 +356,4 @@ where ev.position = 1"""))
 def r7_diagnose(spark, sf_dir):
     facts = log_facts(spark, sf_dir)
     found = diagnose(facts, BOOK, stage(_fired(facts), "fired"))
-    return found.drop("root_cause", "suggestions").withColumn("shown", F.array_join("shown", ","))
+    return found.drop("root_cause", "suggestions", "proposal").withColumn("shown", F.array_join("shown", ","))

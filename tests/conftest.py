@@ -12,7 +12,10 @@ from pyspark.sql import SparkSession  # noqa: E402
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[4]").appName("faultscope-tests")
                .config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", "4")
+               .config("spark.sql.shuffle.partitions", "3")
+               .config("spark.ui.showConsoleProgress", "false")
+               # Tables of a few rows: compiling a stage would cost more than running it.
+               .config("spark.sql.codegen.wholeStage", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
                .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))

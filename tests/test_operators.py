@@ -18,7 +18,7 @@ from faultscope.operators.traces import trace_facts
 from faultscope.operators.verdicts import verdicts
 from faultscope.plans.diagnosis import diagnose_lines
 from faultscope.schema import FACTS, PROPOSALS
-from faultscope.sources.artifacts import explode_lines, read_artifacts, read_sidecars
+from faultscope.sources.artifacts import explode_lines, read_artifacts, read_lines, read_sidecars
 from faultscope.sources.documents import read_facts_json, write_facts_json
 from faultscope.sources.rulebook import Rulebook
 from faultscope.sources.traces import read_trace, type_events
@@ -182,7 +182,7 @@ def test_hot_artifact_spreads_over_slices(spark):
     found, evidence = diagnose_facts(facts, book, slice_rows=500)
     assert (found.first().cited, found.first().message) == (20_000, "1")
     assert evidence.where("concat('f', position) <> id").count() == 0
-    docs = report.report_json(facts.select("family", "artifact"), facts, found, evidence, part_rows=3_000)
+    docs = report.report_json(facts.select("family", "artifact"), report.redact_facts(facts), found, evidence, part_rows=3_000)
     parsed = [json.loads(r.json) for r in docs.orderBy("part").collect()]
     assert [len(d["facts"]) for d in parsed] == [3_000] * 6 + [2_000]
     assert [i for d in parsed for i in d["diagnostics"][0]["evidence"]] == [f"f{i}" for i in range(1, 20_001)]
@@ -197,7 +197,7 @@ def test_report_documents(spark):
     facts = facts.withColumn("excerpt", F.lit("a\x1b[2J password=hunter2x"))
     found, evidence = diagnose_facts(facts, Rulebook.builtin())
     artifacts = facts.select("family", "artifact").unionByName(spark.createDataFrame([("tensorrt", "clean.log")], "family string, artifact string"))
-    docs = {d["artifact"]: d for d in (json.loads(r.json) for r in report.report_json(artifacts, facts, found, evidence).collect())}
+    docs = {d["artifact"]: d for d in (json.loads(r.json) for r in report.report_json(artifacts, report.redact_facts(facts), found, evidence).collect())}
     clean, dirty = docs["clean.log"], docs["[REDACTED:gitlab-token]"] if "[REDACTED:gitlab-token]" in docs else docs[[k for k in docs if k != "clean.log"][0]]
     assert (clean["facts"], clean["diagnostics"], clean["secretsDetected"], clean["redacted"]) == ([], [], [], True)
     fact = dirty["facts"][0]
@@ -205,7 +205,7 @@ def test_report_documents(spark):
     assert fact["data"] == {"op": "token=[REDACTED:assigned-secret]", "outputs": ["[REDACTED:aws-access-key-id]"], "count": 3, "ms": "NaN"}
     assert "hunter2x" not in json.dumps(dirty) and "abcdef" not in dirty["diagnostics"][0]["message"] and "glpat-" not in dirty["artifact"]
     assert set(dirty["secretsDetected"]) == {"assigned-secret", "aws-access-key-id", "gitlab-token"}
-    raw = [json.loads(r.json) for r in report.report_json(artifacts, facts, found, evidence, redact=False).collect()]
+    raw = [json.loads(r.json) for r in report.report_json(artifacts, facts, found, evidence).collect()]
     assert {d["redacted"] for d in raw} == {False} and "hunter2x" in json.dumps(raw) and "\\u001b" not in json.dumps(raw)
 
 
@@ -232,6 +232,9 @@ def test_grounding_gate(spark):
     merged = grounding.merge_synthesized(found, grounding.label_synthesized(sound))
     assert [r.code for r in merged.orderBy("rank").collect()] == ["ED7001", "ED9001", "ED9001"]
     assert {r.artifact: r.exit_code for r in verdicts(facts, merged).collect()} == {"x": 3, "y": 0}
+    cites = grounding.merge_evidence(evidence, grounding.synthesized_evidence(sound))
+    doc = [json.loads(r.json) for r in report.report_json(facts.select("family", "artifact"), report.redact_facts(facts), merged, cites).where("artifact = 'x'").collect()]
+    assert [[(d["code"], d["evidence"]) for d in one["diagnostics"]] for one in doc] == [[("ED7001", ["f1"]), ("ED9001", ["f2", "f3"]), ("ED9001", ["f2"])]]
     assert [r.id for r in grounding.synthesized_evidence(sound).where("proposal = 1").orderBy("position").collect()] == ["f2", "f3"]
 
 
@@ -290,6 +293,23 @@ def test_files_in_and_facts_out(spark, tmp_path):
         ("command", "run x"), ("root cause (human-verified)", "it broke"), ("outcome", "failed")}
 
 
+def test_files_read_by_blocks_have_the_same_lines(spark, tmp_path):
+    rng = random.Random(3)
+    for name, breaks in (("plain.log", ["\n"]), ("mixed.log", ["\n", "\r\n", "\x0c", "\u2028", "\n\n"]), ("cr.log", ["\r"])):
+        text = "".join("w" * rng.randrange(40) + rng.choice(breaks) for _ in range(400))
+        (tmp_path / name).write_bytes(text.encode() + b"\xff tail")
+    (tmp_path / "one.log").write_text("single")
+    (tmp_path / "empty.log").write_text("")
+    setting = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "1000")
+        got = sorted(map(tuple, read_lines(spark, str(tmp_path), "tensorrt").collect()))
+    finally:
+        spark.conf.set(setting, old)
+    assert got == sorted(map(tuple, explode_lines(read_artifacts(spark, str(tmp_path), "tensorrt")).collect()))
+
+
 def test_stage_keeps_rows_and_schema(spark):
     df = spark.range(10).selectExpr("id", "map('k', cast(id as string)) as m")
     copy = stage(df)
