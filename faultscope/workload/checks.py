@@ -14,7 +14,7 @@ from faultscope.schema import SUGGESTION
 from faultscope.sources.artifacts import explode_lines, sidecar_labels
 from faultscope.staging import stage
 from faultscope.workload.extraction import EXPECTED_DERIVED, derived_rules
-from faultscope.workload.registry import query, table
+from faultscope.workload.registry import QUERIES, query, table
 from faultscope.workload.relations import BOOK, _HOSTS, hosts
 from faultscope.workload.views import ARTIFACTS, BASE, duck, log_facts, v_log, with_facts, with_lines, with_rules
 
@@ -58,6 +58,18 @@ def c2_classify_hosts(spark, sf_dir):
     return classify_hosts(hosts(spark, sf_dir).select("host", "machine", "flags")).drop("machine", "flags", "reason")
 
 
+@query("c3_baseline_pairs", f"""
+with h as ({_HOSTS})
+select concat('model-', r.s_nationkey) as model, r.s_suppkey % 2 = 0 as plain, count(*) as pairs, count(distinct b.host) as baselines
+from h r join h b on r.s_nationkey = b.s_nationkey and r.s_suppkey % 2 = b.s_suppkey % 2 and r.s_suppkey % 3 = b.s_suppkey % 3 and r.host <> b.host
+where b.machine in ('x86_64', 'AMD64') and b.flags in ('avx2 fma', 'avx512f') group by all""")
+def c3_baseline_pairs(spark, sf_dir):
+    """Both variants apart, the same inputs on both sides, suitable baselines only."""
+    pairs = QUERIES["j7_cross_host_pairs"](spark, sf_dir)
+    return pairs.groupBy("model", (F.col("variant") == "plain").alias("plain")).agg(
+        F.count(F.lit(1)).alias("pairs"), F.countDistinct("baseline_host").alias("baselines"))
+
+
 _PAIRS = "(select concat('log-', a, '.log') as l, concat('log-', a + 4, '.log') as r from (select distinct a from b) where a % 8 = 1)"
 
 

@@ -139,6 +139,22 @@ def s4_rule_table(spark, sf_dir):
                         F.size(F.filter("conditions", lambda c: c["ok"])).alias("readable"), F.size("suggestions").alias("suggestions"))
 
 
+@query("r1_normalize_rules", f"""
+with {EXPECTED_DERIVED}
+select family, ord, p_brand || ' <op> and <n>' as message, 'because' as cause, case c when 1 then 'kind_a.n>=2' when 2 then 'unreadable' when 3 then 'unreadable' when 4 then 'kind_z.n<=9' else '' end as conditions,
+  case s when 0 then 'do it/maybe-incorrect' when 3 then 'run/machine-applicable' else '' end as suggestions from w""")
+def r1_normalize_rules(spark, sf_dir):
+    """Templates cut at placeholders, defaults filled in, conditions that fail closed."""
+    text = F.array_join(F.transform("segments", lambda s: F.coalesce(s["lit"], F.concat(F.lit("<"), s["key"], F.lit(">")))), "")
+
+    def bound(sign, value):
+        return F.concat(F.lit(sign), value.cast("int"))
+    conditions = F.array_join(F.transform("conditions", lambda c: F.when(~c["ok"], "unreadable").otherwise(
+        F.concat(c["kind"], F.lit("."), c["field"], F.coalesce(bound(">=", c["lo"]), bound("<=", c["hi"]))))), ",")
+    suggestions = F.array_join(F.transform("suggestions", lambda s: F.concat(s["summary"], F.lit("/"), s["applicability"])), ",")
+    return derived_rules(spark, sf_dir).select("family", "ord", text.alias("message"), "cause", conditions.alias("conditions"), suggestions.alias("suggestions"))
+
+
 @query("s5_read_sidecars", """
 select concat(s_name, '.meta.md') as artifact, unnest(['command', 'machine', 'outcome', 'root cause']) as key,
   unnest([concat('run --id ', s_suppkey), case when s_nationkey % 2 = 0 then 'arm64' else 'x86_64' end,
