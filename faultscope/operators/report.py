@@ -48,8 +48,8 @@ def secret_kinds_of(masked: DataFrame) -> DataFrame:
 
 
 def facts_listing(facts: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """``(family, artifact, seq, source, kind, observation, facts)`` in order. An artifact
-    without facts is one row with the count 0: that is a result too."""
+    """``(family, artifact, seq, source, kind, observation, facts)``, to be read by ``seq``.
+    One of ``artifacts`` without facts is one row with the count 0: a result too."""
     counts = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("facts"))
     rows = facts.select(*KEY, "seq", visible(F.col("source")).alias("source"), "kind", sanitize(F.col("summary"))["text"].alias("observation"))
     # Inner and anti join instead of one outer join: Spark can split a hot artifact
