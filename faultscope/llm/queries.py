@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from faultscope.llm import exact_dedup, mixing, simhash
+from faultscope.llm import bpe, exact_dedup, mixing, simhash, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_bpe")
+def op1_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 @query("op3_exact_dedup", """
 with d as (
   select doc_id, length(coalesce(text, '')) as size,
