@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def slices(batch: pa.RecordBatch, by: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that column ``by`` has about ``limit`` bytes in each piece."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(by)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(by)).fill_null(0), dtype=np.int64)
     piece = np.cumsum(sizes) // limit
     starts = np.flatnonzero(np.diff(piece, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,7 +278,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in slices(batch, "text", STEP):
                 texts = part.column("text").to_pylist()
-                sizes = pa.compute.binary_length(part.column("text")).cast("int64")
+                sizes = pc.binary_length(part.column("text")).cast("int64")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(count(texts))], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = texts_of(docs, id_col, text_col)
