@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import bpe, exact_dedup, mixing, simhash, transducer
+from faultscope.llm import bpe, exact_dedup, mixing, simhash, token_file, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,11 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_file")
+def op8_token_file(spark, sf_dir):
+    return token_file.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark, sf_dir):
     out = mixing.mixture(table(spark, sf_dir, "documents"))
