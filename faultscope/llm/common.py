@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,15 +76,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordBatch:
     """The words of many texts as 64-bit hashes.
 
-    ``data`` are the lower-cased UTF-8 bytes of all texts, each followed by a blank;
-    ``hashes[i]`` is the hash of word i, ``doc[i]`` the row of its text.
+    ``data`` are the UTF-8 bytes of all texts, each followed by a blank; ``hashes[i]`` is
+    the hash of word i, ``doc[i]`` the row of its text; text k has the words
+    ``first[k]`` to ``first[k + 1]`` and the bytes ``starts[k]`` to ``ends[k] - 1``.
     """
 
     def __init__(self, texts: list[str]):
-        parts = [t.lower().encode() for t in texts]
+        parts = [t.encode() for t in texts]
         self.n_docs = len(parts)
         lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
         self.data = np.frombuffer(b" ".join(parts) + b" ", np.uint8) if parts else np.zeros(0, np.uint8)
         blank = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
         edge = np.diff(blank.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
@@ -105,16 +106,61 @@ class WordBatch:
             np.multiply.accumulate(back, out=back)
             self.hashes = mix((prefix[stops] - prefix[starts]) * back[starts])
         self.doc = np.searchsorted(self.ends, starts, side="right")
+        self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
-    def per_doc(self, values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Sum of ``values`` over each text; ``doc`` names the text of every value."""
-        return np.bincount(doc, weights=values, minlength=self.n_docs)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every two neighbouring words of a text, and the number of the first.
+
+        A word that follows itself gives one hash, whatever the word.
+        """
+        left = np.flatnonzero(self.doc[:-1] == self.doc[1:])
+        a, b = self.hashes[left], self.hashes[left + 1]
+        with np.errstate(over="ignore"):
+            both = mix(a * np.uint64(3) + b)
+        both[a == b] = np.uint64(1)
+        return both, left
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the ``n`` bytes from every position, and how many positions each text has."""
+        wide = np.concatenate((self.data, np.zeros(n, np.uint8)))
+        value = np.zeros(len(self.data), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                value = value * np.uint64(257) + wide[k:k + len(self.data)]
+            value *= np.uint64(0x9E3779B97F4A7C15)
+        return value, np.maximum(0, self.ends - self.starts - n)
+
+
+def sums_between(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Sum of ``values[start:stop]`` for each pair."""
+    upto = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
+    np.cumsum(values, axis=0, out=upto[1:])
+    return upto[stops] - upto[starts]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text", skip_held_out: bool = True) -> DataFrame:
+    """doc_id, text and ``label`` (0 or 1) of about ``limit`` labelled rows, whole texts.
+
+    The labels are sampled by a hash of their doc_id, so the documents are read once and
+    joined with a table of a bounded size. Rows without a label are left out, and, unless
+    told otherwise, the fold that nothing is learnt from.
+    """
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __id is not null")
+    if skip_held_out:
+        known = known.where(~held_out(F.col("__id")))
+    known = bounded_sample(known, "__id", limit)
+    return texts_of(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+
+
+def calibration_fold(doc_id: Column) -> Column:
+    """A fifth of the rows, set apart to calibrate probabilities on."""
+    return F.pmod(F.xxhash64(F.lit("calibrate"), doc_id), F.lit(5)) == 0
 
 
 def ascii_lower(text: str) -> bytes:
     """UTF-8 bytes with A-Z in lower case and nothing else changed."""
     return text.encode().lower()
-
-
-def spark_safe_name(name: str) -> str:
-    return re.sub(r"\W", "_", name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import bpe, exact_dedup, mixing, simhash, token_file, transducer
+from faultscope.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_file, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -65,6 +70,11 @@ def op8_token_file(spark, sf_dir):
     return token_file.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark, sf_dir):
     out = mixing.mixture(table(spark, sf_dir, "documents"))
