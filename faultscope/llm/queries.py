@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_file, transducer
+from faultscope.llm import bpe, exact_dedup, html_main, language, mixing, quality_classifier, quality_rules, simhash, token_file, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,16 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_language")
+def op5_language(spark, sf_dir):
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_main")
+def op6_html_main(spark, sf_dir):
+    return html_main.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
