@@ -298,10 +298,10 @@ def _sha256_parts(data: np.ndarray, ends: np.ndarray) -> list[str]:
     return out
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, its ids decoded.
 
-    Hashes are of the decimal ids joined by one blank and of the decoded text. As
+    ``with_ids`` adds the ids (array of int). Hashes are of the decimal ids joined by one blank and of the decoded text. As
     ``encode_documents``; an empty text has the hash of nothing in both columns.
     """
     spec = _spec(docs, path)
@@ -317,9 +317,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 for table in (bpe.digits_table, bpe.names_table):
                     sizes = np.concatenate(([0], np.cumsum(table[1][flat + 1] - table[1][flat])))
                     hashes.append(_sha256_parts(render(flat, table), sizes[np.cumsum(n)]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(hashes[0], pa.string()), pa.array(hashes[1], pa.string())],
-                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": pa.array(hashes[0], pa.string()), "decoded_sha256": pa.array(hashes[1], pa.string())}
+                if with_ids:
+                    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
     rows = texts_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

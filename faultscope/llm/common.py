@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.staging import stage
+
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
 
@@ -55,6 +57,41 @@ def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key)), 33) < cut)
 
 
+def with_copies(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", key: Column | None = None, order: tuple[Column, ...] = (), once: bool = False) -> DataFrame:
+    """The rows of ``docs``, each as often as ``decided`` says, with all their columns.
+
+    ``decided`` has one row per row of ``docs``: doc_id, ``copies`` and, with ``key`` (an
+    expression over ``docs``), also ``key``. Rows that share an id and a key share their
+    copies: each gets the whole part, the first by ``order`` the remainder; with ``once``
+    they count as one row, the first, and its copies are the most that any was given. Such ids are rare, and the ranking and the second scan they need are left out when there is none.
+    """
+    by = ["doc_id"] if key is None else ["doc_id", "key"]
+    per = stage(decided.groupBy(*by).agg((F.max if once else F.sum)("copies").cast("long").alias("__copies"), F.count("*").alias("__rows"))
+                .withColumn("__ids", F.count("*").over(Window.partitionBy("doc_id")))
+                .withColumnsRenamed({"doc_id": "__id", "key": "__key"}), "copies")
+    same = docs[id_col].eqNullSafe(F.col("__id"))
+    columns = [docs[c] for c in docs.columns]
+    repeated = (F.col("__rows") > 1) | (F.col("__ids") > 1)
+    most = per.agg(F.max("__copies"), F.max(repeated.cast("int"))).first()
+    single = per.where(~repeated)
+    if (most[0] or 0) <= 1:
+        # What goes is less than what stays: drop it.
+        gone = per.where(repeated | (F.col("__copies") == 0))
+        out = docs.join(gone.select("__id").distinct(), same, "left_anti")
+    else:
+        out = docs.join(single.where("__copies > 0").select("__id", "__copies"), same)
+        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    if not most[1]:
+        return out
+    some = per.where(repeated)
+    match = same if key is None else same & key.eqNullSafe(F.col("__key"))
+    rank = Window.partitionBy(*[F.col(c) for c in ("__id", "__key") if c in some.columns]).orderBy(*(order or (F.lit(0),)))
+    several = docs.join(some, match).withColumn("__nth", F.row_number().over(rank))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
+    several = several.withColumn("__share", share).where("__share > 0")
+    return out.unionByName(several.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share").cast("int")))).select(*columns))
+
+
 # ------------------------------------------------ hashed words, a whole batch at once
 
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)

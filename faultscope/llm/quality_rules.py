@@ -192,3 +192,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     out = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {' long, '.join(names)} long, probability double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= keep_from))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Rows are judged where they lie: no join and no shuffle of the texts.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, STEP):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                counts = np.array([text_counts(t) for t in texts], np.int64).reshape(-1, 5)
+                failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
+                yield part.filter(pa.array(~failed & (model.value.probability(texts) >= keep_from)))
+
+    return docs.mapInArrow(judge, docs.schema)

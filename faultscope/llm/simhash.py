@@ -52,14 +52,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of every row."""
+    """doc_id, ``fp``, the fingerprint as a signed long, and ``key``, a hash of the text."""
     def run(batches):
         for batch in batches:
             prints = np.fromiter((fingerprint(t, shingle) for t in (x.as_py() for x in batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    rows = texts_of(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 class Forest:
@@ -180,21 +180,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
                     shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, kept, key.
 
     Fingerprints within ``radius`` bits are linked; component_id is the smallest doc_id
-    reachable over links. Null and empty texts have fingerprint zero and are linked like
-    any other. A null doc_id takes part and is never a component_id unless its component
-    has no other. Repeated rows and equal texts share a node. Other columns are not read.
-    An empty table gives an empty result.
+    reachable over links. ``kept`` marks the row of a component that stays, the first by
+    doc_id (null last) and ``key``, a hash of the text; rows that repeat both are marked
+    alike. Null and empty texts have fingerprint zero and are linked like any other. A
+    null doc_id takes part and is never a component_id unless its component has no other.
+    Other columns are not read. An empty table gives an empty result.
     """
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    nodes = stage(prints.groupBy("fp").agg(F.min(own).alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, radius, chunk))
     # Per fingerprint of more than one row or with a link: its root; a root is its own.
     rooted = stage(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1"), "least")
-    named = stage(rooted.join(least, "root").select("fp", "component_id"), "components")
-    out = prints.join(named.withColumn("linked", F.lit(True)), "fp", "left")
+    least = stage(rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).where("rows > 1"), "least")
+    named = stage(rooted.join(least, "root").select("fp", "stays"), "components")
+    out = prints.join(named, "fp", "left")
+    alone = F.col("stays").isNull()
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                      F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("component_id"),
+                      (alone | F.col("stays").eqNullSafe(own)).alias("kept"), "key")
