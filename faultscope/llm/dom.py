@@ -166,6 +166,8 @@ def read_page(html: str) -> list[Node]:
     """Nodes of a page in document order; parents come before their children."""
     reader = _Reader()
     reader.feed(html)
+    if reader.rawdata.startswith("<!"):
+        reader.rawdata = ""  # a comment that never ends
     reader.close()
     return reader.nodes
 

@@ -166,9 +166,11 @@ class Boosted:
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
     """Logistic boosting with histograms of quantile bins and Newton leaves."""
     n, width = x.shape
+    if not n:
+        x = np.zeros((1, width), np.float32)
     inner = 2 ** DEPTH - 1
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
-    binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]) if n else np.zeros((width, 0), np.int64)
+    binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]) 
     share = float(np.clip(y.mean(), 0.01, 0.99)) if n else 0.5
     margin = np.full(n, np.log(share / (1 - share)))
     found = ([], [], [])

@@ -63,7 +63,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """Sets of numbered nodes that links join; remembers the links that joined two sets."""
+    """Sets of numbered nodes that links join.
+
+    ``links`` gets the roots of two sets whenever a link joins them: as many rows as
+    nodes at most, and connected in the same way as all the links.
+    """
 
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -90,7 +94,7 @@ class Forest:
 
 def _sorted_by_quarters(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the fingerprints by the counts of their quarters, and those counts."""
-    quarters = np.bitwise_count(fps.view("<u2").reshape(-1, 4)).astype(np.int16)
+    quarters = np.bitwise_count(np.ascontiguousarray(fps).view("<u2").reshape(-1, 4)).astype(np.int16)
     order = np.lexsort(quarters.T[::-1])
     return order, quarters[order]
 
@@ -103,7 +107,7 @@ def _boxes(quarters: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
 def linked_in_tiles(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
     """Forest of the links between two lists of distinct fingerprints, or inside one.
 
-    Returns pairs of fingerprints (n, 2). Memory is bounded by one pair of tiles.
+    It connects what the links connect. Returns pairs of fingerprints (n, 2). Memory is bounded by one pair of tiles.
     """
     a_order, a_q = _sorted_by_quarters(left)
     a = left[a_order]
@@ -131,7 +135,7 @@ def linked_in_tiles(left: np.ndarray, right: np.ndarray | None, radius: int = RA
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints ``fp`` within the radius."""
+    """Pairs (u, v) of fingerprints that connect what links within the radius connect."""
     banded = nodes.select("fp", F.bit_count("fp").cast("int").alias("band"))
     # At most 65 rows, whatever the input.
     cuts = stage(banded.groupBy("band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cuts")), "bands")
