@@ -1,16 +1,11 @@
 """Text hygiene: control and bidi characters, one-line fields, clipping."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultscope.functions.sql import char, let_sql, regex
 
 # Code points that may not reach a reader raw. TAB and LF stay.
-CONTROL = [*range(0x00, 0x09), *range(0x0B, 0x20), *range(0x7F, 0xA0)]
-INVISIBLE = [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065),
-             *range(0x2066, 0x206A), 0xFEFF]
 CONTROL_CLASS = r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"
 INVISIBLE_CLASS = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
 
@@ -41,17 +36,18 @@ def split_lines(text: Column) -> Column:
     return let_sql(F.split(text, LINE_BREAK, -1), "p", "if(element_at(p, -1) = '', slice(p, 1, size(p) - 1), p)")
 
 
-def _shown(codes: list[int], klass: str, mark: Callable[[int], str]) -> str:
-    """SQL over ``t``: every listed character replaced by its mark. Most text holds
-    none, so the class is tried first."""
-    out = "t"
-    for code in codes:
-        out = f"replace({out}, {char(code)}, '{mark(code)}')"
-    return f"if(t rlike {regex(klass)}, {out}, t)"
+def _shown(klass: str, mark: str) -> str:
+    """SQL over ``t``: every character ``h`` of a class replaced by its mark. One split
+    around the hits, so the work doesn't grow with the number of listed characters.
+    Most text holds none."""
+    marks = f"transform(regexp_extract_all(t, {regex(klass)}, 0), h -> {mark})"
+    return f"if(t rlike {regex(klass)}, array_join(zip_with(split(t, {regex(klass)}, -1), {marks}, (p, m) -> concat(p, coalesce(m, ''))), ''), t)"
 
 
-_CONTROL_SHOWN = _shown(CONTROL, CONTROL_CLASS, lambda c: "<ESC>" if c == 0x1B else f"<0x{c:02x}>")
-_INVISIBLE_SHOWN = _shown(INVISIBLE, INVISIBLE_CLASS, lambda c: f"<U+{c:04X}>")
+_CONTROL_MARK = f"if(h = {char(0x1B)}, '<ESC>', concat('<0x', lower(lpad(hex(ascii(h)), 2, '0')), '>'))"
+_INVISIBLE_MARK = "concat('<U+', lpad(hex(ascii(h)), 4, '0'), '>')"
+_CONTROL_SHOWN = _shown(CONTROL_CLASS, _CONTROL_MARK)
+_INVISIBLE_SHOWN = _shown(INVISIBLE_CLASS, _INVISIBLE_MARK)
 
 
 def strip_control(text: Column) -> Column:
@@ -72,13 +68,12 @@ def visible(text: Column) -> Column:
 def oneline(text: Column, limit: int = MESSAGE_LIMIT) -> Column:
     """One line of visible text: runs of blanks become one, and a cut is marked."""
     flat = F.trim(F.regexp_replace(visible(text), _SPACE_RUN, " "))
-    return let_sql(flat, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), '… (truncated, use --json for the full text)'))")
+    return let_sql(flat, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), ' [cut here]'))")
 
 
 def clip(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
     """Cut an over-long excerpt and say how much is hidden."""
-    return let_sql(text, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), '… (+', length(t) - {limit}, "
-                   "' chars, use --json for the full line)'))")
+    return let_sql(text, "t", f"if(length(t) <= {limit}, t, concat(left(t, {limit}), ' [', length(t) - {limit}, ' more characters]'))")
 
 
 def cause_lines(text: Column) -> Column:

@@ -63,8 +63,8 @@ def test_visible(spark):
 
 def test_oneline_clip_and_causes(spark):
     assert one(spark, "  ok\r\nerror[ED0101]:\t x y ", oneline) == "ok<0x0d> error[ED0101]: x y"
-    assert one(spark, "a" * 401, oneline) == "a" * 400 + "… (truncated, use --json for the full text)"
-    assert one(spark, "a" * 301, clip) == "a" * 300 + "… (+1 chars, use --json for the full line)"
+    assert one(spark, "a" * 401, oneline) == "a" * 400 + " [cut here]"
+    assert one(spark, "a" * 301, clip) == "a" * 300 + " [1 more characters]"
     assert one(spark, "a" * 300, clip) == "a" * 300
     c = one(spark, "\n".join(f" l{i}" for i in range(14)), cause_lines)
     assert c.lines == [f"l{i}" for i in range(12)] and c.hidden == 2
