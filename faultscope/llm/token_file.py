@@ -13,11 +13,13 @@ manifest that Spark collects from the tasks names the files that count.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.llm.bpe import BEYOND_LATIN
 from faultscope.llm.common import slices, texts_of
 from faultscope.staging import new_path, stage
 
@@ -33,7 +36,10 @@ FRAME = 256 << 10
 #: Documents of about this many text bytes form a shard.
 SHARD_BYTES = 64 << 20
 END_ID = 2
-CACHE = 300_000
+#: Distinct pieces that a worker keeps before the table starts anew beside the old one.
+CACHE = 500_000
+#: Text bytes encoded at once.
+STEP = 2 << 20
 LEVEL = 3
 
 # Fixed values of the seekable format and of its skippable frames.
@@ -141,14 +147,21 @@ class SeekableReader:
             yield (None if doc["id"] == _NO_ID else int(doc["id"])), ids[int(doc["first"]):int(doc["first"]) + int(doc["n"])]
 
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-" + chr(0x24F)
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The byte-level pattern with its character classes spelt out for Latin text (fixed value).
+_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[{_DIGITS}]+| ?[^\s{_LATIN}{_DIGITS}]+|\s+(?!\S)|\s+")
+#: Elsewhere: before a blank between two characters that are no white space a new word always begins.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Where the library's white space and Python's differ.
+_ODD = re.compile("[\x1c-\x1f\x85]")
 
 
 class Encoder:
     """Ids of texts by the tokenizer library, which encodes each distinct piece once.
 
-    A blank between two characters that are no white space always begins a new word of
-    the byte-level pattern, so a text may be cut before it without changing its ids.
+    Texts are cut where the byte-level pattern cuts them anyway, so the ids of a text are
+    those of its pieces. Pieces not met again fade out of the table.
     """
 
     def __init__(self, spec: str):
@@ -157,27 +170,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], blank: str) -> dict[str, bytes]:
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE:
-            known = {p: known[p] for p in pieces if p in known}
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast([blank + p for p in new], add_special_tokens=False)):
-            known[piece] = np.array(got.ids, "<u4").tobytes()
-        return known
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        if "<|" in text or _ODD.search(text) or not text.isascii() and max(text) >= BEYOND_LATIN:
+            return [text] if _ODD.search(text) else _CUT.split(text)
+        return _WORDS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [_CUT.split(t) for t in texts]
-        self.first = self._learn(self.first, {c[0] for c in cut if c[0]}, "")
-        self.later = self._learn(self.later, {p for c in cut for p in c[1:]}, " ")
-        return [(self.first[c[0]] if c[0] else b"") + b"".join(map(self.later.__getitem__, c[1:])) for c in cut]
-
-
-def encoded(docs: DataFrame, spec: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``ids``, the little-endian 32-bit ids of the text and the end id."""
+        cut = [self.pieces(t) for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        new = []
+        for piece in distinct.difference(self.known):
+            ids = self.old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[piece] = struct.pack(f"<{len(got.ids)}I", *got.ids) if len(got.ids) < 1000 else np.array(got.ids, "<u4").tobytes()
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+
+
+def encoded(docs: DataFrame, spec: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", narrow: bool = False) -> DataFrame:
+    """doc_id and ``ids``, the ids of the text and the end id as little-endian numbers.
+
+    They take 16 bits each with ``narrow``, for vocabularies of at most 65,536, else 32.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     stop = struct.pack("<I", end_id)
 
@@ -187,13 +211,20 @@ def encoded(docs: DataFrame, spec: str, end_id: int = END_ID, id_col: str = "doc
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = Encoder(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 ids = [x + stop for x in encoder.encode(part.column("text").to_pylist())]
+                if narrow:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _largest_id(spec: str, end_id: int) -> int:
+    parsed = json.loads(spec)
+    return max(end_id, *parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"]))
+
+
 def _open(path: str, write: bool = False):
     """A binary stream on a file of any store that Arrow knows; makes its folder to write."""
     path = re.sub(r"^file:/+", "/", path)
@@ -223,10 +254,11 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, id_col: str = "do
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bounds = shard_bounds(docs, -(-size // shard_bytes), id_col)
     n = len(bounds) + 1
-    ids = encoded(docs, spec, end_id, id_col, text_col)
+    narrow = _largest_id(spec, end_id) < 1 << 16
+    ids = encoded(docs, spec, end_id, id_col, text_col, narrow)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    shard = F.lit(0) if edges is None else F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.lit(n - 1))
-    ranged = (ids.withColumn("shard", shard).repartition(n, "shard")
+    shard = F.lit(0) if edges is None else F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
+    ranged = (ids.withColumn("shard", shard).repartitionById(n, F.col("shard"))
               .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +278,8 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, id_col: str = "do
                     out = _open(path, write=True)
                     writer = SeekableWriter(out)
                 raw = data.as_py()
+                if narrow:
+                    raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                 writer.add(doc, raw)
                 docs_in += 1
                 tokens += len(raw) // 4
