@@ -18,11 +18,17 @@ def _named(keys: str) -> str:
     return _map(conditions=describe_sql(keys), condition_keys=_listed(keys), count=f"size({keys})", hex="d.hex")
 
 
-# Decimal text of the reading, where it fits 38 digits.
+# Decimal text of the reading. 31 and 32 hex digits may exceed 38 decimal ones: there the
+# upper 64 bits are a = 10 * q + r, the number is 10 * (q * 2**64) + r * 2**64 + the rest.
 _DIGITS = "substr(d.hex, 3)"
-_RAW = (f"case when {{2}} <> '' then try_cast({{2}} as decimal(38,0)) when length({_DIGITS}) <= 15 then cast(conv({_DIGITS}, 16, 10) as decimal(38,0)) "
-        f"when length({_DIGITS}) <= 30 then cast(conv(left({_DIGITS}, length({_DIGITS}) - 15), 16, 10) as decimal(19,0)) "
-        f"* cast({1 << 60} as decimal(19,0)) + cast(conv(right({_DIGITS}, 15), 16, 10) as decimal(19,0)) end")
+_TWO_64 = f"cast({1 << 64} as decimal(20,0))"
+_LONG = within_let(
+    f"struct(cast(conv(left({_DIGITS}, length({_DIGITS}) - 16), 16, 10) as decimal(20,0)) as a, cast(conv(right({_DIGITS}, 16), 16, 10) as decimal(20,0)) as b)", "n",
+    within_let(f"cast((n.a % 10) * {_TWO_64} + n.b as decimal(22,0))", "m",
+               f"concat(cast(cast(n.a div 10 as decimal(19,0)) * {_TWO_64} + cast((m - m % 10) / 10 as decimal(21,0)) as decimal(38,0)), cast(m % 10 as int))"))
+_RAW = (f"case when {{2}} <> '' then cast(try_cast({{2}} as decimal(38,0)) as string) when length({_DIGITS}) <= 15 then cast(cast(conv({_DIGITS}, 16, 10) as decimal(38,0)) as string) "
+        f"when length({_DIGITS}) <= 30 then cast(cast(conv(left({_DIGITS}, length({_DIGITS}) - 15), 16, 10) as decimal(19,0)) "
+        f"* cast({1 << 60} as decimal(19,0)) + cast(conv(right({_DIGITS}, 15), 16, 10) as decimal(19,0)) as string) else {_LONG} end")
 _WHOLE = "map_filter(" + _map(
     hex="d.hex", dec="nullif({2}, '')", raw=_RAW, live=_listed("d.live"), sticky=_listed("d.sticky"),
     unknown_bits=_listed("d.unknown_bits", ""), healthy="d.healthy") + ", (k, v) -> v is not null)"

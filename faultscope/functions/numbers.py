@@ -1,5 +1,7 @@
 """Numbers in text form and numbers fit for JSON."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,6 +10,22 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
+def _decimal_digits() -> tuple[str, str]:
+    """All characters that are decimal digits, and the digit of each."""
+    found = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+_DIGITS, _VALUES = _decimal_digits()
+
+
+def whole_number_sql(digits: str) -> str:
+    """SQL of a text of decimal digits, in any script and of any length, as a canonical
+    number: ASCII digits without leading zeros; null for the empty text."""
+    return (f"if({digits} = '', null, coalesce(nullif(ltrim('0', if({digits} rlike '^[0-9]+$', {digits}, "
+            f"translate({digits}, '{_DIGITS}', '{_VALUES}'))), ''), '0'))")
+
+
 # A decimal literal: what a strict number parser accepts. Java would also take
 # "5d" or "0x1p3", and "nan" or "Infinity" are no measurements.
 _NUMBER = r"^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*$"

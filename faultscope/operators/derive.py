@@ -22,7 +22,7 @@ def session_overview(resolved: DataFrame) -> DataFrame:
     return (resolved.where(F.col("family") == "onnxruntime").groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("line_facts"),
         F.array_sort(F.collect_set(F.when(placed, data["provider"]))).alias("providers"),
-        F.coalesce(F.sum(F.when(placed & (data["provider"] == CPU), data["count"].cast("bigint"))), F.lit(0)).alias("cpu_groups"),
+        F.coalesce(F.sum(F.when(placed & (data["provider"] == CPU), data["count"].try_cast("decimal(38,0)"))), F.lit(0)).alias("cpu_groups"),
         first(placed).alias("placement"),
         F.array_sort(F.collect_set(F.when(on_cpu, data["op"]))).alias("cpu_ops"),
         F.count_if(on_cpu).alias("cpu_nodes"),

@@ -3,11 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.functions.numbers import div
 from faultscope.functions.secrets import sanitize
 from faultscope.functions.text import strip_unicode
-from faultscope.operators.ordered import SLICE, number_within
-from faultscope.operators.report import PART
 from faultscope.operators.rules import SEVERITIES, SHOWN
 from faultscope.schema import KEY
 
@@ -74,23 +71,18 @@ def merge_synthesized(diagnoses: DataFrame, synthesized: DataFrame) -> DataFrame
     return diagnoses.unionByName(behind.select(*diagnoses.columns))
 
 
-def masked_payload(unmatched: DataFrame, part_rows: int = PART, slice_rows: int = SLICE) -> DataFrame:
-    """``(family, artifact, name, part, facts, text, secrets)``: the text block for a later
-    batch model call. Everything that leaves is masked, the artifact's name too. A
-    large artifact gives several parts."""
-    rows = number_within(unmatched.withColumn("slice", div(F.col("seq") - 1, slice_rows)), KEY, ["slice"], ["seq"], "n")
-    rows = rows.select(
-        *KEY, "seq", "id", "kind", div(F.col("n") - 1, part_rows).alias("part"), F.size("data").alias("keys"),
+def masked_payload(unmatched: DataFrame) -> DataFrame:
+    """``(family, artifact, name, seq, text, secrets)``: the text block of each fact, for a
+    later batch model call that takes as many as fit, in the order of ``seq``. Everything
+    that leaves is masked, the artifact's name too. One row per fact: no size of an
+    artifact changes the layout."""
+    rows = unmatched.select(
+        *KEY, "seq", "id", "kind", F.size("data").alias("keys"), sanitize(F.col("artifact")).alias("n"),
         sanitize(F.col("summary")).alias("s"), sanitize(F.col("source")).alias("c"),
         sanitize(F.col("excerpt")).alias("e"), sanitize(F.to_json("data")).alias("d"))
     block = F.concat(
         F.lit("- id: "), "id", F.lit("\n  kind: "), "kind", F.lit("\n  observed: "), "s.text",
         F.lit("\n  source: "), "c.text", F.lit("\n  log line: "), "e.text",
         F.when(F.col("keys") > 0, F.concat(F.lit("\n  data: "), F.col("d.text"))).otherwise(""))
-    found = F.flatten(F.array("s.kinds", "c.kinds", "e.kinds", "d.kinds"))
-    name = sanitize(F.col("artifact"))
-    return (rows.groupBy(*KEY, "part").agg(
-        F.count(F.lit(1)).alias("facts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda s: s["b"]), "\n").alias("text"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(found)))).alias("secrets"))
-        .select(*KEY, name["text"].alias("name"), "part", "facts", "text", "secrets"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.array("s.kinds", "c.kinds", "e.kinds", "d.kinds"))))
+    return rows.select(*KEY, F.col("n.text").alias("name"), "seq", block.alias("text"), found.alias("secrets"))

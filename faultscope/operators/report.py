@@ -4,15 +4,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope import __version__
-from faultscope.functions.numbers import div
 from faultscope.functions.secrets import sanitize
 from faultscope.functions.text import MESSAGE_LIMIT, oneline, visible
 from faultscope.operators.rules import SHOWN
 from faultscope.schema import KEY
 
-# Rows of one artifact in one JSON document; a larger artifact gets several.
-PART = 10_000
-
 # Payload keys that hold numbers, lists, objects or booleans.
 TYPED_KEYS = [
     "count", "partitions", "graph_nodes", "supported", "unsupported", "cpu_node_groups", "distinct_ops",
@@ -68,11 +64,12 @@ def evidence_shown(evidence: DataFrame, facts: DataFrame, limit: int = SHOWN) ->
     """``(…, code, position, id, source, excerpt, hidden)``: the first facts of each
     diagnosis, and how many citations stay hidden. Ranks are per diagnosis over the
     facts that exist, so a dangling id never takes a place."""
-    found = evidence_lookup(evidence, facts.select(*KEY, "id", "source", "excerpt"))
+    there = evidence_lookup(evidence, facts.select(*KEY, "id"))
     order = Window.partitionBy(*KEY, "code").orderBy("position")
     totals = evidence.groupBy(*KEY, "code").agg(F.count(F.lit(1)).alias("cited"))
-    head = found.withColumn("shown", F.row_number().over(order)).where(F.col("shown") <= limit)
-    return (head.join(totals, [*KEY, "code"])
+    # Ranks over narrow rows; the texts join the few that are left.
+    head = there.withColumn("shown", F.row_number().over(order)).where(F.col("shown") <= limit)
+    return (head.join(totals, [*KEY, "code"]).join(facts.select(*KEY, "id", "source", "excerpt"), [*KEY, "id"])
             .withColumn("hidden", F.greatest(F.col("cited") - limit, F.lit(0)))
             .select(*KEY, "code", "shown", "id", "source", "excerpt", "hidden"))
 
@@ -90,16 +87,17 @@ def mask_diagnoses(diagnoses: DataFrame) -> DataFrame:
             .withColumn("root_cause", sanitize(F.col("root_cause"))["text"]))
 
 
-def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame,
-                part_rows: int = PART) -> DataFrame:
-    """``(family, artifact, part, parts, json)``: strictly valid JSON documents.
+def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(family, artifact, section, at, pos, json)``: a report as strictly valid JSON lines,
+    read in the order of section, at, pos.
 
-    ``facts`` from ``redact_facts`` give a masked report; plain facts give a verbatim
-    one, with control characters shown. Hand in stored tables: facts are read twice.
+    Section 0 is the header of an artifact, 1 its diagnostics by rank, 2 their citations
+    (``at`` is the proposal, 0 for rules), 3 its facts. The layout is the same for one
+    fact and for a billion: nothing is gathered into an array, and only the header, one
+    row per artifact, takes a join.
 
-    An artifact with up to ``part_rows`` facts is one document. A larger one is
-    split: part p holds its facts and citations number ``p*part_rows+1`` and on, so
-    no task ever holds a whole hot artifact and nothing is cut off.
+    ``facts`` from ``redact_facts`` give a masked report; plain facts give a verbatim
+    one, with control characters shown. Hand in stored tables: facts are read three times.
     """
     redact = "secrets" in facts.columns
     if redact:
@@ -107,38 +105,22 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
     else:
         facts = facts.withColumns({c: visible(F.col(c)) for c in ("excerpt", "summary", "source")})
         facts = facts.withColumn("secrets", F.array().cast("array<string>"))
-
-    def part(col: str) -> Column:
-        return div(F.col(col) - 1, part_rows)
-
-    fact = F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data"))
-    by_part = facts.groupBy(*KEY, part("seq").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(fact).alias("j")))), lambda s: s["j"]).alias("facts"))
-    counts = facts.groupBy(*KEY).agg(F.max("seq").alias("n"))
-    frame = (artifacts.select(*KEY).distinct().join(counts, KEY, "left")
-             .withColumn("parts", F.greatest(div(F.coalesce("n", F.lit(0)) - 1, part_rows) + 1, F.lit(1)))
-             .select(*KEY, "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")))
     if "proposal" not in evidence.columns:
         evidence = evidence.withColumn("proposal", F.lit(0).cast("bigint"))
-    ids = evidence.groupBy(*KEY, "code", "proposal", part("position").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda s: s["id"]).alias("evidence"))
-    shown = diagnoses.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("cited") - 1, part_rows))))
-    diagnosis = F.struct("code", "severity", "message", "root_cause", "suggestions", "evidence", "confidence", "insufficient_info", "origin")
-    found = (shown.join(ids, [*KEY, "code", "proposal", "part"], "left")
-             .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
-             .groupBy(*KEY, "part").agg(F.transform(
-                 F.array_sort(F.collect_list(F.struct("rank", F.to_json(diagnosis).alias("j")))), lambda s: s["j"]).alias("diagnostics")))
-
-    def listed(col: str) -> Column:
-        return F.concat(F.lit("["), F.array_join(F.coalesce(col, F.array().cast("array<string>")), ","), F.lit("]"))
 
+    def rows(df: DataFrame, section: int, at: Column, pos: Column, body: Column) -> DataFrame:
+        return df.select(*KEY, F.lit(section).alias("section"), at.cast("bigint").alias("at"), pos.cast("bigint").alias("pos"), F.to_json(body).alias("json"))
+
+    zero = F.lit(0)
+    counts = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     name = sanitize(F.col("artifact"), redact)["text"] if redact else visible(F.col("artifact"))
-    head = F.to_json(F.struct(
+    head = (artifacts.select(*KEY).distinct().join(counts, KEY, "left").join(secret_kinds_of(facts), KEY, "left"))
+    head = rows(head, 0, zero, zero, F.struct(
         F.lit(1).alias("schemaVersion"), F.struct(F.lit("faultscope").alias("name"), F.lit(__version__).alias("version")).alias("tool"),
         F.col("family").alias("backend"), name.alias("artifact"), F.lit(redact).alias("redacted"),
-        F.coalesce("secrets", F.array().cast("array<string>")).alias("secretsDetected"),
-        F.col("part"), F.col("parts")))
-    document = F.concat(F.left(head, F.length(head) - 1), F.lit(',"diagnostics":'), listed("diagnostics"),
-                        F.lit(',"facts":'), listed("facts"), F.lit("}"))
-    return (frame.join(by_part, [*KEY, "part"], "left").join(found, [*KEY, "part"], "left").join(secret_kinds_of(facts), KEY, "left")
-            .select(*KEY, "part", "parts", document.alias("json")))
+        F.coalesce("secrets", F.array().cast("array<string>")).alias("secretsDetected"), F.coalesce("n", zero).alias("facts")))
+    found = rows(diagnoses, 1, F.col("rank"), zero, F.struct(
+        "code", "proposal", "severity", "message", "root_cause", "suggestions", "cited", "confidence", "insufficient_info", "origin"))
+    cites = rows(evidence, 2, F.col("proposal"), F.col("position"), F.struct("code", "proposal", "position", F.col("id").alias("fact")))
+    seen = rows(facts, 3, F.col("seq"), zero, F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data")))
+    return head.unionByName(found).unionByName(cites).unionByName(seen)

@@ -33,13 +33,13 @@ def within(value: Column, lo: Column | float | None, hi: Column | float | None)
     return F.coalesce(ok, F.lit(False))
 
 
-def conditions_met(book: Rulebook) -> Column:
-    """Bits of the conditions that one fact meets."""
+def conditions_met(book: Rulebook, word: int = 0) -> Column:
+    """Bits, in one mask word, of the conditions that one fact meets."""
     out = F.lit(0).cast("bigint")
     for family in book.families:
-        for text, bit in book.condition_bits(family).items():
+        for text, (at, bit) in book.condition_bits(family).items():
             c = json.loads(text)
-            if c["ok"]:
+            if c["ok"] and at == word:
                 hit = (F.col("family") == family) & (F.col("kind") == c["kind"]) & within(F.col("data")[c["field"]], c["lo"], c["hi"])
                 out = out.bitwiseOR(F.when(hit, F.lit(bit)).otherwise(F.lit(0)).cast("bigint"))
     return out
@@ -47,12 +47,29 @@ def conditions_met(book: Rulebook) -> Column:
 
 def artifact_profile(facts: DataFrame, book: Rulebook) -> DataFrame:
     """``(family, artifact, kinds, met, facts)``: all that rule matching asks about an
-    artifact, in three bigints. A hash aggregate with map-side combine: an artifact
-    with a third of all facts sends one row per task."""
-    return facts.groupBy(*KEY).agg(
-        F.bit_or(book.kind_bit(F.col("family"), F.col("kind"))).alias("kinds"),
-        F.bit_or(conditions_met(book)).alias("met"),
+    artifact, in two masks of a few words and a number. A hash aggregate with map-side
+    combine: an artifact with a third of all facts sends one row per task."""
+    words = range(book.words)
+    masks = facts.groupBy(*KEY).agg(
+        *[F.bit_or(book.kind_bit(F.col("family"), F.col("kind"), w)).alias(f"_kinds{w}") for w in words],
+        *[F.bit_or(conditions_met(book, w)).alias(f"_met{w}") for w in words],
         F.max("seq").alias("facts"))
+    return masks.select(*KEY, F.array(*[f"_kinds{w}" for w in words]).alias("kinds"), F.array(*[f"_met{w}" for w in words]).alias("met"), "facts")
+
+
+def covers(mask: Column | str, wanted: Column | str) -> Column:
+    """Whether a mask has every bit of another."""
+    return F.forall(F.zip_with(mask, wanted, lambda m, w: m.bitwiseAND(w) == w), lambda x: x)
+
+
+def meets(mask: Column | str, other: Column | str) -> Column:
+    """Whether two masks have a bit in common."""
+    return F.exists(F.zip_with(mask, other, lambda m, o: m.bitwiseAND(o) != 0), lambda x: x)
+
+
+def asks(mask: Column | str) -> Column:
+    """Whether a mask has any bit."""
+    return F.exists(mask, lambda w: w != 0)
 
 
 def match_rules(profile: DataFrame, book: Rulebook) -> DataFrame:
@@ -61,10 +78,7 @@ def match_rules(profile: DataFrame, book: Rulebook) -> DataFrame:
     rule that requires nothing never fires."""
     rules = book.table(profile.sparkSession).select("family", F.col("id").alias("code"), "ord", "severity", "need", "bar", "meet")
     return (profile.join(rules, "family")
-            .where((F.col("need") != 0)
-                   & (F.col("kinds").bitwiseAND(F.col("need")) == F.col("need"))
-                   & (F.col("kinds").bitwiseAND(F.col("bar")) == 0)
-                   & (F.col("met").bitwiseAND(F.col("meet")) == F.col("meet")))
+            .where(asks("need") & covers("kinds", "need") & ~meets("kinds", "bar") & covers("met", "meet"))
             .select(*KEY, "code", "ord", "severity", "facts"))
 
 
@@ -79,7 +93,8 @@ def cited_facts(facts: DataFrame, fired: DataFrame, book: Rulebook, slice_rows:
     sliced = fired.select(*KEY, "code", F.explode(F.sequence(F.lit(0).cast("bigint"), div(F.col("facts") - 1, slice_rows))).alias("slice"))
     return (facts.join(roles, ["family", "kind"])
             .withColumn("slice", div(F.col("seq") - 1, slice_rows))
-            .join(sliced, [*KEY, "code", "slice"], "left_semi"))
+            .join(sliced, [*KEY, "code", "slice"], "left_semi")
+            .select(*KEY, "code", "grp", "slice", "seq", "id", "kind", "data", "keys", "conditions"))
 
 
 def gather_evidence(cited: DataFrame) -> DataFrame:
@@ -120,14 +135,14 @@ def rank_diagnoses(fired: DataFrame) -> DataFrame:
 
 
 def diagnose(facts: DataFrame, book: Rulebook, fired: DataFrame | None = None, evidence: DataFrame | None = None,
-             slice_rows: int = SLICE, prefer_met: bool = False) -> DataFrame:
+             slice_rows: int = SLICE, prefer_met: bool = False, cited: DataFrame | None = None) -> DataFrame:
     """The diagnoses of every artifact; an artifact no rule explains has none.
 
     Citations stay in their own table (``gather_evidence``); here are their number
     and the first few. Every input is read more than once: hand in stored tables.
     """
     fired = match_rules(artifact_profile(facts, book), book) if fired is None else fired
-    cited = cited_facts(facts, fired, book, slice_rows)
+    cited = cited_facts(facts, fired, book, slice_rows) if cited is None else cited
     evidence = gather_evidence(cited) if evidence is None else evidence
     messages = render_messages(fired, resolve_placeholders(cited, prefer_met), book)
     counts = evidence.groupBy(*KEY, "code").agg(

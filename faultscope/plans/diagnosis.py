@@ -58,9 +58,12 @@ def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | None
     facts = stage(facts, "facts") if staged else facts
     fired = match_rules(artifact_profile(facts, book), book)
     fired = stage(fired, "fired") if staged else fired
-    evidence = gather_evidence(cited_facts(facts, fired, book, slice_rows))
+    # Evidence and messages both read the cited facts: found once, written once.
+    cited = cited_facts(facts, fired, book, slice_rows)
+    cited = stage(cited, "cited") if staged else cited
+    evidence = gather_evidence(cited)
     evidence = stage(evidence, "evidence") if staged else evidence
-    found = diagnose(facts, book, fired, evidence, slice_rows, prefer_met)
+    found = diagnose(facts, book, fired, evidence, slice_rows, prefer_met, cited)
     if proposals is not None:
         sound = grounding.ground(proposals, grounding.unmatched_facts(facts, evidence))
         found = grounding.merge_synthesized(found, grounding.label_synthesized(sound))
@@ -68,6 +71,8 @@ def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | None
     return Diagnosis(artifacts, facts, evidence, found, verdicts(artifacts, found))
 
 
-def diagnose_lines(lines: DataFrame, book: Rulebook | None = None, **options) -> Diagnosis:
-    """Text artifacts in, all result tables out."""
-    return run_diagnosis(lines.select(*KEY), line_facts(lines, options.get("slice_rows", SLICE), options.get("staged", True)), book, **options)
+def diagnose_lines(lines: DataFrame, book: Rulebook | None = None, artifacts: DataFrame | None = None, **options) -> Diagnosis:
+    """Text artifacts in, all result tables out. ``artifacts`` lists them (``list_artifacts``):
+    then an artifact without a single line has its verdict too, and the text is read once.
+    Without it the artifacts are those of the lines."""
+    return run_diagnosis(lines.select(*KEY) if artifacts is None else artifacts, line_facts(lines, options.get("slice_rows", SLICE), options.get("staged", True)), book, **options)

@@ -1,17 +1,35 @@
 """Artifacts and lines."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultscope.functions.text import LINE_BREAK, split_lines
+from faultscope.staging import stage
+
+# Block rows, some hundred bytes each, up to which they are sent to every task.
+BROADCAST_BLOCKS = 200_000
+
+
+def list_artifacts(spark: SparkSession, paths: str | list[str], family: str) -> DataFrame:
+    """``(family, artifact)`` of all files, empty ones too; no content is read.
+
+    Spark's scans leave out files of no length, so the names come from its file index,
+    which the driver holds for every scan anyway.
+    """
+    files = spark.read.format("binaryFile").load(paths).inputFiles()
+    return spark.createDataFrame([(family, unquote(f).rpartition("/")[2]) for f in files], "family string, artifact string")
 
 
 def read_artifacts(spark: SparkSession, paths: str | list[str], family: str) -> DataFrame:
-    """Whole text files as ``(family, artifact, text)``. Bytes that are no UTF-8
-    become U+FFFD; the artifact is named by its file name alone."""
-    return (spark.read.text(paths, wholetext=True)
-            .select(F.lit(family).alias("family"), F.col("_metadata.file_name").alias("artifact"),
-                    F.make_valid_utf8("value").alias("text")))
+    """Whole text files as ``(family, artifact, text)``, an empty file with the empty text.
+    Bytes that are no UTF-8 become U+FFFD; the artifact is named by its file name alone."""
+    name = F.col("_metadata.file_name").alias("artifact")
+    files = spark.read.text(paths, wholetext=True)
+    empty = list_artifacts(spark, paths, family).join(files.select(name), "artifact", "left_anti")
+    return (files.select(F.lit(family).alias("family"), name, F.make_valid_utf8("value").alias("text"))
+            .unionByName(empty.select("family", "artifact", F.lit("").alias("text"))))
 
 
 def explode_lines(artifacts: DataFrame) -> DataFrame:
@@ -26,9 +44,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], family: str) -> Data
 
     A whole file must fit one row there (2 GB); here a file is read block by block on
     many tasks. Row ids are consecutive inside a block, so a line's number is its id
-    less the block's first id plus the lines of the blocks before: no shuffle of the
-    text. Only blocks that hold a rarer line break (form feed, NEL and the like) are
-    numbered by a window, one block at a time.
+    less the block's first id plus the lines of the blocks before. The numbers of the
+    blocks are found in a first pass and written; while they are few enough they are
+    broadcast and the text is not shuffled. Blocks that hold a rarer line break (form
+    feed, NEL and the like) are numbered by a window, one block at a time; the pass
+    over them is left out when there is none.
     """
     rows = spark.read.text(paths).select(
         F.lit(family).alias("family"), F.col("_metadata.file_name").alias("artifact"), F.col("_metadata.file_path").alias("_path"),
@@ -38,8 +58,13 @@ def read_lines(spark: SparkSession, paths: str | list[str], family: str) -> Data
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (rows.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum(F.size("_parts")).alias("_lines"))
               .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))))
-    plain = rows.join(blocks.where("_rows = _lines"), block).select(
+    blocks = stage(blocks, "blocks")
+    few = blocks.count() <= BROADCAST_BLOCKS
+    even = blocks.where("_rows = _lines")
+    plain = rows.join(F.broadcast(even) if few else even, block).select(
         "family", "artifact", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("lineno"), F.col("_parts")[0].alias("line"))
+    if blocks.where("_rows <> _lines").isEmpty():
+        return plain
     earlier = Window.partitionBy(*block).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     mixed = (rows.join(blocks.where("_rows <> _lines"), block)
              .withColumn("_start", F.col("_before") + F.coalesce(F.sum(F.size("_parts")).over(earlier), F.lit(0)))

@@ -12,8 +12,8 @@ from faultscope.families import FAMILIES, profile
 from faultscope.operators.rule_tables import normalize_rules
 from faultscope.schema import RULES
 
-# A table this small is always worth a broadcast; a larger one is left to Spark.
-BROADCAST_ROWS = 10_000
+# Bits of one mask word; a family with more kinds takes more words.
+WORD = 63
 
 
 def _builtin(rule: dict, family: str, order: int) -> dict:
@@ -34,8 +34,9 @@ def _builtin(rule: dict, family: str, order: int) -> dict:
 
 @dataclass(frozen=True)
 class Rulebook:
-    """The rules of all families. Tiny and known when the plan is built, so kinds
-    and conditions become bits and an artifact's whole evidence is two bigints."""
+    """The rules of all families: configuration that people write, known when the plan
+    is built. So kinds and conditions become bits of a few words, and an artifact's
+    whole evidence is those words."""
 
     rules: tuple[dict, ...]
 
@@ -46,11 +47,9 @@ class Rulebook:
 
     @classmethod
     def of(cls, rules: DataFrame) -> "Rulebook":
-        """From a table in the rules schema. Rules are configuration that people
-        write, so their number is checked before they come to the driver."""
-        rows = rules.limit(BROADCAST_ROWS + 1).collect()
-        if len(rows) > BROADCAST_ROWS:
-            raise ValueError(f"more than {BROADCAST_ROWS} rules; a rule table is hand-edited data")
+        """From a table in the rules schema. Rules become part of the plan, so they come
+        to the driver, every one of them."""
+        rows = rules.toLocalIterator()
         return cls(tuple(sorted((r.asDict(recursive=True) for r in rows), key=lambda r: (r["family"], r["ord"]))))
 
     @classmethod
@@ -62,37 +61,52 @@ class Rulebook:
             F.try_variant_get("rule", "$.family", "string").alias("family"),
             F.coalesce(F.try_variant_get("rule", "$.ord", "int"), F.lit(0)).alias("ord"), "rule")))
 
-    def _bits(self, names: list[str], what: str) -> dict[str, int]:
-        if len(names) > 63:
-            raise ValueError(f"a family may refer to 63 {what} at most, this one has {len(names)}: split it")
-        return {n: 1 << i for i, n in enumerate(names)}
+    @staticmethod
+    def _bits(names: list[str]) -> dict[str, tuple[int, int]]:
+        return {n: (i // WORD, 1 << i % WORD) for i, n in enumerate(dict.fromkeys(names))}
 
-    def kind_bits(self, family: str) -> dict[str, int]:
+    def kind_bits(self, family: str) -> dict[str, tuple[int, int]]:
+        """Word and bit of every kind that the family's rules require or forbid."""
         kinds = [k for r in self.rules if r["family"] == family for k in (*r["requires"], *r["absent"])]
-        return self._bits(list(dict.fromkeys(kinds)), "kinds")
+        return self._bits(kinds)
 
-    def condition_bits(self, family: str) -> dict[str, int]:
+    def condition_bits(self, family: str) -> dict[str, tuple[int, int]]:
         keys = [json.dumps(c, sort_keys=True) for r in self.rules if r["family"] == family for c in r["conditions"]]
-        return self._bits(list(dict.fromkeys(keys)), "conditions")
+        return self._bits(keys)
+
+    @property
+    def words(self) -> int:
+        """Mask words that the largest family takes, one at least."""
+        most = [len(bits) for f in self.families for bits in (self.kind_bits(f), self.condition_bits(f))]
+        return -(-max([1, *most]) // WORD)
 
     @property
     def families(self) -> list[str]:
         return list(dict.fromkeys(r["family"] for r in self.rules))
 
     def _local(self, spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-        """A driver-side list as a relation of the JVM: no Python worker, no RDD."""
-        df = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), T.ArrayType(schema))))
-        return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+        """A driver-side list as a relation of the JVM: no Python worker, no RDD, and Spark
+        judges its size when it joins."""
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), T.ArrayType(schema))))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The rules schema plus the masks ``need``, ``bar`` and ``meet``."""
-        masks = T.StructType([*RULES.fields, T.StructField("need", T.LongType()), T.StructField("bar", T.LongType()),
-                              T.StructField("meet", T.LongType())])
+        """The rules schema plus the masks ``need``, ``bar`` and ``meet``, arrays of words."""
+        mask = T.ArrayType(T.LongType())
+        masks = T.StructType([*RULES.fields, *(T.StructField(n, mask) for n in ("need", "bar", "meet"))])
+        words = self.words
+        bits = {f: (self.kind_bits(f), self.condition_bits(f)) for f in self.families}
+
+        def packed(places) -> list[int]:
+            out = [0] * words
+            for word, bit in places:
+                out[word] |= bit
+            return out
+
         rows = []
         for r in self.rules:
-            kinds, conds = self.kind_bits(r["family"]), self.condition_bits(r["family"])
-            rows.append({**r, "need": sum(kinds[k] for k in r["requires"]), "bar": sum(kinds[k] for k in r["absent"]),
-                         "meet": sum(conds[k] for k in {json.dumps(c, sort_keys=True) for c in r["conditions"]})})
+            kinds, conds = bits[r["family"]]
+            rows.append({**r, "need": packed(kinds[k] for k in r["requires"]), "bar": packed(kinds[k] for k in r["absent"]),
+                         "meet": packed(conds[json.dumps(c, sort_keys=True)] for c in r["conditions"])})
         return self._local(spark, rows, masks)
 
     def roles(self, spark: SparkSession) -> DataFrame:
@@ -113,11 +127,11 @@ class Rulebook:
                       "conditions": [c for c in r["conditions"] if c["kind"] == k]} for k, g in kinds]
         return self._local(spark, rows, schema)
 
-    def kind_bit(self, family: Column, kind: Column) -> Column:
-        """Bit of a fact's kind, 0 for kinds no rule asks about."""
+    def kind_bit(self, family: Column, kind: Column, word: int = 0) -> Column:
+        """Bit of a fact's kind in one mask word, 0 for kinds no rule asks about."""
         out = F.lit(0).cast("bigint")
         for name in self.families:
-            bits = self.kind_bits(name)
+            bits = {k: bit for k, (at, bit) in self.kind_bits(name).items() if at == word}
             if bits:
                 table = F.create_map(*[x for k, b in bits.items() for x in (F.lit(k), F.lit(b).cast("bigint"))])
                 out = F.when(family == name, F.coalesce(F.try_element_at(table, kind), F.lit(0).cast("bigint"))).otherwise(out)

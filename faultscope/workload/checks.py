@@ -14,7 +14,7 @@ from faultscope.schema import SUGGESTION
 from faultscope.sources.artifacts import explode_lines, sidecar_labels
 from faultscope.staging import stage
 from faultscope.workload.extraction import EXPECTED_DERIVED, derived_rules
-from faultscope.workload.registry import QUERIES, query, table
+from faultscope.workload.registry import flat_map, QUERIES, query, table
 from faultscope.workload.relations import BOOK, _HOSTS, hosts
 from faultscope.workload.views import ARTIFACTS, BASE, duck, log_facts, v_log, with_facts, with_lines, with_rules
 
@@ -239,13 +239,9 @@ def q9_determinism(spark, sf_dir):
     return audit.determinism(first, spoilt)
 
 
-@query("q10_false_positives", r"""
-select concat('doc-', doc_id) as artifact, 0 as facts, count(*) as secrets from (
-  select doc_id, unnest(string_split(text, chr(10))) as line from documents)
-where regexp_matches(line, '(?i)(\b[a-z0-9_\-]{0,24}(?:secret|passwd|password|token|api[_\-]?key|access[_\-]?key|credential|private[_\-]?key|session[_\-]?id)[a-z0-9_\-]{0,24}\s*[=:]\s*)(?:"[^\s"'',;]{4,200}"|''[^\s"'',;]{4,200}''|[^\s"'',;]{4,200})')
-  or regexp_matches(line, 'sk-ant-(?:api\d\d-)?[A-Za-z0-9_\-]{16,120}|\bsk-(?:proj-)?[A-Za-z0-9]{20,80}\b|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,80}\b|\bhf_[A-Za-z0-9]{30,50}\b')
-  or regexp_matches(line, '\bAIza[A-Za-z0-9_\-]{35}\b|\bglpat-[A-Za-z0-9_\-]{16,40}\b|-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY|\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@]{1,64}:[^\s/@]{1,200}@')
-group by doc_id""")
+@query("q10_false_positives", """
+select concat('doc-', doc_id) as artifact, 0 as facts, count(*) as secrets
+from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, 'token = "[0-9a-f]{40}"') group by doc_id""")
 def q10_false_positives(spark, sf_dir):
     """Prose read as each family by turns: no fact may come of it. Secrets that really
     are in the documents are counted."""
@@ -255,13 +251,17 @@ def q10_false_positives(spark, sf_dir):
     return audit.false_positive_audit(lines, match_signatures(lines)).select("artifact", "facts", "secrets")
 
 
-@query("q10_false_positives_turns", "select cast(null as varchar) as artifact, cast(null as bigint) as facts, cast(null as bigint) as secrets where false")
+@query("q10_false_positives_turns", """
+select family, concat('turn-', conv_id, '-', turn) as artifact, case family when 'raspberrypi' then 2 else 0 end as facts, 1 as secrets
+from conversations, (values ('tensorrt'), ('polygraphy'), ('onnxruntime'), ('raspberrypi')) families(family) where conv_id % 7 = 0""")
 def q10_false_positives_turns(spark, sf_dir):
-    """Conversations hold neither facts nor secrets: no row."""
-    turns = table(spark, sf_dir, "conversations")
+    """Turns read as every family. One conversation of seven ends each turn with a host
+    reading and a password; the others hold neither facts nor secrets."""
+    planted = F.when(F.col("conv_id") % 7 == 0, F.lit("\nthrottled=0x0\npassword=hunter22x")).otherwise("")
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", planted))
     lines = explode_lines(turns.select(F.explode(F.array(*[F.lit(f) for f in ("tensorrt", "polygraphy", "onnxruntime", "raspberrypi")])).alias("family"),
                                        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("artifact"), "text"))
-    return audit.false_positive_audit(lines, match_signatures(lines)).select("artifact", "facts", "secrets")
+    return audit.false_positive_audit(lines, match_signatures(lines)).select("family", "artifact", "facts", "secrets")
 
 
 # ---------------------------------------------------------------- L: grounding
@@ -316,19 +316,20 @@ def l3_label_synthesized(spark, sf_dir):
 
 
 @query("l4_masked_payload", with_rules("""
-, u as (select f.*, row_number() over (partition by f.a order by f.seq) as n from f where f.family = 'raspberrypi'
-          and not exists (select 1 from ev where ev.a = f.a and ev.seq = f.seq))
-select family, artifact, cast((n - 1) // 2 as bigint) as part, count(*) as facts,
-  string_agg(concat('- id: f', seq, chr(10), '  kind: ', kind, chr(10), '  source: ', artifact, ':', lineno, chr(10), '  log line: user [REDACTED:gitlab-token]'), chr(10) order by seq) as text,
-  'gitlab-token' as secrets from u group by family, artifact, (n - 1) // 2"""))
+, u as (select f.*, row_number() over (partition by f.a order by f.seq) as n from f where
+          not exists (select 1 from ev where ev.a = f.a and ev.seq = f.seq))
+select family, artifact, seq, concat('- id: f', seq, chr(10), '  kind: ', kind, chr(10), '  observed: what was seen', chr(10),
+  '  source: ', artifact, ':', lineno, chr(10), '  log line: user [REDACTED:gitlab-token]') as text, payload as data, 'gitlab-token' as secrets from u"""))
 def l4_masked_payload(spark, sf_dir):
-    """The text blocks of host captures in parts of two facts, a token in every line."""
+    """The text block of every fact of all families, a token in every line. The payload
+    inside the block is read back by a JSON parser."""
     facts, evidence, _ = _run(spark, sf_dir)
-    open_facts = grounding.unmatched_facts(facts, evidence).where("family = 'raspberrypi'").withColumn("excerpt", F.lit("user glpat-abcdefghijklmnop"))
-    payload = grounding.masked_payload(open_facts, part_rows=2)
-    # Sentences and payload texts have their own queries.
-    text = F.regexp_replace("text", r"\n  (?:observed|data): [^\n]*", "")
-    return payload.select("family", "artifact", "part", "facts", text.alias("text"), F.array_join("secrets", ",").alias("secrets"))
+    open_facts = grounding.unmatched_facts(facts, evidence).withColumns({
+        "excerpt": F.lit("user glpat-abcdefghijklmnop"), "summary": F.lit("what was seen")})
+    payload = grounding.masked_payload(open_facts)
+    parts = F.split("text", "\n  data: ")
+    return payload.select("family", "artifact", "seq", parts[0].alias("text"), flat_map(F.from_json(F.coalesce(F.get(parts, F.lit(1)), F.lit("{}")), "map<string,string>")).alias("data"),
+                          F.array_join("secrets", ",").alias("secrets"))
 
 
 @query("l5_merge_synthesized", with_rules(_GROUNDED + f"""
@@ -358,15 +359,19 @@ def j8_union_diagnoses(spark, sf_dir):
 @query("s7_report_json", with_rules(f"""
 , t as (select a, count(*) as facts from f group by a), cc as (select a, count(*) as cited from ev group by a),
 dx as (select a, count(*) as n, array_to_string(list(code order by rank), ',') as codes from fired group by a)
-select g.family, g.artifact, 1 as parts, coalesce(dx.n, 0) as diagnostics, coalesce(dx.codes, '') as codes, coalesce(cc.cited, 0) as cited, coalesce(t.facts, 0) as facts
+select g.family, g.artifact, coalesce(dx.n, 0) as diagnostics, coalesce(dx.codes, '') as codes, coalesce(cc.cited, 0) as cited, coalesce(t.facts, 0) as facts
 from {ARTIFACTS} g left join t on t.a = g.a left join cc on cc.a = g.a left join dx on dx.a = g.a"""))
 def s7_report_json(spark, sf_dir):
-    """The documents, read back by a JSON parser."""
+    """The lines, read back by a JSON parser: header, diagnostics by rank, citations, facts."""
     facts, evidence, found = _run(spark, sf_dir)
-    docs = report.report_json(v_log(spark, sf_dir), stage(report.redact_facts(facts), "masked"), found, evidence)
-    schema = ("schemaVersion int, backend string, artifact string, redacted boolean, diagnostics array<struct<code string, evidence array<string>>>, "
-              "facts array<struct<id string, data map<string, variant>>>")
-    doc = docs.select("parts", F.from_json("json", schema, {"mode": "FAILFAST"}).alias("d"))
-    return doc.select(F.col("d.backend").alias("family"), F.col("d.artifact").alias("artifact"), "parts", F.size("d.diagnostics").cast("bigint").alias("diagnostics"),
-                      F.array_join("d.diagnostics.code", ",").alias("codes"),
-                      F.size(F.flatten("d.diagnostics.evidence")).cast("bigint").alias("cited"), F.size("d.facts").cast("bigint").alias("facts"))
+    lines = report.report_json(v_log(spark, sf_dir), stage(report.redact_facts(facts), "masked"), found, evidence)
+    schema = "backend string, artifact string, facts bigint, code string, fact string, id string, data map<string, variant>"
+    doc = lines.withColumn("d", F.from_json("json", schema, {"mode": "FAILFAST"}))
+
+    def in_section(number: int, field: str):
+        return F.count_if((F.col("section") == number) & F.col(f"d.{field}").isNotNull())
+
+    codes = F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == 1, F.struct("at", "d.code")))), lambda x: x["code"])
+    return doc.groupBy("family", "artifact").agg(
+        in_section(1, "code").alias("diagnostics"), F.array_join(codes, ",").alias("codes"),
+        in_section(2, "fact").alias("cited"), in_section(3, "id").alias("facts"))

@@ -184,15 +184,19 @@ def s8_facts_listing(spark, sf_dir):
 
 
 @query("s9_facts_from_text", with_lines("""
-select concat('event-', a * 4 + lineno - 1) as artifact, concat('event-', a * 4 + lineno - 1, ':1') as source, kind, payload
-from x where family = 'tensorrt' and kind is not null"""))
+select concat('event-', a * 4 + lineno - 1) as artifact, concat('event-', a * 4 + lineno - 1, ':1') as source, kind
+from x where kind is not null
+union all select concat('event-', a * 4 + lineno - 1), concat('event-', a * 4 + lineno - 1, ':1'), 'node_on_provider' from x where kind is null and family = 'onnxruntime'"""))
 def s9_facts_from_text(spark, sf_dir):
-    """A text column of any table; here each message is an artifact of its own."""
-    messages = v_log(spark, sf_dir).where("family = 'tensorrt'").withColumn(
-        "event", F.regexp_extract("artifact", r"(\d+)", 1).cast("bigint") * 4 + F.col("lineno") - 1)
-    lines = lines_of_text(messages, "tensorrt", F.concat(F.lit("event-"), F.col("event")), F.col("line"))
-    return match_signatures(lines, [FAMILIES["tensorrt"]]).select(
-        "artifact", citation(F.col("artifact"), F.col("lineno")).alias("source"), "kind", flat_map("data").alias("payload"))
+    """A text column of any table, family by family; each message is an artifact of its
+    own, so a node line has no heading before it."""
+    messages = v_log(spark, sf_dir).withColumn("event", F.regexp_extract("artifact", r"(\d+)", 1).cast("bigint") * 4 + F.col("lineno") - 1)
+    facts = None
+    for name, family in FAMILIES.items():
+        lines = lines_of_text(messages.where(F.col("family") == name), name, F.concat(F.lit("event-"), F.col("event")), F.col("line"))
+        found = match_signatures(lines, [family]).select("artifact", citation(F.col("artifact"), F.col("lineno")).alias("source"), "kind")
+        facts = found if facts is None else facts.unionByName(found)
+    return facts
 
 
 # ---------------------------------------------------------------- X: extraction
@@ -206,10 +210,10 @@ def x1_match_signatures(spark, sf_dir):
     return match_signatures(v_log(spark, sf_dir)).select("family", "artifact", "lineno", "kind")
 
 
-@query("x2_capture_payload", with_lines("select artifact, lineno, kind, payload from x where kind is not null and family in ('tensorrt', 'raspberrypi')"))
+@query("x2_capture_payload", with_lines("select artifact, lineno, kind, payload from x where kind is not null"))
 def x2_capture_payload(spark, sf_dir):
-    lines = v_log(spark, sf_dir).where(F.col("family").isin("tensorrt", "raspberrypi"))
-    return match_signatures(lines).select("artifact", "lineno", "kind", flat_map("data").alias("payload"))
+    """All families. Context is resolved too: the payloads of two families carry it."""
+    return resolved_log(spark, sf_dir).select("artifact", "lineno", "kind", flat_map("data").alias("payload"))
 
 
 @query("x3_fact_ids", with_lines("select family, artifact, lineno, kind, concat('f', seq) as id from n"))
@@ -244,13 +248,24 @@ select artifact, lineno, kind, case kind
   when 'oom_kill' then concat('The kernel killed ''worker'' (pid ', k, ') for lack of memory')
   when 'soc_temperature' then concat('SoC temperature ', k, '.5 °C')
   when 'allocation_failed' then concat('A buffer of ', cast(k as bigint) * 1048576, ' bytes could not be allocated')
-  when 'throttle_clear' then 'No throttling and no undervoltage, now or earlier' end as summary
-from x where kind in ('trt_version', 'no_implementation', 'tactic_skipped', 'unsupported_op', 'oom_kill', 'soc_temperature', 'allocation_failed', 'throttle_clear')"""))
+  when 'throttle_clear' then 'No throttling and no undervoltage, now or earlier'
+  when 'throttled_bitfield' then concat('get_throttled reads ', case when e = 'purchase' then '0x0' else cast(cast(pow(2, bit) as bigint) as varchar) end)
+  when 'throttle_active' then concat('Now: ', string_split(string_split(payload, 'conditions=')[2], ';')[1])
+  when 'throttle_occurred' then concat('Earlier: ', string_split(string_split(payload, 'conditions=')[2], ';')[1])
+  when 'throttle_unknown_bits' then concat('Bits without documented meaning are set: ', bit)
+  when 'compared_output' then concat('Comparison of ''t', k, ''' (dtype=float32, shape=(1, ', k, '))')
+  when 'output_mismatch' then concat('''t', k, ''' differs by more than the tolerance (rel=1e-05, abs=1e-05)')
+  when 'required_tolerance' then concat('abs=0.', k, ' or rel=1.', k, ' would have been enough (elemwise error)')
+  when 'all_outputs_matched' then 'All 1 compared output(s) agree'
+  when 'mismatched_outputs' then '2 output(s) did not agree'
+  when 'node_placement' then concat(k, ' node group(s) run on ', ctx)
+  when 'node_on_provider' then concat('Node ''Op', k, '_0'' (Op', k, ') runs on ', ctx)
+  when 'provider_unavailable' then 'Provider CUDAExecutionProvider was asked for but is not in this build'
+  when 'session_providers' then 'The session uses CPUExecutionProvider' end as summary
+from x where kind is not null"""))
 def x6_summary_text(spark, sf_dir):
-    raw = match_signatures(v_log(spark, sf_dir).where(F.col("family").isin("tensorrt", "raspberrypi")))
-    return (raw.where(F.col("kind").isin("trt_version", "no_implementation", "tactic_skipped", "unsupported_op", "oom_kill",
-                                        "soc_temperature", "allocation_failed", "throttle_clear"))
-            .select("artifact", "lineno", "kind", summary_text().alias("summary")))
+    """Every kind of every family, context included."""
+    return resolved_log(spark, sf_dir).select("artifact", "lineno", "kind", summary_text().alias("summary"))
 
 
 @query("x7_parse_metrics_blob", f"""

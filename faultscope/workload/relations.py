@@ -9,7 +9,7 @@ from faultscope.operators import report
 from faultscope.operators.compare import baseline_pairs, classify_hosts
 from faultscope.operators.derive import derive_facts, first_divergence
 from faultscope.operators.grounding import unmatched_facts
-from faultscope.operators.rules import (artifact_profile, cited_facts, diagnose, gather_evidence, match_rules,
+from faultscope.operators.rules import (artifact_profile, asks, cited_facts, covers, diagnose, gather_evidence, match_rules, meets,
                                         rank_diagnoses, render_messages, resolve_placeholders, within)
 from faultscope.operators.traces import (kernel_cube, kernel_events, profile_rollup, readable_op, rollup_facts,
                                          session_phases, trace_facts)
@@ -43,14 +43,14 @@ def j1_rules_by_artifact(spark, sf_dir):
     """Every rule of the family against every artifact: the pairs that share a kind."""
     profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need")
-    return profile.join(rules, "family").where(F.col("kinds").bitwiseAND(F.col("need")) != 0).select("family", "artifact", "code")
+    return profile.join(rules, "family").where(meets("kinds", "need")).select("family", "artifact", "code")
 
 
 @query("j2_requires_all", with_rules("select kinds.family, kinds.artifact, r.code from kinds join r on r.family = kinds.family where list_has_all(kinds.kinds, r.req)"))
 def j2_requires_all(spark, sf_dir):
     profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need")
-    return (profile.join(rules, "family").where((F.col("need") != 0) & (F.col("kinds").bitwiseAND(F.col("need")) == F.col("need")))
+    return (profile.join(rules, "family").where(asks("need") & covers("kinds", "need"))
             .select("family", "artifact", "code"))
 
 
@@ -61,8 +61,8 @@ def j3_absent_any(spark, sf_dir):
     """Rules that would fire but for a forbidden kind."""
     profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need", "bar")
-    has = F.col("kinds").bitwiseAND(F.col("need")) == F.col("need")
-    return (profile.join(rules, "family").where((F.col("need") != 0) & has & (F.col("kinds").bitwiseAND(F.col("bar")) != 0))
+    has = covers("kinds", "need")
+    return (profile.join(rules, "family").where(asks("need") & has & meets("kinds", "bar"))
             .select("family", "artifact", "code"))
 
 

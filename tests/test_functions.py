@@ -115,3 +115,14 @@ def test_hosts(spark, machine, flags, verdict):
     row = spark.createDataFrame([(machine, flags)], "m string, f array<string>").select(classify_host(F.col("m"), F.col("f")).alias("c")).first().c
     assert row.saturation_possible is verdict and row.suitable is (verdict is True)
     assert (row.has_avx2 is None) == (not flags)
+
+
+def test_readings_and_counts_of_any_length(spark):
+    from faultscope.operators.signatures import match_signatures
+    lines = [f"throttled=0x{'f' * n}" for n in (1, 15, 16, 30, 31, 32)] + [f"throttled=0x{1 << 124:x}", f"throttled=0x{(1 << 127) + 12345678901234567890:x}"]
+    counts = {"12345678901234567890123": "12345678901234567890123", "007": "7", "0": "0", "٣٤": "34", "9" * 50: "9" * 50}
+    rows = [("raspberrypi", str(i), 1, line) for i, line in enumerate(lines)] + [("onnxruntime", c, 1, f"All nodes placed on [CPU]. Number of nodes: {c}") for c in counts]
+    facts = match_signatures(spark.createDataFrame(rows, "family string, artifact string, lineno bigint, line string")).collect()
+    raw = {r.artifact: r.data["raw"] for r in facts if r.kind == "throttled_bitfield"}
+    assert raw == {str(i): str(int(line.split("=")[1], 16)) for i, line in enumerate(lines)}
+    assert {r.artifact: r.data["count"] for r in facts if r.kind == "all_nodes_one_provider"} == counts
