@@ -225,8 +225,8 @@ select a, lineno, case k % 5 when 0 then concat('CoreML compiled subgraph #', k)
   when 2 then concat('a_', k + 1000000, '_b') when 3 then concat('123_', k) else e end as label from b""")
 def a11_readable_op(spark, sf_dir):
     k = F.col("k")
-    name = (F.when(k % 5 == 0, F.concat(F.lit("7615378_CoreML_7615378_"), k))
-            .when(k % 5 == 1, F.concat(F.lit("AccelExecutionProvider_7615378_Accel_7615378_"), k, F.lit("_0")))
+    name = (F.when(k % 5 == 0, F.concat(F.lit("4823901_CoreML_4823901_"), k))
+            .when(k % 5 == 1, F.concat(F.lit("AccelExecutionProvider_4823901_Accel_4823901_"), k, F.lit("_0")))
             .when(k % 5 == 2, F.concat(F.lit("a_"), k + 1000000, F.lit("_b"))).when(k % 5 == 3, F.concat(F.lit("123_"), k)).otherwise(F.col("e")))
     return spark.sql(BASE, events=table(spark, sf_dir, "events")).select("a", "lineno", readable_op(name).alias("label"))
 
