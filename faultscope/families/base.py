@@ -65,6 +65,19 @@ class Signature:
         return f"case when not ({self._fill(self.unless, line)}) then {one} end" if self.unless else one
 
 
+# What the placeholders of a line template stand for; every run is bounded but the rest.
+_PLACES = {"int": r"(\d{1,64})", "name": r"(\w{1,128})", "inner": r"([^\]\)\"']{1,512})", "rest": r"(.+)$"}
+
+
+def line(kind: str, template: str, *fields: Field) -> Signature:
+    """A signature of literal text with typed places: ``<int>``, ``<name>``, ``<inner>`` (up to
+    a closing bracket or quote) and ``<rest>`` of the line. The places are the groups
+    1, 2, … and the longest literal is the probe."""
+    parts = re.split(r"<(int|name|inner|rest)>", template)
+    pattern = "".join(re.escape(text) + _PLACES.get(place, "") for text, place in zip(parts[::2], [*parts[1::2], ""]))
+    return Signature(kind, (max(parts[::2], key=len),), "(?U)" + pattern, fields)
+
+
 @dataclass(frozen=True)
 class Context:
     """Block context: the ``opens`` kinds set ``key``; the ``takes`` kinds
