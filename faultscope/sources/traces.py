@@ -1,8 +1,14 @@
 """Profiling traces."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultscope.sources.artifacts import read_lines
+
+# What may stand around the one event of a line: the opening of the list, or of the
+# object that holds it, and what closes them.
+_BEFORE = r'^\s*(?:\{\s*"traceEvents"\s*:\s*)?[\[,]?\s*'
+_AFTER = r"(?:(?<=\})|^)\s*,?\s*(?:\]\s*\}?)?\s*$"
 
 
 def read_trace(artifacts: DataFrame) -> DataFrame:
@@ -16,6 +22,21 @@ def read_trace(artifacts: DataFrame) -> DataFrame:
             .select("artifact", F.col("idx").cast("bigint").alias("idx"), "ev"))
 
 
+def read_trace_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(artifact, idx, ev variant, unread)`` of trace files that hold one event per line.
+
+    Files are read block by block, so a trace may be of any size; ``idx`` is the line
+    number. A line that is no event is a row without ``ev`` whose text is ``unread``:
+    nothing is passed over in silence. ``read_trace`` is for documents in any layout that
+    fit a row.
+    """
+    body = F.regexp_replace(F.regexp_replace("line", _BEFORE, ""), _AFTER, "")
+    lines = read_lines(spark, paths, "trace").select("artifact", F.col("lineno").alias("idx"), "line", body.alias("body")).where("body <> ''")
+    event = F.try_parse_json("body")
+    return lines.select("artifact", "idx", F.when(F.schema_of_variant(event).startswith("OBJECT"), event).alias("ev"), "line").select(
+        "artifact", "idx", "ev", F.when(F.col("ev").isNull(), F.col("line")).alias("unread"))
+
+
 def _text(path: str) -> Column:
     return F.try_variant_get("ev", path, "string")
 

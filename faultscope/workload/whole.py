@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from faultscope.plans.diagnosis import diagnose_lines
 from faultscope.sources.artifacts import list_artifacts, read_lines, read_sidecars
 from faultscope.sources.rulebook import Rulebook
+from faultscope.sources.traces import read_trace_lines, type_events
 from faultscope.staging import new_path, stage
 from faultscope.streaming.lines import stream_facts
 from faultscope.workload.registry import query, table
@@ -38,6 +39,21 @@ def s4_rulebook_from_files(spark, sf_dir):
     return rules.select("family", "ord", F.col("id").alias("code"), "severity", F.array_join("requires", ",").alias("requires"))
 
 
+@query("s3_trace_lines", """
+select case when event_id % 50 <> 7 then concat(event_type, '_kernel_time') end as name, case when event_id % 50 = 7 then null else event_id end as dur,
+  case when event_id % 50 = 7 then null else concat('P', user_id % 3) end as provider, event_id % 50 = 7 as unread from events""")
+def s3_trace_lines(spark, sf_dir):
+    """Events in list files of one event per line, some of them cut off, read by blocks."""
+    folder = new_path(spark, "trace-lines")
+    event = F.to_json(F.struct(F.lit("Node").alias("cat"), F.concat("event_type", F.lit("_kernel_time")).alias("name"), F.col("event_id").alias("dur"),
+                               F.struct(F.col("event_type").alias("op_name"), F.concat(F.lit("P"), F.col("user_id") % 3).alias("provider")).alias("args")))
+    cut = F.when(F.col("event_id") % 50 == 7, F.left(event, F.length(event) - 9)).otherwise(F.concat(event, F.lit(",")))
+    lines = F.when(F.col("event_id") == 0, F.concat(F.lit("[\n"), cut)).otherwise(cut)
+    table(spark, sf_dir, "events").select(lines.alias("value")).write.text(folder)
+    trace = read_trace_lines(spark, folder)
+    return type_events(trace).join(trace.select("artifact", "idx", F.col("unread").isNotNull().alias("unread")), ["artifact", "idx"]).select("name", "dur", "provider", "unread")
+
+
 @query("run_log_files", """
 select 2 as exit_code, count(*) as facts, 0 as empty_files from customer where c_nationkey % 3 = 0
 union all select 0, 2 * count(*), 1 from customer where c_nationkey % 3 = 1""")
