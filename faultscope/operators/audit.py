@@ -2,10 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.families import FAMILIES
+from faultscope.families import FAMILIES, profile
 from faultscope.functions.paths import find_machine_paths
 from faultscope.functions.secrets import secret_kinds
 from faultscope.functions.sql import literal
@@ -15,14 +15,19 @@ from faultscope.schema import KEY
 
 
 def audit_citations(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Facts whose cited line does not exist or is not the excerpt. The join key holds
-    the line number, so one artifact spreads over all tasks."""
-    cited = facts.select(*KEY, "id", "excerpt", F.substring_index("source", ":", -1).try_cast("bigint").alias("lineno"))
-    truth = lines.select(*KEY, "lineno", strip_unicode(F.col("line")).alias("_line"))
+    """Facts whose cited line does not exist or is not the excerpt, and facts of text
+    families that cite no line. The join key holds the line number, so one artifact
+    spreads over all tasks; of a line only its length and hash travel."""
+    def mark(text: Column) -> Column:
+        return F.struct(F.length(text), F.xxhash64(text))
+
+    cited = facts.select(*KEY, "id", mark(F.col("excerpt")).alias("_excerpt"), F.substring_index("source", ":", -1).try_cast("bigint").alias("lineno"))
+    truth = lines.select(*KEY, "lineno", mark(strip_unicode(F.col("line"))).alias("_line"))
+    unnumbered = cited.where(F.col("lineno").isNull() & (F.col("family") != profile.NAME)).select(*KEY, "id", F.lit("no line number").alias("problem"))
     return (cited.where(F.col("lineno").isNotNull()).join(truth, [*KEY, "lineno"], "left")
             .select(*KEY, "id", F.when(F.col("_line").isNull(), "no such line")
-                    .when(F.col("_line") != F.col("excerpt"), "other text").alias("problem"))
-            .where(F.col("problem").isNotNull()))
+                    .when(F.col("_line") != F.col("_excerpt"), "other text").alias("problem"))
+            .where(F.col("problem").isNotNull()).unionByName(unnumbered))
 
 
 def audit_evidence(diagnoses: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def signature_coverage(lines: DataFrame, awaiting: list[tuple[str, int]] = ()) -
             .where(F.col("problem").isNotNull()))
 
 
-def rule_lint(rules: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+def rule_lint(rules: DataFrame) -> DataFrame:
     """``(family, code, problem)`` of a rule table. A rule table is small, so no hot group
     arises; duplicates and shared prefixes are found by aggregates."""
     code = F.col("id")
