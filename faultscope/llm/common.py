@@ -63,8 +63,12 @@ def with_copies(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", key
     ``decided`` has one row per row of ``docs``: doc_id, ``copies`` and, with ``key`` (an
     expression over ``docs``), also ``key``. Rows that share an id and a key share their
     copies: each gets the whole part, the first by ``order`` the remainder; with ``once``
-    they count as one row, the first, and its copies are the most that any was given. Such ids are rare, and the ranking and the second scan they need are left out when there is none.
+    they count as one row, the first, and its copies are the most that any was given.
+    Such ids are rare, and the ranking and the second scan they need are left out when
+    there is none.
     """
+    # Texts are shuffled once, by id, at every size: a list of ids that happens to be short
+    # is not broadcast, so that a small run shows what a large one does.
     by = ["doc_id"] if key is None else ["doc_id", "key"]
     per = stage(decided.groupBy(*by).agg((F.max if once else F.sum)("copies").cast("long").alias("__copies"), F.count("*").alias("__rows"))
                 .withColumn("__ids", F.count("*").over(Window.partitionBy("doc_id")))
@@ -77,9 +81,9 @@ def with_copies(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", key
     if (most[0] or 0) <= 1:
         # What goes is less than what stays: drop it.
         gone = per.where(repeated | (F.col("__copies") == 0))
-        out = docs.join(gone.select("__id").distinct(), same, "left_anti")
+        out = docs.join(gone.select("__id").distinct().hint("merge"), same, "left_anti")
     else:
-        out = docs.join(single.where("__copies > 0").select("__id", "__copies"), same)
+        out = docs.join(single.where("__copies > 0").select("__id", "__copies").hint("merge"), same)
         out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
     if not most[1]:
         return out
