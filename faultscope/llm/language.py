@@ -27,6 +27,8 @@ TOP = 400
 ORDER = 3
 UNKNOWN = "und"
 STEP = 1 << 20
+#: Ids of 8 bytes up to which the chosen rows are sent to every task, else joined by shuffle.
+BROADCAST_IDS = 200_000
 _BITS = 13
 _EDGE = 32
 #: Sharpness of the score: log odds per unit of distance over the largest possible.
@@ -113,8 +115,13 @@ def learn(docs: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col
     """
     key = F.col(id_col).alias("doc_id")
     known = docs.select(key, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    share = known.groupBy("lang").agg((limit / F.count("*")).alias("share")).withColumnRenamed("lang", "__lang")
-    chosen = known.join(share, F.col("lang") == F.col("__lang")).where(F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id"), 33) < F.col("share") * (1 << 31))
+    # The choice is made on ids and languages alone; texts meet no more than the ids chosen.
+    narrow = known.select("doc_id", "lang")
+    share = narrow.groupBy("lang").agg((limit / F.count("*")).alias("share"))
+    ids = narrow.join(share, "lang").where(F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id"), 33) < F.col("share") * (1 << 31))
+    ids = stage(ids.select(F.col("doc_id").alias("__id")).distinct(), "profile-ids")
+    few = ids.count() <= BROADCAST_IDS
+    chosen = known.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
