@@ -60,7 +60,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     An empty table gives an empty result.
     """
     rows = stage(digest_rows(docs, id_col, text_col), "digests")
-    runs = max(1, docs.rdd.getNumPartitions())
+    runs = (rows.agg(F.max(F.shiftrightunsigned("row", 33))).first()[0] or 0) + 1
     groups = stage(merge_runs(rows, runs, fan_in).where("n > 1")
                    .select(*KEY, "n", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
     # A text of its own needs no partner. Large groups are split by the skew join.

@@ -197,7 +197,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    Rows are judged where they lie: no join and no shuffle of the texts.
+    Rows are judged where they lie: no join and no shuffle of the texts. A null text has
+    no words and goes; rows that repeat are judged alike; an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col))
 

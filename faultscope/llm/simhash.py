@@ -141,7 +141,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
     cuts = stage(banded.groupBy("band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cuts")), "bands")
     # Which pairs of chunks (p, i), (q, j) meet, and which chunk is which side of a pair.
     low, high = cuts.select(F.col("band").alias("p"), F.col("cuts").alias("n")), cuts.select(F.col("band").alias("q"), F.col("cuts").alias("m"))
-    pairs = (low.join(F.broadcast(high), F.col("q").between(F.col("p"), F.col("p") + radius))
+    pairs = (low.withColumn("q", F.explode(F.sequence(F.col("p"), F.col("p") + radius))).join(F.broadcast(high), "q")
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
              .where("p < q or i <= j").select("p", "i", "q", "j"))
