@@ -40,6 +40,8 @@ END_ID = 2
 CACHE = 500_000
 #: Text bytes encoded at once.
 STEP = 2 << 20
+#: New pieces that the library encodes in one text.
+RUN = 64
 LEVEL = 3
 
 # Fixed values of the seekable format and of its skippable frames.
@@ -170,9 +172,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # A special token that texts are split at before all else parts pieces for good.
+        self.part = next(((t["content"], t["id"]) for t in json.loads(spec)["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"]), None)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces. Many short ones go through the library as one text."""
+        alone = [p for p in pieces if self.part is None or len(p) > 100 or self.part[0][:2] in p]
+        for piece, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+        if self.part is None:
+            return
+        text, number = self.part
+        apart = set(alone)
+        short = [p for p in pieces if p not in apart]
+        runs = [short[k:k + RUN] for k in range(0, len(short), RUN)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([text.join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            cuts = [0, *((np.flatnonzero(ids == number) + 1) * 4).tolist(), len(ids) * 4 + 4]
+            data = ids.tobytes()
+            if len(cuts) != len(run) + 1:
+                raise ValueError("pieces and their ids don't match")
+            for piece, a, b in zip(run, cuts, cuts[1:]):
+                self.known[piece] = data[a:b - 4]
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         if "<|" in text or _ODD.search(text) or not text.isascii() and max(text) >= BEYOND_LATIN:
@@ -192,8 +216,7 @@ class Encoder:
                 new.append(piece)
             else:
                 self.known[piece] = ids
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = struct.pack(f"<{len(got.ids)}I", *got.ids) if len(got.ids) < 1000 else np.array(got.ids, "<u4").tobytes()
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
