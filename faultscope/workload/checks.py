@@ -9,6 +9,7 @@ from faultscope.operators.compare import classify_hosts, run_pair_invariance
 from faultscope.operators.facts import number_facts, resolve_facts
 from faultscope.operators.rules import artifact_profile, cited_facts, diagnose, gather_evidence, match_rules
 from faultscope.operators.signatures import match_signatures
+from faultscope.operators.traces import trace_facts
 from faultscope.operators.verdicts import verdicts
 from faultscope.schema import SUGGESTION
 from faultscope.sources.artifacts import explode_lines, sidecar_labels
@@ -16,7 +17,7 @@ from faultscope.staging import stage
 from faultscope.workload.extraction import EXPECTED_DERIVED, derived_rules
 from faultscope.workload.registry import flat_map, QUERIES, query, table
 from faultscope.workload.relations import BOOK, _HOSTS, hosts
-from faultscope.workload.views import ARTIFACTS, BASE, duck, log_facts, v_log, with_facts, with_lines, with_rules
+from faultscope.workload.views import ARTIFACTS, BASE, duck, log_facts, v_log, v_trace, with_facts, with_lines, with_rules
 
 
 def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,6 +28,12 @@ def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return facts, evidence, diagnose(facts, BOOK, fired, evidence)
 
 
+def _every_fact(spark, sf_dir) -> DataFrame:
+    """Facts of ``V_LOG`` and of the traces, both stored tables."""
+    traces = stage(trace_facts(stage(v_trace(spark, sf_dir), "trace-events")), "facts")
+    return log_facts(spark, sf_dir).unionByName(traces)
+
+
 # --------------------------------------------------------------- C: comparison
 
 
@@ -185,8 +192,8 @@ uses(family, code, use, name, kinds) as (values
 select family, code, use, name from uses where not exists (
   select 1 from keys where keys.family = uses.family and list_contains(uses.kinds, keys.kind) and keys.key = uses.name)"""))
 def q6_rule_payload_coverage(spark, sf_dir):
-    rules = BOOK.table(spark).where("family <> 'ort_profile'")
-    return audit.rule_payload_coverage(rules, log_facts(spark, sf_dir))
+    """Rules of all families over the facts of logs and traces."""
+    return audit.rule_payload_coverage(BOOK.table(spark), _every_fact(spark, sf_dir))
 
 
 @query("q7_rule_activity", with_rules("""
@@ -206,9 +213,9 @@ asked(family, name) as (values ('tensorrt', 'parse_error_node'), ('tensorrt', 'p
 select family, name, 'rule never fires' as problem from codes where not exists (select 1 from fired where fired.code = codes.name)
 union all select family, name, 'kind never observed' from asked where not exists (select 1 from f where f.family = asked.family and f.kind = asked.name)"""))
 def q7_rule_activity(spark, sf_dir):
-    facts = log_facts(spark, sf_dir)
-    rules = BOOK.table(spark).where("family <> 'ort_profile'")
-    return audit.rule_activity(rules, facts, match_rules(artifact_profile(facts, BOOK), BOOK))
+    """Rules of all families over the facts of logs and traces."""
+    facts = _every_fact(spark, sf_dir)
+    return audit.rule_activity(BOOK.table(spark), facts, match_rules(artifact_profile(facts, BOOK), BOOK))
 
 
 @query("q8_corpus_hygiene", """
