@@ -13,7 +13,7 @@ from faultscope.operators.signatures import match_signatures
 from faultscope.operators.traces import trace_facts
 from faultscope.operators.verdicts import verdicts
 from faultscope.schema import KEY
-from faultscope.sources.rulebook import Rulebook
+from faultscope.sources.rulebook import Rulebook, RuleTable
 from faultscope.staging import stage
 
 
@@ -49,7 +49,7 @@ class Diagnosis:
     verdicts: DataFrame
 
 
-def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | None = None,
+def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | RuleTable | None = None,
                   proposals: DataFrame | None = None, slice_rows: int = SLICE, prefer_met: bool = False,
                   staged: bool = True) -> Diagnosis:
     """Diagnoses and verdicts from facts. ``artifacts`` names every artifact, so that a
@@ -71,7 +71,7 @@ def run_diagnosis(artifacts: DataFrame, facts: DataFrame, book: Rulebook | None
     return Diagnosis(artifacts, facts, evidence, found, verdicts(artifacts, found))
 
 
-def diagnose_lines(lines: DataFrame, book: Rulebook | None = None, artifacts: DataFrame | None = None, **options) -> Diagnosis:
+def diagnose_lines(lines: DataFrame, book: Rulebook | RuleTable | None = None, artifacts: DataFrame | None = None, **options) -> Diagnosis:
     """Text artifacts in, all result tables out. ``artifacts`` lists them (``list_artifacts``):
     then an artifact without a single line has its verdict too, and the text is read once.
     Without it the artifacts are those of the lines."""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from faultscope.families import FAMILIES, profile
 from faultscope.operators.rule_tables import normalize_rules
 from faultscope.schema import RULES
+from faultscope.staging import stage
 
 # Bits of one mask word; a family with more kinds takes more words.
 WORD = 63
@@ -34,9 +35,9 @@ def _builtin(rule: dict, family: str, order: int) -> dict:
 
 @dataclass(frozen=True)
 class Rulebook:
-    """The rules of all families: configuration that people write, known when the plan
-    is built. So kinds and conditions become bits of a few words, and an artifact's
-    whole evidence is those words."""
+    """The rules of this package, known when the plan is built. So kinds and conditions
+    become bits of a few words, and an artifact's whole evidence is those words. Rules
+    from outside are a ``RuleTable``."""
 
     rules: tuple[dict, ...]
 
@@ -45,21 +46,19 @@ class Rulebook:
         by_family = {**{f.name: f.rules for f in FAMILIES.values()}, profile.NAME: profile.RULES}
         return cls(tuple(_builtin(r, name, i) for name, rules in by_family.items() for i, r in enumerate(rules)))
 
-    @classmethod
-    def of(cls, rules: DataFrame) -> "Rulebook":
-        """From a table in the rules schema. Rules become part of the plan, so they come
-        to the driver, every one of them."""
-        rows = rules.toLocalIterator()
-        return cls(tuple(sorted((r.asDict(recursive=True) for r in rows), key=lambda r: (r["family"], r["ord"]))))
+    @staticmethod
+    def of(rules: DataFrame) -> "RuleTable":
+        """From a table in the rules schema, which stays a table."""
+        return RuleTable(rules)
 
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> "Rulebook":
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "RuleTable":
         """A rule table in JSON lines: ``family``, ``ord`` and the fields of a rule. Lines
-        that are no JSON object are dropped one by one."""
+        that are no JSON object are dropped one by one. What is read is staged once."""
         raw = spark.read.text(path).select(F.try_parse_json("value").alias("rule"))
-        return cls.of(normalize_rules(raw.select(
+        return RuleTable(stage(normalize_rules(raw.select(
             F.try_variant_get("rule", "$.family", "string").alias("family"),
-            F.coalesce(F.try_variant_get("rule", "$.ord", "int"), F.lit(0)).alias("ord"), "rule")))
+            F.coalesce(F.try_variant_get("rule", "$.ord", "int"), F.lit(0)).alias("ord"), "rule")), "rules"))
 
     @staticmethod
     def _bits(names: list[str]) -> dict[str, tuple[int, int]]:
@@ -136,3 +135,45 @@ class Rulebook:
                 table = F.create_map(*[x for k, b in bits.items() for x in (F.lit(k), F.lit(b).cast("bigint"))])
                 out = F.when(family == name, F.coalesce(F.try_element_at(table, kind), F.lit(0).cast("bigint"))).otherwise(out)
         return out
+
+
+def condition_key(condition: Column) -> Column:
+    return F.to_json(condition)
+
+
+@dataclass(frozen=True)
+class RuleTable:
+    """Rules that stay a DataFrame in the rules schema, however many: nothing passes the
+    driver, and kinds and conditions are joined by name instead of numbered."""
+
+    frame: DataFrame
+
+    @property
+    def rules(self) -> tuple[dict, ...]:
+        """The rows on the driver, to look at a table that is known to be small."""
+        rows = self.frame.orderBy("family", "ord").toLocalIterator()
+        return tuple(r.asDict(recursive=True) for r in rows)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The rules schema."""
+        return self.frame.select(*RULES.fieldNames())
+
+    def kinds(self) -> DataFrame:
+        """``(family, kind)`` of every kind that a rule requires or forbids."""
+        return self.frame.select("family", F.explode(F.concat("requires", "absent")).alias("kind")).distinct()
+
+    def conditions(self) -> DataFrame:
+        """``(family, kind, condition)`` of every readable condition."""
+        return (self.frame.select("family", F.explode("conditions").alias("condition")).where("condition.ok")
+                .select("family", F.col("condition.kind").alias("kind"), "condition").distinct())
+
+    def roles(self, spark: SparkSession) -> DataFrame:
+        """As ``Rulebook.roles``."""
+        keys = F.array_distinct(F.transform(F.filter("segments", lambda s: s["key"].isNotNull()), lambda s: s["key"]))
+        required = F.transform("requires", lambda k: F.struct(k.alias("kind"), F.lit(0).alias("grp")))
+        optional = F.filter(F.transform("optional", lambda k, i: F.struct(k.alias("kind"), (i + 1).alias("grp"))),
+                            lambda x: ~F.coalesce(F.array_contains("requires", x["kind"]), F.lit(False)))
+        each = self.frame.select("family", F.col("id").alias("code"), "ord", keys.alias("keys"), "conditions",
+                                 F.inline(F.concat(required, optional)))
+        return each.select("family", "kind", "code", "ord", "grp", "keys",
+                           F.filter("conditions", lambda c: c["kind"] == F.col("kind")).alias("conditions"))
