@@ -11,8 +11,12 @@ import numpy as np
 
 # Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript head title iframe svg math canvas object audio video select textarea button datalist".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+UNSEEN = frozenset("script style template noscript head title iframe canvas audio video datalist".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+FOREIGN = frozenset("svg math".split())
+# Seen, and nodes of their own within a line of text: the model decides.
+OWN_NODE = FOREIGN | frozenset("object select textarea button".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | OWN_NODE
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -61,7 +65,10 @@ class _Reader(HTMLParser):
         self.nodes = [Node("html", -1, 0, [], False)]
         #: Open elements: name, and the node they are or lie in.
         self.open: list[tuple[str, int]] = [("html", 0)]
+        #: Open elements whose content is not shown: the unseen one, then all that was opened in it.
         self.unseen: list[str] = []
+        #: How many of each name are among them.
+        self.hidden: dict[str, int] = {}
         self.links = 0
         #: How many of each name are open: most end tags and implied ends need no search.
         self.count: dict[str, int] = {"html": 1}
@@ -76,6 +83,17 @@ class _Reader(HTMLParser):
                     above.parts.append(None)
         del self.open[at:]
 
+    def _show(self) -> None:
+        self.unseen.clear()
+        self.hidden.clear()
+
+    def _hide(self, tag: str) -> None:
+        self.unseen.append(tag)
+        self.hidden[tag] = self.hidden.get(tag, 0) + 1
+
+    def _foreign(self) -> bool:
+        return any(self.count.get(x) for x in FOREIGN)
+
     def _last(self, names, stop=frozenset()) -> int:
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] in names:
@@ -86,20 +104,22 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.unseen:
-            if tag == self.unseen[-1]:
-                self.unseen.append(tag)
-            elif tag == "body" and "head" in self.unseen:
-                self.unseen.clear()
+            if self.unseen[-1] == "head" and tag not in HEAD or tag == "body" and self.unseen[0] == "head":
+                self._show()
             else:
+                if tag not in VOID and tag not in ("head", "html"):
+                    self._hide(tag)
                 return
         if tag in ("html", "body") and len(self.nodes) > 1 and self.count.get("body"):
             return
         if tag in UNSEEN:
-            self.unseen = self.unseen or [tag]
+            self._hide(tag)
             return
         if tag == "br":
             self.handle_data(" ")
             return
+        while tag in ENDS_P and self._foreign():  # HTML ends a drawing or formula that is still open
+            self._close(self._last(FOREIGN))
         if tag in ENDS_P and self.count.get("p"):
             at = self._last({"p"}, {"table", "td", "th", "button", "object"})
             if at:
@@ -119,7 +139,7 @@ class _Reader(HTMLParser):
             elif name == "data-main":
                 marked = True
         here = self.open[-1][1]
-        if tag in INLINE and not tokens:
+        if self._foreign() or tag in INLINE and not tokens and tag not in OWN_NODE:
             node = here
         else:
             node = len(self.nodes)
@@ -133,15 +153,22 @@ class _Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
+        before = len(self.unseen)
         self.handle_starttag(tag, attrs)
-        if tag in UNSEEN and self.unseen:
+        if len(self.unseen) > before or tag not in VOID and self._foreign():
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.unseen:
-            if tag == self.unseen[-1]:
-                self.unseen.pop()
-            return
+            if self.hidden.get(tag):
+                name = None
+                while name != tag:
+                    name = self.unseen.pop()
+                    self.hidden[name] -= 1
+                return
+            if self.unseen[0] == "head" or not self.count.get(tag):
+                return
+            self._show()  # the end of an element around it
         if tag == "p" and not self.count.get("p"):
             self.nodes[self.open[-1][1]].parts.append(None)
         if tag not in ("html", "body") and self.count.get(tag):
@@ -151,7 +178,9 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if self.unseen:
-            return
+            if self.unseen[-1] != "head" or not data.strip():
+                return
+            self._show()
         node = self.nodes[self.open[-1][1]]
         node.parts.append(data)
         n = len(data) - data.count(" ")
