@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import bpe, exact_dedup, html_main, language, mixing, quality_classifier, quality_rules, simhash, token_file, transducer
+from faultscope.llm import (
+    bpe, conversation_repair, embedding_dedup, exact_dedup, html_main, language, mixing, quality_classifier, quality_rules, search, simhash, token_file,
+    transducer,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +92,46 @@ def op9_quality_classifier(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     out = mixing.mixture(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+@query("op11_search", """
+with recursive terms(doc_id, row, text) as (
+  select doc_id, row_number() over (), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from documents),
+d as (select row, doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from terms),
+sizes as (select row, doc_id, count(*) as n from d group by 1, 2),
+total as (select count(*)::hugeint as documents, sum(n)::hugeint as words from sizes),
+tf as (select row, term, count(*)::hugeint as tf from d group by 1, 2),
+df as (select term, count(*) as df from tf group by 1),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+weights as (select item_id, term, floor(1000 * ln((2 * documents + 2)::double / (2 * df + 1)::double))::hugeint as w from asked join df using (term), total),
+scores as (
+  select item_id, row, s.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // words))))::bigint as score
+  from weights join tf using (term) join sizes s using (row), total group by 1, 2, 3),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 50""")
+def op11_search(spark, sf_dir):
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_embedding_dedup", """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+          where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
+least as (select u, min(v) as m from reach group by 1),
+counts as (select u, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join counts c on c.u = vec_id left join least l on l.u = vec_id""")
+def op12_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    report = conversation_repair.repair_report(conversation_repair.damaged(conversations))
+    return conversation_repair.with_emptied(report, conversations)
