@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from faultscope.staging import stage
 
 TOP = 50
 #: Bytes of text and number of documents after which a segment ends.
-SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 8_192
+SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 4_096
 #: Bytes of one text that are split at once.
 PIECE = 4 << 20
 #: Items that are searched together.
@@ -73,24 +73,24 @@ class _Segment:
         counts = terms_of(text)
         self.size += len(text)
         if counts:
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            self.terms.append(np.fromiter(map(self.numbers.__getitem__, counts), np.int64, len(counts)))
+            n = np.fromiter(counts.values(), np.int32, len(counts))
+            self.terms.append(np.fromiter(map(self.numbers.__getitem__, counts), np.int32, len(counts)))
             self.counts.append(n)
             self.ids.append(doc_id)
-            self.lengths.append(int(n.sum()))
+            self.lengths.append(int(n.sum(dtype=np.int64)))
             self.distinct.append(len(counts))
 
     def batch(self, name: str, schema: pa.Schema) -> pa.RecordBatch:
         """Row of ids and lengths (term null), then a row per term."""
         term, count = np.concatenate(self.terms), np.concatenate(self.counts)
-        place = np.repeat(np.arange(len(self.ids)), self.distinct)
+        place = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.distinct)
         order = np.argsort(term, kind="stable")
         stops = np.cumsum(np.bincount(term, minlength=len(self.numbers)))
         m = len(self.ids)
         offsets = pa.array(np.concatenate(([0, m], m + stops)).astype(np.int32))
         no_ids = pa.array(np.concatenate(([0, m], np.full(len(stops), m))).astype(np.int32))
         none = pa.array(np.concatenate(([0, 0], stops)).astype(np.int32))
-        values = pa.array(np.concatenate((np.array(self.lengths, np.int64), count[order])))
+        values = pa.array(np.concatenate((np.array(self.lengths, np.int32), count[order])))
         return pa.RecordBatch.from_arrays([
             pa.array([name] * (len(stops) + 1)), pa.array([None, *(t.decode() for t in self.numbers)], pa.string()),
             pa.ListArray.from_arrays(no_ids, pa.array(self.ids, schema.field("ids").type.value_type)),
@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType
     schema = StructType([StructField("segment", StringType()), StructField("term", StringType()), StructField("ids", ArrayType(kind)),
-                         StructField("places", ArrayType(LongType())), StructField("counts", ArrayType(LongType()))])
+                         StructField("places", ArrayType(IntegerType())), StructField("counts", ArrayType(IntegerType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -165,7 +165,7 @@ class Strata:
     """Documents of a segment grouped by their normaliser, with the postings of some terms."""
 
     def __init__(self, lengths: np.ndarray, documents: int, words: int, postings: list[tuple[np.ndarray, np.ndarray]]):
-        m = 50 + np.array([50 * int(n) * documents // words for n in lengths], np.int64)
+        m = 50 + np.array([50 * n * documents // words for n in lengths.tolist()], np.int64)
         self.m, self.stratum = np.unique(m, return_inverse=True)
         self.sizes = np.bincount(self.stratum, minlength=len(self.m))
         self.postings, self.most = [], np.zeros((len(postings), len(self.m)), np.int64)
@@ -175,7 +175,7 @@ class Strata:
             places, counts, group = places[order], counts[order], group[order]
             fresh = np.ones(len(places), bool)
             fresh[1:] = (np.diff(counts) != 0) | (np.diff(group) != 0)
-            once = impacts(counts[fresh], self.m[group[fresh]])
+            once = impacts(counts[fresh].astype(np.int64), self.m[group[fresh]])
             given = once[np.cumsum(fresh) - 1]
             self.postings.append((places, group, given))
             # Counts grow inside a stratum, so its last impact is the largest.
@@ -244,11 +244,13 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     blocks = max(1, -(-item_count // block))
     number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     asked = terms.select("term").distinct()
-    rows = index.where("term is not null").join(asked, "term", "left_semi")
-    held = stage(rows.groupBy("term").agg(F.sum(F.size("counts")).alias("df")).withColumn("w", weight(F.lit(documents), F.col("df"))).where("w > 0").select("term", "w"), "term-weights")
+    # Only what is asked for goes on; of a large vocabulary that is little.
+    postings = stage(index.where("term is not null").join(asked, "term", "left_semi").select("term", "segment", "places", "counts"), "postings")
+    held = stage(postings.groupBy("term").agg(F.sum(F.size("counts")).alias("df")).withColumn("w", weight(F.lit(documents), F.col("df"))).where("w > 0").select("term", "w"), "term-weights")
     wanted = (terms.join(held, "term").withColumn("block", number).groupBy("block", "term", "w")
               .agg(F.collect_list(F.struct("item_id")).alias("items")))
-    hits = index.where("term is not null").join(wanted, "term").select("block", "segment", "ids", "places", "counts", "w", "items")
+    no_ids = F.array().cast(index.schema["ids"].dataType)
+    hits = postings.join(wanted, "term").select("block", "segment", no_ids.alias("ids"), "places", "counts", "w", "items")
     no_items = F.array().cast(hits.schema["items"].dataType)
     frames = lengths.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "segment", "ids", "places", "counts", F.lit(-1).cast("long").alias("w"), no_items.alias("items"))
     together = frames.unionByName(hits).repartition("block", "segment").sortWithinPartitions("block", "segment", "w")
