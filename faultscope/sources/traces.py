@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.sources.artifacts import read_lines
+from faultscope.sources.json_blocks import list_elements
 
 # What may stand around the one event of a line: the opening of the list, or of the
 # object that holds it, and what closes them.
@@ -11,10 +12,19 @@ _BEFORE = r'^\s*(?:\{\s*"traceEvents"\s*:\s*)?[\[,]?\s*'
 _AFTER = r"(?:(?<=\})|^)\s*,?\s*(?:\]\s*\}?)?\s*$"
 
 
+# Follows the document while it is parsed: the parser stops at the end of a value, so
+# whatever else a text holds must push this away from its place.
+_LAST = "faultscope: end of document"
+
+
 def read_trace(artifacts: DataFrame) -> DataFrame:
     """``(artifact, idx, ev variant)``: a JSON list of events, or an object that
-    holds one under ``traceEvents``. Anything else has no events and is no error."""
-    doc = F.try_parse_json("text")
+    holds one under ``traceEvents``. Anything else, also a text that goes on after its
+    document, has no events and is no error. A document must fit a row;
+    ``read_trace_documents`` reads files of any size."""
+    both = F.try_parse_json(F.concat(F.lit("["), "text", F.lit(f',"{_LAST}"]')))
+    alone = F.try_variant_get(both, "$[1]", "string") == _LAST
+    doc = F.when(alone, F.try_variant_get(both, "$[0]", "variant"))
     events = F.coalesce(F.try_variant_get(doc, "$.traceEvents", "array<variant>"),
                         F.try_variant_get(doc, "$", "array<variant>"))
     return (artifacts.select("artifact", events.alias("events"))
@@ -37,6 +47,12 @@ def read_trace_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "artifact", "idx", "ev", F.when(F.col("ev").isNull(), F.col("line")).alias("unread"))
 
 
+def read_trace_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(artifact, idx, ev variant)``, the rows of ``read_trace`` from files of any size and
+    layout: one line, pretty-printed, the list inside an object. Many tasks read one file."""
+    return list_elements(spark, paths, "traceEvents").select("artifact", "idx", F.parse_json("text").alias("ev"))
+
+
 def _text(path: str) -> Column:
     return F.try_variant_get("ev", path, "string")
 

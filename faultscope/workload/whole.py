@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from faultscope.plans.diagnosis import diagnose_lines
 from faultscope.sources.artifacts import list_artifacts, read_lines, read_sidecars
 from faultscope.sources.rulebook import Rulebook
-from faultscope.sources.traces import read_trace_lines, type_events
+from faultscope.sources.traces import read_trace_documents, read_trace_lines, type_events
 from faultscope.staging import new_path, stage
 from faultscope.streaming.lines import stream_facts
 from faultscope.workload.registry import query, table
@@ -54,6 +54,35 @@ def s3_trace_lines(spark, sf_dir):
     return type_events(trace).join(trace.select("artifact", "idx", F.col("unread").isNotNull().alias("unread")), ["artifact", "idx"]).select("name", "dur", "provider", "unread")
 
 
+@query("s3_trace_documents", """
+with e as (select event_id, event_type, user_id % 24 as d from events),
+heads as (select distinct d from e where d % 4 <> 3)
+select concat('doc', d) as name, row_number() over (partition by d order by event_id) as idx, event_id as dur, event_type as op from e where d % 4 <> 3
+union all select concat('doc', d), 0, null, null from heads""")
+def s3_trace_documents(spark, sf_dir):
+    """Whole trace documents, half of them on one line and half pretty-printed, as a list or as
+    an object among other members, a quarter cut off: read by blocks, by many tasks."""
+    folder = new_path(spark, "trace-documents")
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 24).cast("int").alias("d"), F.col("event_id").alias("pos"),
+        F.struct(F.lit("Node").alias("cat"), F.concat(F.lit("doc"), F.col("user_id") % 24).alias("name"), F.col("event_id").alias("dur"),
+                 F.struct(F.col("event_type").alias("op_name"), F.col("props").alias("note {,")).alias("args")).alias("ev"))
+    docs = rows.select("d").distinct()
+    head = F.concat(F.when(F.col("d") % 4 == 1, '{"traceEvents":').when(F.col("d") % 4 == 2, '{"unit": "ns", "other": {"traceEvents": [1, {}]}, "traceEvents" :').otherwise(""),
+                    F.lit('[{"cat": "Session", "name": "doc'), "d", F.lit('"}'))
+    foot = F.when(F.col("d") % 4 == 0, "]").when(F.col("d") % 4 == 1, "]}").when(F.col("d") % 4 == 2, '], "tail": ["}"]}').otherwise("")
+    one_line = F.col("d") % 8 < 4
+    text = F.concat(F.lit(","), F.when(one_line, F.to_json("ev")).otherwise(F.to_json("ev", {"pretty": "true"})))
+    parts = (rows.select("d", "pos", text.alias("value")).unionByName(docs.select("d", F.lit(-1).cast("long").alias("pos"), head.alias("value")))
+             .unionByName(docs.select("d", F.lit((1 << 63) - 1).alias("pos"), foot.alias("value"))))
+    # A task for each document: the parts of a file follow each other.
+    parts = parts.repartitionById(24, "d").sortWithinPartitions("d", "pos")
+    parts.where(one_line).select("d", "value").write.option("lineSep", " ").partitionBy("d").text(folder)
+    parts.where(~one_line).select("d", "value").write.mode("append").partitionBy("d").text(folder)
+    events = read_trace_documents(spark, folder)
+    return type_events(events).select("name", "idx", "dur", "op")
+
+
 @query("run_log_files", """
 select 2 as exit_code, count(*) as facts, 0 as empty_files from customer where c_nationkey % 3 = 0
 union all select 0, 2 * count(*), 1 from customer where c_nationkey % 3 = 1""")
