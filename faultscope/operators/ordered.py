@@ -9,6 +9,8 @@ holds a third of all rows is then spread over the cluster like any other.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.staging import stage
+
 # Rows of a group that one task handles at a time.
 SLICE = 65_536
 
@@ -45,3 +47,22 @@ def carry_last(df: DataFrame, keys: list[str], order: str, value: Column, out: s
             .join(carried, parts)
             .withColumn(out, F.coalesce("_here", "_carry"))
             .drop("_value", "_slice", "_here", "_carry"))
+
+
+def running_count(df: DataFrame, keys: list[str], order: str, counted: str, out: str, bits: int = 16) -> DataFrame:
+    """Sum of ``counted`` over the rows of ``keys`` up to and including each row, in ``order``.
+
+    The whole table is sorted once by ranges and cut every 2**bits places, so a key that
+    holds most rows is spread over many tasks. Keys must not be null and rows of a key
+    must differ in ``order``.
+    """
+    place = [*keys, order]
+    placed = stage(df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_pos", F.monotonically_increasing_id()), "ordered")
+    parts = [*keys, "_slice"]
+    placed = placed.withColumn("_slice", F.shiftright("_pos", bits))
+    here = Window.partitionBy(*parts).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    frames = (placed.groupBy(*parts).agg(F.sum(counted).alias("_n"))
+              .select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (placed.withColumn("_here", F.sum(counted).over(here)).join(frames, parts)
+            .withColumn(out, F.col("_before") + F.col("_here")).drop("_before", "_here", "_slice", "_pos"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from faultscope.functions.numbers import div, finite_number
 from faultscope.operators.ordered import SLICE, number_within
+from faultscope.operators.rule_match import match_named, named_profile
 from faultscope.schema import KEY
-from faultscope.sources.rulebook import condition_key, Rulebook, RuleTable
+from faultscope.sources.rulebook import Rulebook, RuleTable
 
 # Severities in the order of a report.
 SEVERITIES = ("error", "warning", "info")
@@ -49,9 +50,9 @@ def artifact_profile(facts: DataFrame, book: Rulebook | RuleTable) -> DataFrame:
     """``(family, artifact, kinds, met, facts)``: all that rule matching asks about an
     artifact, in two masks of a few words and a number. A hash aggregate with map-side
     combine: an artifact with a third of all facts sends one row per task. For a
-    ``RuleTable`` the masks are sets of names (``_named_profile``)."""
+    ``RuleTable`` the profile is rows (``rule_match.named_profile``)."""
     if isinstance(book, RuleTable):
-        return _named_profile(facts, book)
+        return named_profile(facts, book)
     words = range(book.words)
     masks = facts.groupBy(*KEY).agg(
         *[F.bit_or(book.kind_bit(F.col("family"), F.col("kind"), w)).alias(f"_kinds{w}") for w in words],
@@ -60,33 +61,6 @@ def artifact_profile(facts: DataFrame, book: Rulebook | RuleTable) -> DataFrame:
     return masks.select(*KEY, F.array(*[f"_kinds{w}" for w in words]).alias("kinds"), F.array(*[f"_met{w}" for w in words]).alias("met"), "facts")
 
 
-def _named_profile(facts: DataFrame, book: RuleTable) -> DataFrame:
-    """``(family, artifact, kinds, met, facts)``: the kinds asked about and the conditions
-    met, as sets of names. Facts fold to one row per name before the sets are made."""
-    folded = facts.groupBy(*KEY, "kind").agg(F.max("seq").alias("facts"))
-    asked = book.kinds().withColumn("asked", F.lit(True))
-    kinds = (folded.join(asked, ["family", "kind"], "left").groupBy(*KEY)
-             .agg(F.collect_set(F.when(F.col("asked"), F.col("kind"))).alias("kinds"), F.max("facts").alias("facts")))
-    c = F.col("condition")
-    value = F.try_element_at("data", c["field"])
-    met = (facts.select(*KEY, "kind", "data").join(book.conditions(), ["family", "kind"])
-           .where(within(value, c["lo"], c["hi"])).select(*KEY, condition_key(c).alias("met")).distinct()
-           .groupBy(*KEY).agg(F.collect_set("met").alias("met")))
-    return kinds.join(met, KEY, "left").select(*KEY, "kinds", F.coalesce("met", F.array().cast("array<string>")).alias("met"), "facts")
-
-
-def _match_named(profile: DataFrame, book: RuleTable) -> DataFrame:
-    """A rule meets only artifacts that have the first kind it requires."""
-    rules = book.table(profile.sparkSession).where(F.size("requires") > 0).select(
-        "family", F.col("id").alias("code"), "ord", "severity", "requires", "absent", F.get("requires", F.lit(0)).alias("first"),
-        F.transform("conditions", condition_key).alias("meet"))
-    has = F.size(F.array_except("requires", "kinds")) == 0
-    barred = F.coalesce(F.arrays_overlap("absent", "kinds"), F.lit(False))
-    return (profile.withColumn("first", F.explode("kinds")).join(rules, ["family", "first"])
-            .where(has & ~barred & (F.size(F.array_except("meet", "met")) == 0))
-            .select(*KEY, "code", "ord", "severity", "facts"))
-
-
 def covers(mask: Column | str, wanted: Column | str) -> Column:
     """Whether a mask has every bit of another."""
     return F.forall(F.zip_with(mask, wanted, lambda m, w: m.bitwiseAND(w) == w), lambda x: x)
@@ -107,7 +81,7 @@ def match_rules(profile: DataFrame, book: Rulebook | RuleTable) -> DataFrame:
     required kinds there, no forbidden one, every condition met by some fact. A
     rule that requires nothing never fires."""
     if isinstance(book, RuleTable):
-        return _match_named(profile, book)
+        return match_named(profile, book)
     rules = book.table(profile.sparkSession).select("family", F.col("id").alias("code"), "ord", "severity", "need", "bar", "meet")
     return (profile.join(rules, "family")
             .where(asks("need") & covers("kinds", "need") & ~meets("kinds", "bar") & covers("met", "meet"))

@@ -137,10 +137,6 @@ class Rulebook:
         return out
 
 
-def condition_key(condition: Column) -> Column:
-    return F.to_json(condition)
-
-
 @dataclass(frozen=True)
 class RuleTable:
     """Rules that stay a DataFrame in the rules schema, however many: nothing passes the
@@ -158,15 +154,6 @@ class RuleTable:
         """The rules schema."""
         return self.frame.select(*RULES.fieldNames())
 
-    def kinds(self) -> DataFrame:
-        """``(family, kind)`` of every kind that a rule requires or forbids."""
-        return self.frame.select("family", F.explode(F.concat("requires", "absent")).alias("kind")).distinct()
-
-    def conditions(self) -> DataFrame:
-        """``(family, kind, condition)`` of every readable condition."""
-        return (self.frame.select("family", F.explode("conditions").alias("condition")).where("condition.ok")
-                .select("family", F.col("condition.kind").alias("kind"), "condition").distinct())
-
     def roles(self, spark: SparkSession) -> DataFrame:
         """As ``Rulebook.roles``."""
         keys = F.array_distinct(F.transform(F.filter("segments", lambda s: s["key"].isNotNull()), lambda s: s["key"]))
