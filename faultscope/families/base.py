@@ -65,17 +65,27 @@ class Signature:
         return f"case when not ({self._fill(self.unless, line)}) then {one} end" if self.unless else one
 
 
-# What the placeholders of a line template stand for; every run is bounded but the rest.
-_PLACES = {"int": r"(\d{1,64})", "name": r"(\w{1,128})", "inner": r"([^\]\)\"']{1,512})", "rest": r"(.+)$"}
-
-
-def line(kind: str, template: str, *fields: Field) -> Signature:
-    """A signature of literal text with typed places: ``<int>``, ``<name>``, ``<inner>`` (up to
-    a closing bracket or quote) and ``<rest>`` of the line. The places are the groups
-    1, 2, … and the longest literal is the probe."""
-    parts = re.split(r"<(int|name|inner|rest)>", template)
+# What the places of a line template stand for. Places with a group hold a value; the others
+# are the room that formats leave between words. A run that could be tried again from every
+# position is bounded.
+_PLACES = {
+    "int": r"(\d{1,64})", "signed": r"(-?\d{1,64})", "tactic": r"(0x\p{XDigit}{1,32}|\d{1,64})", "decimal": r"(\d{1,32}(?:\.\d{0,32})?)",
+    "version": r"(\d{1,9}(?:\.\d{1,9}){0,7})", "bits": r"(?:0x(\p{XDigit}{1,32})|(\d{1,32}))(?!\w)",
+    "name": r"(\w{1,128})", "path": r"([\w./-]{1,512})", "word": r"(\S{1,512})", "last": r"(\S++)", "code": r"([A-Z][0-9A-Z_]{1,63})", "outcome": r"(FAILED|PASSED)",
+    "value": r"([^\s,;()\[\]%]{1,128})", "label": r"([^:]{1,512})", "inner": r"([^\]\)\"']{1,512})", "dims": r"([^()]{0,512})", "list": r"(.*)", "rest": r"(.+)$", "text": r"(.{1,512}?)",
+    "quoted": "['\"`]([^'\"`]{1,1024})['\"`]", "apostrophes": r"'([^']{0,4096})'",
+    "blank": r"\s{0,16}", "gap": r"[:\s]{1,16}", "eq": r"\s{0,16}=\s{0,16}", "end": r"\s*$",
+}
+_PLACE = re.compile(f"<({'|'.join(_PLACES)})>")
+
+
+def line(kind: str, template: str, *fields: Field, **more: str) -> Signature:
+    """A signature of literal text with typed places, such as ``<int>``, ``<quoted>`` (a name in
+    quotes) or ``<rest>`` of the line. Their groups are 1, 2, … in order and the longest
+    literal is the probe; ``more`` are ``unless`` and ``expand`` of the signature."""
+    parts = _PLACE.split(template)
     pattern = "".join(re.escape(text) + _PLACES.get(place, "") for text, place in zip(parts[::2], [*parts[1::2], ""]))
-    return Signature(kind, (max(parts[::2], key=len),), "(?U)" + pattern, fields)
+    return Signature(kind, (max(parts[::2], key=len),), "(?U)" + pattern, fields, **more)
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,6 @@
 """Raspberry Pi host captures."""
 
-from faultscope.families.base import Family, Field, Signature, Sql, line
+from faultscope.families.base import Family, Field, Sql, line
 from faultscope.functions.bits import decode_sql, describe_sql, hex_of_decimal_sql
 from faultscope.functions.sql import within_let
 
@@ -50,35 +50,23 @@ _READING = within_let(
         for i, (kind, cond, data) in enumerate(_STATES)) + "))")
 
 
+_CELSIUS = Field("celsius", "coalesce(cast(try_cast({1} as double) as string), {1})")
+
 # The tools' and the kernel's formats, in matching order.
 # The key is required: a bare hexadecimal value is no reading.
 SIGNATURES = (
-    Signature(
-        "throttled_bitfield", ("throttled",),
-        r"(?U)throttled\s*=\s*(?:0x([0-9a-fA-F]{1,32})|(\d{1,32}))\b",
-        expand=_READING),
-    Signature(
-        "soc_temperature", ("temp",),
-        r"(?U)temp\s*=\s*([\d.]+)'?C", (Field("celsius", "coalesce(cast(try_cast({1} as double) as string), {1})"),)),
-    Signature(
-        "arm_clock", ("frequency(",),
-        r"(?U)frequency\((\d{1,8})\)\s*=\s*(\d{1,20})",
-        (Field("clock_id", 1), Field("hertz", "cast({2} as decimal(20,0))"),
-         Field("mhz", "cast({2} as decimal(20,0)) div 1000000"))),
+    line("throttled_bitfield", "throttled<eq><bits>", expand=_READING),
+    line("soc_temperature", "temp<eq><decimal>'C", _CELSIUS),
+    line("soc_temperature", "temp<eq><decimal>C", _CELSIUS),
+    line("arm_clock", "frequency(<int>)<eq><int>", Field("clock_id", 1), Field("hertz", "try_cast({2} as decimal(38,0))"), Field("mhz", "try_cast({2} as decimal(38,0)) div 1000000")),
     line("oom_kill", "Out of memory: Killed process <int> (<inner>)", Field("pid", 1), Field("process", 2)),
-    Signature(
-        "oom_invoked", (" invoked oom-killer: gfp_mask=",),
-        r"(?U)([\w./-]{1,128}) invoked oom-killer: gfp_mask=(\S{1,64}?),[^\n]{0,200}?order=(-?\d+)",
-        (Field("invoker", 1), Field("gfp_mask", 2), Field("order", 3))),
-    Signature(
-        "oom_memory_summary", ("Mem-Info:", "Total swap = ", " pages RAM"),
-        r"(?U)Mem-Info:|Total swap = (\d{1,32})kB|(\d{1,32}) pages RAM",
-        (Field("total_swap", 1, optional=True), Field("pages", 2, optional=True))),
-    Signature(
-        "allocation_failed", ("Failed to allocate memory for requested buffer of size ", "bad_alloc"),
-        r"(?U)Failed to allocate memory for requested buffer of size (\d{1,32})|bad_alloc",
-        (Field("bytes", "try_cast(nullif({1}, '') as decimal(38,0))"),
-         Field("mib", "round(try_cast(nullif({1}, '') as double) / 1024 / 1024, 1)"))),
+    line("oom_invoked", "<path> invoked oom-killer: gfp_mask=<word>,<text>order=<signed>", Field("invoker", 1), Field("gfp_mask", 2), Field("order", 4)),
+    line("oom_memory_summary", "Mem-Info:"),
+    line("oom_memory_summary", "Total swap = <int>kB", Field("total_swap", 1)),
+    line("oom_memory_summary", "<int> pages RAM", Field("pages", 1)),
+    line("allocation_failed", "Failed to allocate memory for requested buffer of size <int>", Field("bytes", "try_cast({1} as decimal(38,0))"),
+         Field("mib", "round(try_cast({1} as double) / 1024 / 1024, 1)")),
+    line("allocation_failed", "bad_alloc"),
 )
 
 SUMMARIES = {

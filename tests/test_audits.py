@@ -31,3 +31,10 @@ def test_placeholders_of_trace_rules_are_audited(spark, spoilt_trace_rule):
 def test_activity_of_trace_rules_is_audited(spark, spoilt_trace_rule):
     rows = QUERIES["q7_rule_activity"](spark, SF).where("family = 'ort_profile'").collect()
     assert sorted((r["name"], r["problem"]) for r in rows) == [("ED0599", "rule never fires"), ("nowhere_seen", "kind never observed")]
+
+
+def test_a_table_that_every_signature_matches(spark):
+    """The lines of x2_every_signature leave no signature without a line."""
+    from faultscope.operators.audit import signature_coverage
+    from faultscope.workload.signatures import sample_lines
+    assert signature_coverage(sample_lines(spark, SF)).collect() == []
