@@ -18,8 +18,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,9 +166,10 @@ class Encoder:
     those of its pieces. Pieces not met again fade out of the table.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
+        self.kind = np.dtype(kind)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -181,7 +182,7 @@ class Encoder:
         """Ids of new pieces. Many short ones go through the library as one text."""
         alone = [p for p in pieces if self.part is None or len(p) > 100 or self.part[0][:2] in p]
         for piece, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+            self.known[piece] = np.array(got.ids, self.kind).tobytes()
         if self.part is None:
             return
         text, number = self.part
@@ -189,13 +190,13 @@ class Encoder:
         short = [p for p in pieces if p not in apart]
         runs = [short[k:k + RUN] for k in range(0, len(short), RUN)]
         for run, got in zip(runs, self.tokenizer.encode_batch_fast([text.join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            cuts = [0, *((np.flatnonzero(ids == number) + 1) * 4).tolist(), len(ids) * 4 + 4]
+            ids, size = np.array(got.ids, self.kind), self.kind.itemsize
+            cuts = [0, *((np.flatnonzero(ids == number) + 1) * size).tolist(), (len(ids) + 1) * size]
             data = ids.tobytes()
             if len(cuts) != len(run) + 1:
                 raise ValueError("pieces and their ids don't match")
             for piece, a, b in zip(run, cuts, cuts[1:]):
-                self.known[piece] = data[a:b - 4]
+                self.known[piece] = data[a:b - size]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -204,43 +205,62 @@ class Encoder:
         return _WORDS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        distinct = set(chain.from_iterable(cut))
+        """Little-endian ids of each text. Every piece is looked up once; those not found
+        are learnt together and filled in."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        new = []
-        for piece in distinct.difference(self.known):
-            ids = self.old.get(piece)
-            if ids is None:
-                new.append(piece)
-            else:
-                self.known[piece] = ids
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-
-
-def encoded(docs: DataFrame, spec: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", narrow: bool = False) -> DataFrame:
-    """doc_id and ``ids``, the ids of the text and the end id as little-endian numbers.
+        known, old = self.known.get, self.old.get
+        found, gaps, new = [], [], {}
+        for text in texts:
+            cut = self.pieces(text)
+            ids = list(map(known, cut))
+            if None in ids:
+                for k in [k for k, x in enumerate(ids) if x is None]:
+                    piece = cut[k]
+                    ids[k] = old(piece)
+                    if ids[k] is None:
+                        new[piece] = None
+                        gaps.append((ids, k, piece))
+                    else:
+                        self.known[piece] = ids[k]
+            found.append(ids)
+        self._learn(list(new))
+        for ids, k, piece in gaps:
+            ids[k] = self.known[piece]
+        return list(map(b"".join, found))
+
+
+@lru_cache(maxsize=2)
+def _encoder(spec: str, kind: str) -> Encoder:
+    """A worker keeps its encoder, and what it has learnt, from task to task."""
+    return Encoder(spec, kind)
+
+
+def encoded(docs: DataFrame, spec: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", narrow: bool = False, bounds: Sequence[int] = ()) -> DataFrame:
+    """doc_id, shard and ``ids``, the ids of the text and the end id as little-endian numbers.
 
     They take 16 bits each with ``narrow``, for vocabularies of at most 65,536, else 32.
+    ``shard`` counts the ``bounds`` below the doc_id; a null doc_id is in the last.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    stop = struct.pack("<I", end_id)
+    edges = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+    kind = "<u2" if narrow else "<u4"
+    stop = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value, kind)
         for batch in batches:
             for part in slices(batch, "text", STEP):
                 ids = [x + stop for x in encoder.encode(part.column("text").to_pylist())]
-                if narrow:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                doc, last = part.column("doc_id"), len(edges.value)
+                shard = np.searchsorted(edges.value, doc.fill_null(0).to_numpy(zero_copy_only=False))
+                shard = np.where(doc.is_null().to_numpy(zero_copy_only=False), last, shard).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(shard), pa.array(ids, pa.binary())], names=["doc_id", "shard", "ids"])
 
-    return texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
+    return texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, shard int, ids binary")
 
 
 def _largest_id(spec: str, end_id: int) -> int:
@@ -278,10 +298,8 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, id_col: str = "do
     bounds = shard_bounds(docs, -(-size // shard_bytes), id_col)
     n = len(bounds) + 1
     narrow = _largest_id(spec, end_id) < 1 << 16
-    ids = encoded(docs, spec, end_id, id_col, text_col, narrow)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    shard = F.lit(0) if edges is None else F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
-    ranged = (ids.withColumn("shard", shard).repartitionById(n, F.col("shard"))
+    ids = encoded(docs, spec, end_id, id_col, text_col, narrow, bounds)
+    ranged = (ids.repartitionById(n, F.col("shard"))
               .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
