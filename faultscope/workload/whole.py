@@ -8,8 +8,9 @@ from faultscope.sources.rulebook import Rulebook
 from faultscope.sources.traces import read_trace_documents, read_trace_lines, type_events
 from faultscope.staging import new_path, stage
 from faultscope.streaming.lines import stream_facts
-from faultscope.workload.registry import query, table
-from faultscope.workload.views import V_LOG, with_lines
+from faultscope.streaming.stateful import LINES, diagnose_lines_stream, streamed
+from faultscope.workload.registry import flat_map, query, table
+from faultscope.workload.views import ARTIFACTS, V_LOG, with_facts, with_lines, with_rules
 
 
 @query("s5_sidecars_from_files", """
@@ -119,3 +120,37 @@ def t1_stream_facts(spark, sf_dir):
     (facts.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-state"))
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(facts.schema).parquet(out).select("family", "artifact", "lineno", "kind")
+
+
+def _streamed(spark, sf_dir, name: str):
+    """The log lines of ``events`` arrive in four parts that are cut inside an artifact; then
+    every artifact ends. Returns one table of the stream's results."""
+    events = table(spark, sf_dir, "events")
+    lines = spark.sql(V_LOG, events=events).select(
+        "family", "artifact", "lineno", "line", F.timestamp_seconds(F.regexp_extract("artifact", r"(\d+)", 1).cast("long") * 4 + F.col("lineno")).alias("at"), F.lit(False).alias("end"))
+    most = events.agg(F.max("event_id")).first()[0]
+    place = F.regexp_extract("artifact", r"(\d+)", 1).cast("long") * 4 + F.col("lineno") - 1
+    source, out = new_path(spark, "arriving"), new_path(spark, "stream-results")
+    cuts = [-1, most // 4 + 2, most // 2 + 1, 3 * most // 4 + 3, most]
+    stop = lines.groupBy("family", "artifact").agg(F.max("lineno").alias("lineno")).select(
+        "family", "artifact", "lineno", F.lit(None).cast("string").alias("line"), F.timestamp_seconds(F.lit(most + 4)).alias("at"), F.lit(True).alias("end"))
+    for k, part in enumerate([*[lines.where((place > a) & (place <= b)) for a, b in zip(cuts, cuts[1:])], stop]):
+        part.coalesce(1).write.mode("append").parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).option("basePath", source).parquet(f"{source}/part=*")
+    diagnose_lines_stream(stream.select(*LINES.fieldNames()), out, new_path(spark, "stream-state"), availableNow=True).awaitTermination()
+    return streamed(spark, out, name)
+
+
+@query("t2_stream_numbered_facts", with_facts("select family, artifact, seq, kind, lineno, payload from f"))
+def t2_stream_numbered_facts(spark, sf_dir):
+    """All facts with numbers, headings and derived facts, from state kept between batches."""
+    facts = _streamed(spark, sf_dir, "facts")
+    return facts.select("family", "artifact", "seq", "kind", F.regexp_extract("source", r":(\d+)$", 1).cast("bigint").alias("lineno"), flat_map("data").alias("payload"))
+
+
+@query("t2_stream_verdicts", with_rules(f"""
+select g.family, g.artifact, cast(case when bool_or(fired.severity = 'error') then 2 when bool_or(fired.severity = 'warning') then 3 else 0 end as int) as exit_code
+from {ARTIFACTS} g left join fired on fired.a = g.a group by g.family, g.artifact"""))
+def t2_stream_verdicts(spark, sf_dir):
+    """Verdicts of a stream cut at arbitrary places, also of artifacts without facts."""
+    return _streamed(spark, sf_dir, "verdicts")
