@@ -10,25 +10,26 @@ from faultscope.schema import FACTS, KEY
 
 def session_overview(resolved: DataFrame) -> DataFrame:
     """One row per ONNX Runtime log: what was placed where, what was asked for
-    and what came of it. Everything aggregates map-side; the sets hold distinct
-    provider and operator names only."""
-    kind, data, seq = F.col("kind"), F.col("data"), F.col("seq")
+    and what came of it. Facts first fold to a row per provider placed on and per operator
+    on the CPU, so distinct names are found on many tasks; the lists hold each name once."""
+    kind, data = F.col("kind"), F.col("data")
     placed = kind == "node_placement"
     on_cpu = (kind == "node_on_provider") & (data["provider"] == CPU)
 
-    def first(cond: Column, *cols: Column) -> Column:
-        return F.min_by(F.struct(F.col("lineno"), F.col("excerpt"), *cols), F.when(cond, seq))
-
-    return (resolved.where(F.col("family") == "onnxruntime").groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("line_facts"),
-        F.array_sort(F.collect_set(F.when(placed, data["provider"]))).alias("providers"),
-        F.coalesce(F.sum(F.when(placed & (data["provider"] == CPU), data["count"].try_cast("decimal(38,0)"))), F.lit(0)).alias("cpu_groups"),
-        first(placed).alias("placement"),
-        F.array_sort(F.collect_set(F.when(on_cpu, data["op"]))).alias("cpu_ops"),
-        F.count_if(on_cpu).alias("cpu_nodes"),
-        first(on_cpu, data["op"].alias("op")).alias("cpu_node"),
-        first(kind == "provider_unavailable", data["requested"].alias("requested")).alias("unavailable"),
-        F.min_by(data["providers"], F.when(kind == "session_providers", seq)).alias("active")))
+    def first(cond: Column, name: str, **more: Column) -> Column:
+        return F.min(F.when(cond, F.struct("seq", "lineno", "excerpt", *[c.alias(n) for n, c in more.items()]))).alias(name)
+
+    firsts = ("placement", "cpu_node", "unavailable", "sessions")
+    folded = (resolved.where(F.col("family") == "onnxruntime")
+              .groupBy(*KEY, F.when(placed, data["provider"]).alias("provider"), F.when(on_cpu, data["op"]).alias("cpu_op")).agg(
+                  F.count(F.lit(1)).alias("line_facts"), F.count_if(on_cpu).alias("cpu_nodes"),
+                  F.sum(F.when(placed & (data["provider"] == CPU), data["count"].try_cast("decimal(38,0)"))).alias("cpu_groups"),
+                  first(placed, "placement"), first(on_cpu, "cpu_node", op=data["op"]),
+                  first(kind == "provider_unavailable", "unavailable", requested=data["requested"]), first(kind == "session_providers", "sessions", active=data["providers"])))
+    return folded.groupBy(*KEY).agg(
+        F.sum("line_facts").alias("line_facts"), F.sum("cpu_nodes").alias("cpu_nodes"), F.coalesce(F.sum("cpu_groups"), F.lit(0)).alias("cpu_groups"),
+        F.array_sort(F.collect_list("provider")).alias("providers"), F.array_sort(F.collect_list("cpu_op")).alias("cpu_ops"),
+        *[F.min(c).alias(c) for c in firsts]).withColumn("active", F.col("sessions.active"))
 
 
 def _splits(o: str = "providers") -> Column:

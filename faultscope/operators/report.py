@@ -87,6 +87,77 @@ def mask_diagnoses(diagnoses: DataFrame) -> DataFrame:
             .withColumn("root_cause", sanitize(F.col("root_cause"))["text"]))
 
 
+_HEAD = ("schemaVersion", "tool", "backend", "name", "redacted", "secretsDetected")
+_DIAGNOSIS = ("code", "proposal", "severity", "message", "root_cause", "suggestions", "cited", "confidence", "insufficient_info", "origin")
+
+
+def _fact() -> Column:
+    return F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data"))
+
+
+def _prepared(facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """What goes into a report, fit to be shown, and whether it is masked."""
+    redact = "secrets" in facts.columns
+    if redact:
+        diagnoses = mask_diagnoses(diagnoses)
+    else:
+        facts = facts.withColumns({c: visible(F.col(c)) for c in ("excerpt", "summary", "source")})
+        facts = facts.withColumn("secrets", F.array().cast("array<string>"))
+    if "proposal" not in evidence.columns:
+        evidence = evidence.withColumn("proposal", F.lit(0).cast("bigint"))
+
+    return facts, diagnoses, evidence, redact
+
+
+def _heads(artifacts: DataFrame, facts: DataFrame, redact: bool) -> DataFrame:
+    """One row per artifact with the fields of a report's header."""
+    counts = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    name = sanitize(F.col("artifact"), redact)["text"] if redact else visible(F.col("artifact"))
+    head = artifacts.select(*KEY).distinct().join(counts, KEY, "left").join(secret_kinds_of(facts), KEY, "left")
+    return head.select(
+        *KEY, F.lit(1).alias("schemaVersion"), F.struct(F.lit("faultscope").alias("name"), F.lit(__version__).alias("version")).alias("tool"),
+        F.col("family").alias("backend"), name.alias("name"), F.lit(redact).alias("redacted"),
+        F.coalesce("secrets", F.array().cast("array<string>")).alias("secretsDetected"), F.coalesce("n", F.lit(0)).alias("facts"))
+
+
+def report_fragments(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(family, artifact, section, at, pos, element, ends, text)``: one JSON document per artifact,
+    in pieces of one diagnosis, citation or fact, for ``report_files.write_documents``.
+
+    ``{schemaVersion, tool, backend, artifact, redacted, secretsDetected, diagnostics, facts}``; every
+    diagnosis lists the ids of its evidence. Masking is as in ``report_json``.
+    """
+    facts, diagnoses, evidence, redact = _prepared(facts, diagnoses, evidence)
+    last = (1 << 62)
+
+    def part(df: DataFrame, section: int, at: Column, pos: Column, element: bool, ends: bool, text: Column) -> DataFrame:
+        return df.select(*KEY, F.lit(section).alias("section"), at.cast("bigint").alias("at"), pos.cast("bigint").alias("pos"),
+                         F.lit(element).alias("element"), F.lit(ends).alias("ends"), text.alias("text"))
+
+    def opened(body: Column, name: str) -> Column:
+        """An object without its closing brace, and a list begun in it."""
+        return F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), F.lit(f',"{name}":['))
+
+    zero, rank = F.lit(0), F.col("rank")
+    heads = _heads(artifacts, facts, redact)
+    ranks = diagnoses.select(*KEY, "code", "proposal", "rank")
+    cites = evidence.select(*KEY, "code", "proposal", "position", "id").join(ranks, [*KEY, "code", "proposal"])
+    fields = [F.col("name").alias("artifact") if c == "name" else F.col(c) for c in _HEAD]
+    pieces = [
+        part(heads, 0, zero, zero, False, False, opened(F.struct(*fields), "diagnostics")),
+        part(diagnoses, 1, rank, zero, True, False, opened(F.struct(*_DIAGNOSIS), "evidence")),
+        part(cites, 1, rank, F.col("position"), True, True, F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2)),
+        part(diagnoses, 1, rank, F.lit(last), False, True, F.lit("]}")),
+        part(heads, 2, zero, zero, False, False, F.lit('],"facts":[')),
+        part(facts, 3, F.col("seq"), zero, True, True, F.to_json(_fact())),
+        part(heads, 4, zero, zero, False, False, F.lit("]}\n")),
+    ]
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    return out
+
+
 def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, evidence: DataFrame) -> DataFrame:
     """``(family, artifact, section, at, pos, json)``: a report as strictly valid JSON lines,
     read in the order of section, at, pos.
@@ -99,28 +170,15 @@ def report_json(artifacts: DataFrame, facts: DataFrame, diagnoses: DataFrame, ev
     ``facts`` from ``redact_facts`` give a masked report; plain facts give a verbatim
     one, with control characters shown. Hand in stored tables: facts are read three times.
     """
-    redact = "secrets" in facts.columns
-    if redact:
-        diagnoses = mask_diagnoses(diagnoses)
-    else:
-        facts = facts.withColumns({c: visible(F.col(c)) for c in ("excerpt", "summary", "source")})
-        facts = facts.withColumn("secrets", F.array().cast("array<string>"))
-    if "proposal" not in evidence.columns:
-        evidence = evidence.withColumn("proposal", F.lit(0).cast("bigint"))
+    facts, diagnoses, evidence, redact = _prepared(facts, diagnoses, evidence)
 
     def rows(df: DataFrame, section: int, at: Column, pos: Column, body: Column) -> DataFrame:
         return df.select(*KEY, F.lit(section).alias("section"), at.cast("bigint").alias("at"), pos.cast("bigint").alias("pos"), F.to_json(body).alias("json"))
 
     zero = F.lit(0)
-    counts = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    name = sanitize(F.col("artifact"), redact)["text"] if redact else visible(F.col("artifact"))
-    head = (artifacts.select(*KEY).distinct().join(counts, KEY, "left").join(secret_kinds_of(facts), KEY, "left"))
-    head = rows(head, 0, zero, zero, F.struct(
-        F.lit(1).alias("schemaVersion"), F.struct(F.lit("faultscope").alias("name"), F.lit(__version__).alias("version")).alias("tool"),
-        F.col("family").alias("backend"), name.alias("artifact"), F.lit(redact).alias("redacted"),
-        F.coalesce("secrets", F.array().cast("array<string>")).alias("secretsDetected"), F.coalesce("n", zero).alias("facts")))
-    found = rows(diagnoses, 1, F.col("rank"), zero, F.struct(
-        "code", "proposal", "severity", "message", "root_cause", "suggestions", "cited", "confidence", "insufficient_info", "origin"))
+    head = _heads(artifacts, facts, redact)
+    head = rows(head, 0, zero, zero, F.struct(*[F.col("name").alias("artifact") if c == "name" else F.col(c) for c in _HEAD], "facts"))
+    found = rows(diagnoses, 1, F.col("rank"), zero, F.struct(*_DIAGNOSIS))
     cites = rows(evidence, 2, F.col("proposal"), F.col("position"), F.struct("code", "proposal", "position", F.col("id").alias("fact")))
-    seen = rows(facts, 3, F.col("seq"), zero, F.struct("id", "kind", "summary", "source", "excerpt", typed_payload(F.col("data")).alias("data")))
+    seen = rows(facts, 3, F.col("seq"), zero, _fact())
     return head.unionByName(found).unionByName(cites).unionByName(seen)

@@ -61,7 +61,8 @@ def profile_rollup(cube: DataFrame) -> DataFrame:
     of its trace.
 
     ``level`` is ``op``, ``provider`` or ``trace``. All levels come from one pass
-    over the cube by grouping sets, so nothing is computed twice.
+    over the cube by grouping sets, so nothing is computed twice. ``by_provider`` is
+    null but for ``trace``.
     """
     sets = [["artifact", "op", "node"], ["artifact", "node"], ["artifact", "provider"]]
     slow = F.max(F.struct("longest", "node", "op", "provider"))
@@ -73,20 +74,16 @@ def profile_rollup(cube: DataFrame) -> DataFrame:
     rows = parts.groupBy("artifact", "level", "item").agg(
         F.sum("us").alias("us"), F.sum("calls").alias("calls"), F.count(F.lit(1)).alias("nodes"),
         F.max("calls").alias("most_calls"), F.min("first_idx").alias("first_idx"), F.max("slowest").alias("slowest"))
-    whole = Window.partitionBy("artifact")
-    is_trace = F.col("level") == "trace"
-
-    def of_trace(col: str) -> Column:
-        return F.max(F.when(is_trace, F.col(col))).over(whole)
-
-    on_provider = F.col("level") == "provider"
-    return rows.select(
-        "*", of_trace("us").alias("total_us"), of_trace("nodes").alias("unique_nodes"),
-        of_trace("most_calls").alias("iterations"), of_trace("calls").alias("events"),
-        F.count_if(F.col("level") == "op").over(whole).alias("op_types"),
-        F.count_if(on_provider).over(whole).alias("provider_count"),
-        F.coalesce(F.sum(F.when(on_provider & (F.col("item") == CPU), F.col("us"))).over(whole), F.lit(0)).alias("cpu_us"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(on_provider, F.struct("item", "us"))).over(whole))).alias("by_provider"))
+    is_trace, is_op, on_provider = (F.col("level") == x for x in ("trace", "op", "provider"))
+    # Totals are one row per trace; operators get theirs by a join, and the list of
+    # providers stays with the trace's own row.
+    totals = rows.groupBy("artifact").agg(
+        *[F.max(F.when(is_trace, F.col(c))).alias(name) for c, name in (("us", "total_us"), ("nodes", "unique_nodes"), ("most_calls", "iterations"), ("calls", "events"))],
+        F.count_if(is_op).alias("op_types"), F.count_if(on_provider).alias("provider_count"),
+        F.coalesce(F.sum(F.when(on_provider & (F.col("item") == CPU), F.col("us"))), F.lit(0)).alias("cpu_us"),
+        F.array_sort(F.collect_list(F.when(on_provider, F.struct("item", "us")))).alias("providers"))
+    joined = rows.join(totals, "artifact")
+    return joined.withColumn("by_provider", F.map_from_entries(F.when(is_trace, F.col("providers")))).drop("providers")
 
 
 def _entry(**values: Column) -> Column:

@@ -13,7 +13,8 @@ from faultscope.operators.traces import trace_facts
 from faultscope.operators.verdicts import verdicts
 from faultscope.schema import SUGGESTION
 from faultscope.sources.artifacts import explode_lines, sidecar_labels
-from faultscope.staging import stage
+from faultscope.sources.report_files import read_documents, write_documents
+from faultscope.staging import new_path, stage
 from faultscope.workload.extraction import EXPECTED_DERIVED, derived_rules
 from faultscope.workload.registry import flat_map, QUERIES, query, table
 from faultscope.workload.relations import BOOK, _HOSTS, hosts
@@ -24,8 +25,9 @@ def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, evidence and diagnoses of ``V_LOG``; facts and evidence are stored tables."""
     facts = log_facts(spark, sf_dir)
     fired = stage(match_rules(artifact_profile(facts, BOOK), BOOK), "fired")
-    evidence = stage(gather_evidence(cited_facts(facts, fired, BOOK)), "evidence")
-    return facts, evidence, diagnose(facts, BOOK, fired, evidence)
+    cited = stage(cited_facts(facts, fired, BOOK), "cited")
+    evidence = stage(gather_evidence(cited), "evidence")
+    return facts, evidence, diagnose(facts, BOOK, fired, evidence, cited=cited)
 
 
 def _every_fact(spark, sf_dir) -> DataFrame:
@@ -363,11 +365,14 @@ def j8_union_diagnoses(spark, sf_dir):
     return merged.select("family", "artifact", "code", "rank", "origin")
 
 
-@query("s7_report_json", with_rules(f"""
+_REPORTS = with_rules(f"""
 , t as (select a, count(*) as facts from f group by a), cc as (select a, count(*) as cited from ev group by a),
 dx as (select a, count(*) as n, array_to_string(list(code order by rank), ',') as codes from fired group by a)
 select g.family, g.artifact, coalesce(dx.n, 0) as diagnostics, coalesce(dx.codes, '') as codes, coalesce(cc.cited, 0) as cited, coalesce(t.facts, 0) as facts
-from {ARTIFACTS} g left join t on t.a = g.a left join cc on cc.a = g.a left join dx on dx.a = g.a"""))
+from {ARTIFACTS} g left join t on t.a = g.a left join cc on cc.a = g.a left join dx on dx.a = g.a""")
+
+
+@query("s7_report_json", _REPORTS)
 def s7_report_json(spark, sf_dir):
     """The lines, read back by a JSON parser: header, diagnostics by rank, citations, facts."""
     facts, evidence, found = _run(spark, sf_dir)
@@ -382,3 +387,18 @@ def s7_report_json(spark, sf_dir):
     return doc.groupBy("family", "artifact").agg(
         in_section(1, "code").alias("diagnostics"), F.array_join(codes, ",").alias("codes"),
         in_section(2, "fact").alias("cited"), in_section(3, "id").alias("facts"))
+
+
+@query("s7_report_documents", _REPORTS)
+def s7_report_documents(spark, sf_dir):
+    """One JSON document per artifact, written by many tasks, read back by a JSON parser."""
+    facts, evidence, found = _run(spark, sf_dir)
+    masked = stage(report.redact_facts(facts), "masked")
+    fragments = report.report_fragments(v_log(spark, sf_dir), masked, stage(found, "diagnoses"), evidence)
+    manifest = write_documents(fragments, new_path(spark, "reports"))
+    schema = """backend string, artifact string, schemaVersion int, redacted boolean, secretsDetected array<string>,
+        diagnostics array<struct<code string, evidence array<string>>>, facts array<struct<id string, kind string, data map<string, variant>>>"""
+    doc = read_documents(manifest).withColumn("d", F.from_json("document", schema, {"mode": "FAILFAST"}))
+    return doc.where("d.schemaVersion = 1 and d.redacted").select(
+        F.col("d.backend").alias("family"), F.col("d.artifact").alias("artifact"), F.size("d.diagnostics").alias("diagnostics"),
+        F.array_join("d.diagnostics.code", ",").alias("codes"), F.size(F.flatten("d.diagnostics.evidence")).alias("cited"), F.size("d.facts").alias("facts"))

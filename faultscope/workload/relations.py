@@ -355,5 +355,7 @@ join (select a, code, count(*) as n, array_to_string(list(concat('f', seq) order
 where ev.position = 1"""))
 def r7_diagnose(spark, sf_dir):
     facts = log_facts(spark, sf_dir)
-    found = diagnose(facts, BOOK, stage(_fired(facts), "fired"))
+    fired = stage(_fired(facts), "fired")
+    cited = stage(cited_facts(facts, fired, BOOK), "cited")
+    found = diagnose(facts, BOOK, fired, stage(gather_evidence(cited), "evidence"), cited=cited)
     return found.drop("root_cause", "suggestions", "proposal").withColumn("shown", F.array_join("shown", ","))
