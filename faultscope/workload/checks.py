@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from faultscope.functions.vectors import compare_vectors
 from faultscope.operators import audit, grounding, report
-from faultscope.operators.compare import classify_hosts, run_pair_invariance
+from faultscope.operators.compare import class_agreement, class_pairs, classify_hosts, output_classes, run_pair_invariance, with_representatives
 from faultscope.operators.facts import number_facts, resolve_facts
 from faultscope.operators.rules import artifact_profile, cited_facts, diagnose, gather_evidence, match_rules
 from faultscope.operators.signatures import match_signatures
@@ -79,6 +79,42 @@ def c3_baseline_pairs(spark, sf_dir):
         F.count(F.lit(1)).alias("pairs"), F.countDistinct("baseline_host").alias("baselines"))
 
 
+_OUTPUTS = f"""
+with h as ({_HOSTS}),
+o as (select distinct host, concat('model-', s_nationkey % 3) as model, concat('in-', s_suppkey % 2) as inputs, concat('out-', s_suppkey % 7) as output,
+        machine in ('x86_64', 'AMD64') and flags in ('avx2 fma', 'avx512f') as suitable from h),
+p as (select r.model, r.inputs, r.host, r.output, b.host as baseline_host, b.output as baseline_output
+      from o r join o b on r.model = b.model and r.inputs = b.inputs and r.host <> b.host where b.suitable)"""
+
+
+def _shared_outputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Runs of few models on many hosts with seven different outputs, and the hosts' verdicts."""
+    h = hosts(spark, sf_dir)
+    runs = h.select("host", F.concat(F.lit("model-"), F.col("s_nationkey") % 3).alias("model"), F.lit("plain").alias("variant"),
+                    F.concat(F.lit("in-"), F.col("s_suppkey") % 2).alias("inputs"), F.concat(F.lit("out-"), F.col("s_suppkey") % 7).alias("output"))
+    return runs, classify_hosts(h.select("host", "machine", "flags"))
+
+
+@query("c3_output_classes", _OUTPUTS + """
+select model, inputs, count(*) as pairs, count(*) filter (output = baseline_output) as agree, count(*) filter (output <> baseline_output) as differ from p group by all""")
+def c3_output_classes(spark, sf_dir):
+    """Agreement of all pairs of hosts, counted from the sizes of classes of equal outputs."""
+    runs, verdict = _shared_outputs(spark, sf_dir)
+    return class_agreement(output_classes(runs, verdict)).where("pairs > 0").select("model", "inputs", "pairs", "agree", "differ")
+
+
+@query("j7_class_pairs", _OUTPUTS + """
+, least as (select model, inputs, output, min(host) as representative, min(host) filter (suitable) as baseline_representative from o group by all)
+select p.model, p.inputs, p.output, p.baseline_output, count(*) as pairs, any_value(l.representative) as representative, any_value(b.baseline_representative) as baseline_representative
+from p join least l on l.model = p.model and l.inputs = p.inputs and l.output = p.output
+  join least b on b.model = p.model and b.inputs = p.inputs and b.output = p.baseline_output group by p.model, p.inputs, p.output, p.baseline_output""")
+def j7_class_pairs(spark, sf_dir):
+    """Outputs against outputs of suitable hosts, one row for all host pairs of two classes."""
+    runs, verdict = _shared_outputs(spark, sf_dir)
+    classes = stage(with_representatives(output_classes(runs, verdict), runs, verdict), "output-classes")
+    return class_pairs(classes).drop("variant")
+
+
 _PAIRS = "(select concat('log-', a, '.log') as l, concat('log-', a + 4, '.log') as r from (select distinct a from b) where a % 8 = 1)"
 
 
