@@ -1,11 +1,13 @@
 """Raw facts to numbered facts: block context, ids, citations, sentences."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope.families import FAMILIES
 from faultscope.families import profile
-from faultscope.families.base import sentence
+from faultscope.families.base import Family, sentence
 from faultscope.functions.sql import literal
 from faultscope.schema import FACTS, KEY
 
@@ -15,9 +17,9 @@ def citation(artifact: Column, anchor: Column) -> Column:
     return F.concat_ws(":", artifact, anchor.cast("string"))
 
 
-def summary_text() -> Column:
+def summary_text(families: Sequence[Family] | None = None) -> Column:
     """The sentence of a fact, from its ``family``, ``kind`` and ``data``."""
-    tables = {**{f.name: f.summaries for f in FAMILIES.values()}, profile.NAME: profile.SUMMARIES}
+    tables = {f.name: f.summaries for f in families} if families else {**{f.name: f.summaries for f in FAMILIES.values()}, profile.NAME: profile.SUMMARIES}
     branches = []
     for name, sentences in tables.items():
         inner = " ".join(f"when {literal(k)} then {sentence(t, 'data')}" for k, t in sentences.items())
@@ -25,32 +27,34 @@ def summary_text() -> Column:
     return F.expr(f"case family {' '.join(branches)} end")
 
 
-def as_facts(df: DataFrame, anchor: Column) -> DataFrame:
+def as_facts(df: DataFrame, anchor: Column, families: Sequence[Family] | None = None) -> DataFrame:
     """Put numbered rows into the facts schema."""
     return df.select(
         *KEY, F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("f"), F.col("seq")).alias("id"), "kind",
-        summary_text().alias("summary"),
+        summary_text(families).alias("summary"),
         citation(F.col("artifact"), anchor).alias("source"), "excerpt", "data")
 
 
-def _context(of) -> Column:
+def _context(families: Sequence[Family], of) -> Column:
     """A column that differs per family with block context, null elsewhere."""
     out = F.lit(None)
-    for f in FAMILIES.values():
+    for f in families:
         if f.context:
             out = F.when(F.col("family") == f.name, of(f.context)).otherwise(out)
     return out
 
 
-def resolve_facts(raw: DataFrame) -> DataFrame:
+def resolve_facts(raw: DataFrame, families: Sequence[Family] | None = None) -> DataFrame:
     """Line facts with their block's context and their number.
 
     Context and numbering share one sliced pass: a slice knows its own last
     heading and how many of its facts hang on a heading of an earlier slice;
     both travel in one frame row per slice. ``raw`` is read twice, so stage it.
+    ``families`` are those of the package unless given.
     """
-    opened = _context(lambda c: F.when(F.col("kind").isin(*c.opens), F.col("data")[c.key]))
-    hangs = F.coalesce(_context(lambda c: F.col("kind").isin(*c.takes) if c.required else F.lit(False)), F.lit(False))
+    families = families or list(FAMILIES.values())
+    opened = _context(families, lambda c: F.when(F.col("kind").isin(*c.opens), F.col("data")[c.key]))
+    hangs = F.coalesce(_context(families, lambda c: F.col("kind").isin(*c.takes) if c.required else F.lit(False)), F.lit(False))
     parts = [*KEY, "slice"]
     here = Window.partitionBy(*parts).orderBy("lineno", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,14 +73,14 @@ def resolve_facts(raw: DataFrame) -> DataFrame:
               .select(*parts, "_carry", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     carried = F.col("_carry").isNotNull()
     context = F.coalesce("_here", "_carry")
-    takes = F.coalesce(_context(lambda c: F.lit(True) if c.takes is None else F.col("kind").isin(*c.takes)), F.lit(False))
+    takes = F.coalesce(_context(families, lambda c: F.lit(True) if c.takes is None else F.col("kind").isin(*c.takes)), F.lit(False))
 
     def with_context(key: str) -> Column:
         return F.when(takes & context.isNotNull() & ~F.map_contains_key("data", key),
                       F.map_concat("data", F.create_map(F.lit(key), context))).otherwise(F.col("data"))
 
     data = F.col("data")
-    for f in FAMILIES.values():
+    for f in families:
         if f.context:
             data = F.when(F.col("family") == f.name, with_context(f.context.key)).otherwise(data)
     return (local.join(frames, parts)
@@ -85,6 +89,6 @@ def resolve_facts(raw: DataFrame) -> DataFrame:
             .select(*KEY, "seq", "lineno", "ordinal", "kind", "excerpt", data.alias("data")))
 
 
-def number_facts(resolved: DataFrame) -> DataFrame:
+def number_facts(resolved: DataFrame, families: Sequence[Family] | None = None) -> DataFrame:
     """Resolved line facts in the facts schema."""
-    return as_facts(resolved, F.col("lineno")).select(*FACTS.fieldNames())
+    return as_facts(resolved, F.col("lineno"), families).select(*FACTS.fieldNames())

@@ -3,13 +3,18 @@
 ``#`` stands for the number of an event, in the line and in what must come of it.
 """
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultscope.families.table import compile_families, family_named, read_signatures
 from faultscope.functions.sql import literal
+from faultscope.operators.facts import number_facts, resolve_facts
 from faultscope.operators.signatures import match_signatures
+from faultscope.staging import new_path, stage
 from faultscope.workload.registry import flat_map, query
-from faultscope.workload.views import BASE, duck, table
+from faultscope.workload.views import BASE, duck, table, v_log, with_lines
 
 # family, line, [(kind, payload in key order)]
 SAMPLES = [
@@ -92,3 +97,36 @@ def x2_every_signature(spark, sf_dir):
     """All signatures of all families, one line in {_N} each, and lines that say nothing."""
     raw = match_signatures(sample_lines(spark, sf_dir))
     return raw.select("family", F.substring("artifact", 5, 20).cast("bigint").alias("a"), "lineno", "kind", flat_map("data").alias("payload"))
+
+
+def _row(ord_: int, kind: str, template: str, summary: str, *fields: tuple, **more) -> dict:
+    return {"family": "polygraphy", "ord": ord_, "kind": kind, "template": template, "summary": summary,
+            "fields": [{"key": k, "place": n, "as": taken} for k, n, taken in fields], **more}
+
+
+_NAMED = [("outputs", 1, "names"), ("count", 1, "size"), ("first_output", 1, "first")]
+
+#: The comparison family as rows of a table.
+TABLE = [
+    _row(1, "output_mismatch", "FAILED | Output: <quoted> | Difference exceeds tolerance (rel=<value>, abs=<value>)", "'{output}' differs",
+         ("output", 1, "text"), ("rtol", 2, "text"), ("atol", 3, "text"), context={"key": "output", "opens": ["compared_output"], "takes": None, "required": False}),
+    _row(2, "mismatched_outputs", "FAILED | Mismatched outputs: [<list>]", "{count} differ", *_NAMED),
+    _row(3, "all_outputs_matched", "PASSED | All outputs matched | Outputs: [<list>]", "All {count} agree", *_NAMED),
+    _row(4, "required_tolerance", "Minimum Required Tolerance: <name> error | [abs=<value>] OR [rel=<value>]", "{req_abs} needed", ("stat", 1, "text"), ("req_abs", 2, "text"), ("req_rel", 3, "text")),
+    _row(5, "compared_output", "Comparing Output: <quoted> (dtype=<value>, shape=(<dims>))", "'{output}' compared", ("output", 1, "text"), ("dtype", 2, "text"), ("shape", 3, "text")),
+]
+
+
+@query("x11_family_from_table", with_lines("""
+select artifact, seq, kind, payload, case kind when 'output_mismatch' then concat('''t', k, ''' differs') when 'mismatched_outputs' then '2 differ'
+  when 'all_outputs_matched' then 'All 1 agree' when 'required_tolerance' then concat('0.', k, ' needed') else concat('''t', k, ''' compared') end as summary
+from n where family = 'polygraphy'"""))
+def x11_family_from_table(spark, sf_dir):
+    """A family read from JSON lines: its matching, headings, numbers and sentences."""
+    folder = new_path(spark, "signatures")
+    rows = spark.createDataFrame([(json.dumps(r),) for r in TABLE] + [("{broken",)], "value string")
+    rows.write.text(folder)
+    family = family_named(compile_families(read_signatures(spark, folder)), "polygraphy")
+    raw = match_signatures(v_log(spark, sf_dir), [family])
+    facts = resolve_facts(stage(raw, "raw-facts"), [family])
+    return number_facts(facts, [family]).select("artifact", "seq", "kind", flat_map("data").alias("payload"), "summary")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultscope.plans.diagnosis import diagnose_lines
+from faultscope.plans.standing import Standing
 from faultscope.sources.artifacts import list_artifacts, read_lines, read_sidecars
 from faultscope.sources.rulebook import Rulebook
 from faultscope.sources.traces import read_trace_documents, read_trace_lines, type_events
@@ -10,7 +11,7 @@ from faultscope.staging import new_path, stage
 from faultscope.streaming.lines import stream_facts
 from faultscope.streaming.stateful import LINES, diagnose_lines_stream, streamed
 from faultscope.workload.registry import flat_map, query, table
-from faultscope.workload.views import ARTIFACTS, V_LOG, with_facts, with_lines, with_rules
+from faultscope.workload.views import ARTIFACTS, V_LOG, log_facts, v_log, with_facts, with_lines, with_rules
 
 
 @query("s5_sidecars_from_files", """
@@ -148,9 +149,33 @@ def t2_stream_numbered_facts(spark, sf_dir):
     return facts.select("family", "artifact", "seq", "kind", F.regexp_extract("source", r":(\d+)$", 1).cast("bigint").alias("lineno"), flat_map("data").alias("payload"))
 
 
-@query("t2_stream_verdicts", with_rules(f"""
+_VERDICTS = with_rules(f"""
 select g.family, g.artifact, cast(case when bool_or(fired.severity = 'error') then 2 when bool_or(fired.severity = 'warning') then 3 else 0 end as int) as exit_code
-from {ARTIFACTS} g left join fired on fired.a = g.a group by g.family, g.artifact"""))
+from {ARTIFACTS} g left join fired on fired.a = g.a group by g.family, g.artifact""")
+
+
+@query("t2_stream_verdicts", _VERDICTS)
 def t2_stream_verdicts(spark, sf_dir):
     """Verdicts of a stream cut at arbitrary places, also of artifacts without facts."""
     return _streamed(spark, sf_dir, "verdicts")
+
+
+def _standing(spark, sf_dir) -> Standing:
+    """Facts in three batches that cut every artifact, last ones first."""
+    facts = log_facts(spark, sf_dir)
+    standing = Standing(spark, new_path(spark, "standing"))
+    for part in (2, 0, 1):
+        standing.add(facts.where(F.col("seq") % 3 == part), v_log(spark, sf_dir).select("family", "artifact"))
+    return standing
+
+
+@query("a13_standing_verdicts", _VERDICTS)
+def a13_standing_verdicts(spark, sf_dir):
+    """Verdicts kept up to date over three batches."""
+    return _standing(spark, sf_dir).verdicts()
+
+
+@query("a13_standing_firsts", with_facts("select family, artifact, kind, concat('f', min(seq)) as id, count(distinct kind) as kinds from f group by family, artifact, kind"))
+def a13_standing_firsts(spark, sf_dir):
+    """The first fact of every kind, whatever batch brought it."""
+    return _standing(spark, sf_dir).firsts().groupBy("family", "artifact", "kind").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("kinds"))
