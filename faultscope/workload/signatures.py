@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from faultscope.families.table import compile_families, family_named, read_signatures
 from faultscope.functions.sql import literal
 from faultscope.operators.facts import number_facts, resolve_facts
+from faultscope.operators.rules import artifact_profile, match_rules
 from faultscope.operators.signatures import match_signatures
+from faultscope.plans.diagnosis import line_facts
+from faultscope.sources.rulebook import Rulebook
 from faultscope.staging import new_path, stage
 from faultscope.workload.registry import flat_map, query
 from faultscope.workload.views import BASE, duck, table, v_log, with_lines
@@ -78,13 +81,15 @@ _EXPECTED = ", ".join(f"({i}, {o}, {literal(kind)}, {'null' if payload is None e
 _FAMILY = "[" + ", ".join(f"'{f}'" for f, _, _ in SAMPLES) + "]"
 
 
-def sample_lines(spark, sf_dir) -> DataFrame:
-    """``(family, artifact, lineno, line)``: an event's number picks the line and fills it."""
+def sample_lines(spark, sf_dir, number=None, together: int = 1) -> DataFrame:
+    """``(family, artifact, lineno, line)``: an event's number picks the line and fills it, unless
+    another ``number`` does; an artifact has four lines for each of ``together``."""
     base = spark.sql(BASE, events=table(spark, sf_dir, "events"))
     at = (F.col("k") + F.col("a") + F.col("lineno")) % _N + 1
     pick = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in SAMPLES]), at.cast("int"))
-    return base.select(pick(0).alias("family"), F.concat(F.lit("log-"), "a").alias("artifact"), "lineno",
-                       F.replace(pick(1), F.lit("#"), (F.col("k") + 1).cast("string")).alias("line"))
+    number = F.col("k") + 1 if number is None else number
+    return base.select(pick(0).alias("family"), F.concat(F.lit("log-"), F.floor(F.col("a") / together)).alias("artifact"), (F.col("a") % together * 4 + F.col("lineno")).alias("lineno"),
+                       F.replace(pick(1), F.lit("#"), number.cast("string")).alias("line"))
 
 
 @query("x2_every_signature", f"""
@@ -99,6 +104,24 @@ def x2_every_signature(spark, sf_dir):
     return raw.select("family", F.substring("artifact", 5, 20).cast("bigint").alias("a"), "lineno", "kind", flat_map("data").alias("payload"))
 
 
+@query("r3_every_family", f"""
+with b as ({duck(BASE)}), p as (select a // 4 as g, k % 3 + 1 as n, (k + a + lineno) % {_N} as i from b),
+x(i, o, kind, payload) as (values {_EXPECTED}),
+f as (select ({_FAMILY})[p.i + 1] as family, g, kind, n from p join x on p.i = x.i),
+kinds as (select family, g, list(distinct kind) as kinds from f group by all),
+r(family, code, req, absent) as (values ('tensorrt', 'ED0103', 'parse_error_node', []::varchar[]), ('tensorrt', 'ED0105', 'plugin_not_found', []), ('polygraphy', 'ED0203', 'nan_detected', []),
+  ('polygraphy', 'ED0204', 'shape_mismatch', []), ('onnxruntime', 'ED0304', 'session_failed', []),
+  ('onnxruntime', 'ED0305', 'all_nodes_one_provider', ['provider_unavailable', 'session_failed']))
+select k.family, concat('log-', k.g) as artifact, r.code from kinds k join r on r.family = k.family
+where list_contains(k.kinds, r.req) and not list_has_any(k.kinds, r.absent)
+  and (r.code <> 'ED0305' or exists (select 1 from f where f.family = k.family and f.g = k.g and f.kind = 'provider_capability' and f.n <= 1))""")
+def r3_every_family(spark, sf_dir):
+    """The rules that the logs of the other queries never fire."""
+    facts = stage(line_facts(sample_lines(spark, sf_dir, F.col("k") % 3 + 1, 4)), "facts")
+    book = Rulebook.builtin()
+    return match_rules(artifact_profile(facts, book), book).where(F.col("code").isin("ED0103", "ED0105", "ED0203", "ED0204", "ED0304", "ED0305")).select("family", "artifact", "code")
+
+
 def _row(ord_: int, kind: str, template: str, summary: str, *fields: tuple, **more) -> dict:
     return {"family": "polygraphy", "ord": ord_, "kind": kind, "template": template, "summary": summary,
             "fields": [{"key": k, "place": n, "as": taken} for k, n, taken in fields], **more}

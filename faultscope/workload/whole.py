@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultscope.plans.diagnosis import diagnose_lines
+from faultscope.plans.diagnosis import all_facts, diagnose_lines, run_diagnosis
 from faultscope.plans.standing import Standing
 from faultscope.sources.artifacts import list_artifacts, read_lines, read_sidecars
 from faultscope.sources.rulebook import Rulebook
@@ -11,7 +11,7 @@ from faultscope.staging import new_path, stage
 from faultscope.streaming.lines import stream_facts
 from faultscope.streaming.stateful import LINES, diagnose_lines_stream, streamed
 from faultscope.workload.registry import flat_map, query, table
-from faultscope.workload.views import ARTIFACTS, V_LOG, log_facts, v_log, with_facts, with_lines, with_rules
+from faultscope.workload.views import ARTIFACTS, EXPECTED_RULES, EXPECTED_TRACE, V_LOG, log_facts, v_log, v_trace, with_facts, with_lines, with_rules
 
 
 @query("s5_sidecars_from_files", """
@@ -179,3 +179,18 @@ def a13_standing_verdicts(spark, sf_dir):
 def a13_standing_firsts(spark, sf_dir):
     """The first fact of every kind, whatever batch brought it."""
     return _standing(spark, sf_dir).firsts().groupBy("family", "artifact", "kind").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("kinds"))
+
+
+@query("run_logs_and_traces", f"""
+with {EXPECTED_RULES}, {EXPECTED_TRACE},
+tops as (select artifact, max(us) as top from cost group by artifact),
+k as (select artifact, total, cpu, providers, iterations from total join iter using (artifact))
+select g.family, g.artifact, cast(case when bool_or(fired.severity = 'error') then 2 when bool_or(fired.severity = 'warning') then 3 else 0 end as int) as exit_code
+from {ARTIFACTS} g left join fired on fired.a = g.a group by g.family, g.artifact
+union all select 'ort_profile', artifact, case when iterations < 3 or (providers > 1 and round(cpu / total * 100, 2) >= 10) then 3 else 0 end from k""")
+def run_logs_and_traces(spark, sf_dir):
+    """Logs of four families and traces in one run, from lines and events to verdicts."""
+    lines, events = v_log(spark, sf_dir), stage(v_trace(spark, sf_dir), "trace-events")
+    artifacts = lines.select("family", "artifact").unionByName(events.where("cat = 'Node'").select(F.lit("ort_profile").alias("family"), "artifact"))
+    run = run_diagnosis(artifacts, all_facts(lines, events, staged=True))
+    return run.verdicts
