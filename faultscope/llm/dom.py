@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -40,6 +41,7 @@ for _k, _names in enumerate(TOKENS.values()):
 HASHED = 16
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WHITE = re.compile(r"\s+")
+_UNENDED = re.compile(r"<[A-Za-z/!?]")
 
 
 @dataclass
@@ -70,12 +72,16 @@ class _Reader(HTMLParser):
         #: How many of each name are among them.
         self.hidden: dict[str, int] = {}
         self.links = 0
-        #: How many of each name are open: most end tags and implied ends need no search.
+        #: How many of each name are open, and where: no end tag needs a search.
         self.count: dict[str, int] = {"html": 1}
+        self.at: dict[str, list[int]] = {}
 
     def _close(self, at: int) -> None:
         for name, node in self.open[at:]:
             self.count[name] -= 1
+            places = self.at[name]
+            if places and places[-1] >= at:
+                del places[bisect_left(places, at):]
             self.links -= name == "a"
             if node != self.open[at - 1][1] and self.nodes[node].tag == name:
                 above = self.nodes[self.nodes[node].parent]
@@ -95,12 +101,10 @@ class _Reader(HTMLParser):
         return any(self.count.get(x) for x in FOREIGN)
 
     def _last(self, names, stop=frozenset()) -> int:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] in names:
-                return at
-            if self.open[at][0] in stop:
-                return 0
-        return 0
+        """Place of the last open element of these names, 0 when one of ``stop`` lies behind it."""
+        last = max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+        barrier = max((self.at[x][-1] for x in stop if self.at.get(x)), default=0)
+        return last if last >= barrier else 0
 
     def handle_starttag(self, tag, attrs):
         if self.unseen:
@@ -148,6 +152,7 @@ class _Reader(HTMLParser):
                 above.parts.append(None)
             above.parts.append(node)
             self.nodes.append(Node(tag, here, above.depth + 1, tokens, marked))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, node))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.links += tag == "a"
@@ -195,8 +200,10 @@ def read_page(html: str) -> list[Node]:
     """Nodes of a page in document order; parents come before their children."""
     reader = _Reader()
     reader.feed(html)
-    if reader.rawdata.startswith("<!"):
-        reader.rawdata = ""  # a comment that never ends
+    # What is left begins with a tag or comment that never ends: nothing of it is shown, and
+    # the parser would try it again from every "<" in it.
+    if _UNENDED.match(reader.rawdata):
+        reader.rawdata = ""
     reader.close()
     return reader.nodes
 

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.llm.common import bounded_sample, slices
+from faultscope.llm.common import slices
 from faultscope.llm.dom import Node, blocks_of, features, read_page
+from faultscope.staging import stage
 
 #: Pages that the trees are fitted on, at most about so many, and layouts composed of each.
 SAMPLE, LAYOUTS = 300, 4
@@ -121,21 +122,31 @@ def compose(blocks: list[str], others: list[str], rng: np.random.Generator) -> s
     return f"<html><body>{_box(rng, 'page wrapper site', page) if chance() < 0.3 else page}</body></html>"
 
 
-def training_rows(pages: list[str], seeds: list[int], layouts: int = LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of pages and of the layouts composed of them."""
-    read = [read_page(p) for p in pages]
-    labels = [seed_labels(nodes) for nodes in read]
-    texts = [blocks_of(nodes, keep) if keep is not None else [] for nodes, keep in zip(read, labels)]
+def article_blocks(page: str) -> list[str]:
+    """Blocks of the article of a page that marks it, else none."""
+    nodes = read_page(page)
+    keep = seed_labels(nodes)
+    return [] if keep is None else blocks_of(nodes, keep)
+
+
+def training_rows(page: str, seed: int, others: list[tuple[int, str]], layouts: int = LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes of a page and of the layouts composed of it.
+
+    ``others`` are (seed, block) of any pages; what a page takes of them depends on its own
+    seed alone, so neighbours in a batch or file have no say.
+    """
+    nodes = read_page(page)
+    keep = seed_labels(nodes)
+    text = [] if keep is None else blocks_of(nodes, keep)
     made_x, made_y = [np.zeros((0, features(read_page("")).shape[1]), np.float32)], [np.zeros(0, bool)]
-    for k, (nodes, keep, seed) in enumerate(zip(read, labels, seeds)):
-        if keep is None or not texts[k]:
-            continue
+    if text:
         made_x.append(features(nodes))
         made_y.append(keep)
         rng = np.random.default_rng(seed & 0x7FFFFFFF)
-        others = [b for t in texts[max(0, k - 3):k] + texts[k + 1:k + 4] for b in t if len(b) < 2000][:40]
+        foreign = [b for s, b in others if s != seed]
+        foreign = [foreign[k] for k in rng.permutation(len(foreign))[:40]]
         for _ in range(layouts):
-            page = read_page(compose(texts[k], others, rng))
+            page = read_page(compose(text, foreign, rng))
             made_x.append(features(page))
             made_y.append(seed_labels(page))
     return np.concatenate(made_x), np.concatenate(made_y)
@@ -229,15 +240,28 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
 
 
 def train(pages: DataFrame, limit: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> Boosted:
-    """Trees fitted on about ``limit`` pages. Tasks make the rows, the driver fits them."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).where("html is not null")
-    chosen = bounded_sample(rows, "page_id", limit).withColumn("seed", F.xxhash64("page_id"))
+    """Trees fitted on ``limit`` different pages, those of the smallest hashes of id and html.
+    Tasks make the rows, the driver fits them; the order and layout of the table have no say."""
+    rows = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col), F.col(html_col)).alias("seed")).where("html is not null")
+    # A table of ``limit`` numbers, however many rows repeat a page.
+    least = rows.select("seed").distinct().orderBy("seed").limit(limit)
+    chosen = stage(rows.join(F.broadcast(least), "seed").groupBy("seed").agg(F.min("html").alias("html")), "training-pages")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seed, html in zip(batch.column("seed").to_pylist(), batch.column("html").to_pylist()):
+                short = [b for b in article_blocks(html) if len(b) < 2000][:3]
+                yield pa.RecordBatch.from_arrays([pa.array([seed] * len(short), pa.int64()), pa.array(short, pa.string())], names=["seed", "block"])
+
+    # Three short blocks a page at most.
+    others = sorted((r.seed, r.block) for r in chosen.select("seed", "html").mapInArrow(cut, "seed long, block string").collect())
+    shared = pages.sparkSession.sparkContext.broadcast(others)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", STEP):
-                x, y = training_rows(part.column("html").to_pylist(), part.column("seed").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("seed").slice(0, 1), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["seed", "x", "y"])
+            for seed, html in zip(batch.column("seed").to_pylist(), batch.column("html").to_pylist()):
+                x, y = training_rows(html, seed, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["seed", "x", "y"])
 
     got = chosen.select("seed", "html").mapInArrow(make, "seed long, x binary, y binary").toArrow().sort_by("seed")
     y = np.frombuffer(b"".join(got["y"].to_pylist()), bool)

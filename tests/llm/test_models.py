@@ -164,3 +164,10 @@ def test_pages_of_the_edge(spark):
     assert {(1, ""), (2, "")} <= got and html_main.extract_main_text(pages).count() == 5
     assert html_main.extract_main_text(pages.limit(0)).count() == 0
     assert {r.text for r in html_main.extract_main_text(pages.where("page_id = 3")).collect()} == {"only text"}
+
+
+def test_training_pages_do_not_depend_on_the_layout(spark):
+    pages = table(spark, SF, "pages")
+    models = [html_main.train(p, 40) for p in (pages, pages.repartition(1), pages.repartition(7).unionByName(pages.where("page_id % 3 = 0")))]
+    for other in models[1:]:
+        assert all(np.array_equal(getattr(models[0], name), getattr(other, name)) for name in ("feature", "threshold", "leaf")) and models[0].base == other.base
