@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from faultscope.functions.text import LINE_BREAK, split_lines
 from faultscope.staging import stage
 
-# Block rows, some hundred bytes each, up to which they are sent to every task.
-BROADCAST_BLOCKS = 200_000
-
 
 def list_artifacts(spark: SparkSession, paths: str | list[str], family: str) -> DataFrame:
     """``(family, artifact)`` of all files, empty ones too; no content is read.
@@ -45,8 +42,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], family: str) -> Data
     A whole file must fit one row there (2 GB); here a file is read block by block on
     many tasks. Row ids are consecutive inside a block, so a line's number is its id
     less the block's first id plus the lines of the blocks before. The numbers of the
-    blocks are found in a first pass and written; while they are few enough they are
-    broadcast and the text is not shuffled. Blocks that hold a rarer line break (form
+    blocks are found in a first pass and written; Spark sends them to every task as long as
+    that table is small, and then the text is not shuffled. Blocks that hold a rarer line break (form
     feed, NEL and the like) are numbered by a window, one block at a time; the pass
     over them is left out when there is none.
     """
@@ -59,9 +56,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], family: str) -> Data
     blocks = (rows.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum(F.size("_parts")).alias("_lines"))
               .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))))
     blocks = stage(blocks, "blocks")
-    few = blocks.count() <= BROADCAST_BLOCKS
     even = blocks.where("_rows = _lines")
-    plain = rows.join(F.broadcast(even) if few else even, block).select(
+    plain = rows.join(even, block).select(
         "family", "artifact", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("lineno"), F.col("_parts")[0].alias("line"))
     if blocks.where("_rows <> _lines").isEmpty():
         return plain
