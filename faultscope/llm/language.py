@@ -27,9 +27,10 @@ TOP = 400
 ORDER = 3
 UNKNOWN = "und"
 STEP = 1 << 20
-#: Ids of 8 bytes up to which the chosen rows are sent to every task, else joined by shuffle.
-BROADCAST_IDS = 200_000
-_BITS = 13
+#: Bits of a letter, enough for every code point; three letters fit a long.
+_BITS = 21
+#: Bits of a key of text number and n-gram.
+_ROOM = 62
 _EDGE = 32
 #: Sharpness of the score: log odds per unit of distance over the largest possible.
 _SHARP = 40.0
@@ -37,22 +38,36 @@ _SHARP = 40.0
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Symbol of every code point: itself for letters (folded into 13 bits), else a blank."""
+    """Symbol of every code point: itself for letters, else a blank."""
     points = np.arange(0x110000)
     is_letter = np.fromiter((chr(c).isalpha() for c in points.tolist()), bool, len(points))
-    half = 1 << (_BITS - 1)
-    folded = np.where(points < half, points, half + points % half)
-    return np.where(is_letter, folded, _EDGE).astype(np.int64)
+    return np.where(is_letter, points, _EDGE).astype(np.int64)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, n-gram, count) of every text, sorted by text and n-gram."""
+    """(text number, n-gram, count) of every text, sorted by text and n-gram.
+
+    Inside, letters are numbered by the alphabet of these texts, so that a text's number and
+    an n-gram share one sortable key; texts of an alphabet too large for that are halved.
+    """
     lowered = [f" {t.lower()} " for t in texts]
     symbols = _letters()[np.frombuffer("".join(lowered).encode("utf-32-le"), "<u4")]
+    seen = np.zeros(0x110000, bool)
+    seen[symbols] = True
+    # Number 0 stands for no letter at all, as in the short n-grams.
+    alphabet = np.concatenate(([0], np.flatnonzero(seen)))
+    bits = len(alphabet).bit_length()
+    if ORDER * bits + len(texts).bit_length() > _ROOM and len(texts) > 1:
+        half = len(texts) // 2
+        left, right = grams(texts[:half]), grams(texts[half:])
+        return np.concatenate((left[0], right[0] + half)), np.concatenate((left[1], right[1])), np.concatenate((left[2], right[2]))
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet[1:]] = np.arange(1, len(alphabet))
+    symbols, edge = number[symbols], number[_EDGE]
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
     # Runs of blanks count as one edge.
     keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != _EDGE) | (symbols[:-1] != _EDGE) | (doc[1:] != doc[:-1])
+    keep[1:] = (symbols[1:] != edge) | (symbols[:-1] != edge) | (doc[1:] != doc[:-1])
     symbols, doc = symbols[keep], doc[keep]
     keys = []
     for n in range(1, ORDER + 1):
@@ -60,18 +75,21 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         parts = [symbols[k:len(symbols) - n + 1 + k] for k in range(n)]
         good = doc[:len(doc) - n + 1] == doc[n - 1:]
-        good &= parts[0] != _EDGE if n == 1 else (parts[0] != _EDGE) | (parts[1] != _EDGE)
+        good &= parts[0] != edge if n == 1 else (parts[0] != edge) | (parts[1] != edge)
         for middle in parts[1:-1]:
-            good &= middle != _EDGE
+            good &= middle != edge
         code = parts[0]
         for part in parts[1:]:
-            code = code << _BITS | part
-        keys.append((doc[:len(doc) - n + 1] << ORDER * _BITS | code)[good])
+            code = code << bits | part
+        keys.append((doc[:len(doc) - n + 1] << ORDER * bits | code)[good])
     key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     first = np.flatnonzero(np.diff(key, prepend=-1))
     count = np.diff(np.append(first, len(key)))
     key = key[first]
-    return key >> ORDER * _BITS, key & (1 << ORDER * _BITS) - 1, count
+    gram = np.zeros(len(key), np.int64)
+    for k in range(ORDER - 1, -1, -1):
+        gram = gram << _BITS | alphabet[key >> k * bits & (1 << bits) - 1]
+    return key >> ORDER * bits, gram, count
 
 
 @dataclass
@@ -120,16 +138,17 @@ def learn(docs: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col
     share = narrow.groupBy("lang").agg((limit / F.count("*")).alias("share"))
     ids = narrow.join(share, "lang").where(F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id"), 33) < F.col("share") * (1 << 31))
     ids = stage(ids.select(F.col("doc_id").alias("__id")).distinct(), "profile-ids")
-    few = ids.count() <= BROADCAST_IDS
-    chosen = known.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    chosen = known.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", STEP):
                 names, number = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
                 doc, gram, n = grams(part.column("text").to_pylist())
-                key, place = np.unique(number[doc] << ORDER * _BITS | gram, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[key >> ORDER * _BITS].tolist(), pa.string()), pa.array(key & (1 << ORDER * _BITS) - 1), pa.array(np.bincount(place, weights=n).astype(np.int64))], names=["lang", "gram", "n"])
+                different, at = np.unique(gram, return_inverse=True)
+                key, place = np.unique(number[doc] * len(different) + at, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[key // max(1, len(different))].tolist(), pa.string()), pa.array(different[key % max(1, len(different))]),
+                                                  pa.array(np.bincount(place, weights=n).astype(np.int64))], names=["lang", "gram", "n"])
 
     total = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")

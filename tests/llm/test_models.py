@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from faultscope.llm import html_main, language, quality_classifier, quality_rules
 from faultscope.llm.dom import blocks_of, read_page
 from faultscope.llm.queries import QUERIES, table
+from tests.llm.conftest import DOCS
 
 SF = os.environ.get("FAULTSCOPE_TEST_SF_LLM", "/root/testdata/sf0.01")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -171,3 +172,46 @@ def test_training_pages_do_not_depend_on_the_layout(spark):
     models = [html_main.train(p, 40) for p in (pages, pages.repartition(1), pages.repartition(7).unionByName(pages.where("page_id % 3 = 0")))]
     for other in models[1:]:
         assert all(np.array_equal(getattr(models[0], name), getattr(other, name)) for name in ("feature", "threshold", "leaf")) and models[0].base == other.base
+
+
+def plain_grams(text):
+    """N-grams of one to three letters, an edge as a blank, counted one by one."""
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    line = re.sub(" +", " ", line)
+    found = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(line) - n + 1):
+            piece = line[k:k + n]
+            if piece[0] == " " and (n == 1 or piece[1] == " ") or " " in piece[1:-1]:
+                continue
+            found[piece] += 1
+    return found
+
+
+def test_grams_keep_letters_of_every_script_apart(monkeypatch):
+    rnd = random.Random(2)
+    letters = "abé ,ΔжабAहिन्दी한국어日本語漢字かなカナ你好世界\U00020000\U0001f600\U0001e900 "
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(50)] + ["", "语" * 3 + "語" * 3]
+
+    def got(texts):
+        out = [Counter() for _ in texts]
+        for d, g, n in zip(*(x.tolist() for x in language.grams(texts))):
+            piece = "".join(chr(g >> k * 21 & 0x1FFFFF) for k in (2, 1, 0) if g >> k * 21 & 0x1FFFFF)
+            out[d][piece] += n
+        return out
+
+    want = [plain_grams(t) for t in texts]
+    assert got(texts) == want
+    # An alphabet that leaves no room for the number of a text beside its n-grams.
+    monkeypatch.setattr(language, "_ROOM", 50)
+    wide = ["".join(chr(c) for c in range(0x4E00 + 700 * k, 0x4E00 + 700 * (k + 1))) for k in range(29)] * 200
+    assert got(wide)[::29][:3] == [plain_grams(wide[0])] * 3
+
+
+def test_languages_of_other_scripts(spark):
+    """Chinese and Japanese of letters that differ in their upper bits alone."""
+    rnd = random.Random(5)
+    alphabets = {"x": [chr(0x5000 + k) for k in range(40)], "y": [chr(0x6000 + k) for k in range(40)]}
+    rows = [(k, " ".join("".join(rnd.choice(alphabets[lang]) for _ in range(4)) for _ in range(30)), lang, None, 0) for k, lang in enumerate("xy" * 100)]
+    found = language.identify_languages(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in found) and any(r.held_out for r in found)
