@@ -37,7 +37,7 @@ FRAME = 256 << 10
 SHARD_BYTES = 64 << 20
 END_ID = 2
 #: Distinct pieces that a worker keeps before the table starts anew beside the old one.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Text bytes encoded at once.
 STEP = 2 << 20
 #: New pieces that the library encodes in one text.
@@ -210,7 +210,8 @@ class Encoder:
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
         known, old = self.known.get, self.old.get
-        found, gaps, new = [], [], {}
+        # Gaps are three lists side by side: a tuple for each would keep the garbage collector busy.
+        found, new, where, places, pieces = [], {}, [], [], []
         for text in texts:
             cut = self.pieces(text)
             ids = list(map(known, cut))
@@ -220,12 +221,14 @@ class Encoder:
                     ids[k] = old(piece)
                     if ids[k] is None:
                         new[piece] = None
-                        gaps.append((ids, k, piece))
+                        where.append(ids)
+                        places.append(k)
+                        pieces.append(piece)
                     else:
                         self.known[piece] = ids[k]
             found.append(ids)
         self._learn(list(new))
-        for ids, k, piece in gaps:
+        for ids, k, piece in zip(where, places, pieces):
             ids[k] = self.known[piece]
         return list(map(b"".join, found))
 
