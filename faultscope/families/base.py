@@ -65,6 +65,13 @@ class Signature:
         return f"case when not ({self._fill(self.unless, line)}) then {one} end" if self.unless else one
 
 
+# Names in quotes of their own kind, with commas between. A name is passed over whole, so a
+# list without an end costs no more than its length.
+_ITEM = "(?:'[^']*+'|\"[^\"]*+\"|`[^`]*+`)"
+_LIST = rf"((?:\s{{0,16}}{_ITEM}\s{{0,16}},?)*+)"
+#: SQL of the names of a ``<list>`` that is group 1: without their quotes, none empty.
+LISTED = f"filter(transform(regexp_extract_all({{1}}, {regex(_ITEM)}, 0), n -> substr(n, 2, length(n) - 2)), n -> n <> '')"
+
 # What the places of a line template stand for. Places with a group hold a value; the others
 # are the room that formats leave between words. A run that could be tried again from every
 # position is bounded.
@@ -72,7 +79,7 @@ _PLACES = {
     "int": r"(\d{1,64})", "signed": r"(-?\d{1,64})", "tactic": r"(0x\p{XDigit}{1,32}|\d{1,64})", "decimal": r"(\d{1,32}(?:\.\d{0,32})?)",
     "version": r"(\d{1,9}(?:\.\d{1,9}){0,7})", "bits": r"(?:0x(\p{XDigit}{1,32})|(\d{1,32}))(?!\w)",
     "name": r"(\w{1,128})", "path": r"([\w./-]{1,512})", "word": r"(\S{1,512})", "last": r"(\S++)", "code": r"([A-Z][0-9A-Z_]{1,63})", "outcome": r"(FAILED|PASSED)",
-    "value": r"([^\s,;()\[\]%]{1,128})", "label": r"([^:]{1,512})", "inner": r"([^\]\)\"']{1,512})", "dims": r"([^()]{0,512})", "list": r"(.*)", "rest": r"(.+)$", "text": r"(.{1,512}?)",
+    "value": r"([^\s,;()\[\]%]{1,128})", "label": r"([^:]{1,512})", "inner": r"([^\]\)\"']{1,512})", "dims": r"([^()]{0,512})", "list": _LIST, "rest": r"(.+)$", "text": r"(.{1,512}?)",
     "quoted": "['\"`]([^'\"`]{1,1024})['\"`]", "apostrophes": r"'([^']{0,4096})'",
     "blank": r"\s{0,16}", "gap": r"[:\s]{1,16}", "eq": r"\s{0,16}=\s{0,16}", "end": r"\s*$",
 }

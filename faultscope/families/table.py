@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultscope.families.base import _PLACE, Context, Family, Field, line
+from faultscope.families.base import _PLACE, Context, Family, Field, line, LISTED
 from faultscope.functions.numbers import whole_number_sql
 from faultscope.functions.sql import literal
 
@@ -27,12 +27,16 @@ SIGNATURE = T.StructType([
 
 #: Places without a value, and those with two.
 _ROOM, _TWO = ("blank", "gap", "eq", "end"), ("bits",)
-_LIST = "filter(transform(split({%d}, ','), n -> btrim(n, ' \\t\\'\"`')), n -> n <> '')"
+
+
+def _names(place: int) -> str:
+    return LISTED.replace("{1}", "{%d}" % place)
+
 
 #: How the text of a place becomes a payload value.
 _TAKEN = {
-    "text": lambda n: n, "trimmed": None, "count": lambda n: whole_number_sql("{%d}" % n), "names": lambda n: f"to_json({_LIST % n})",
-    "size": lambda n: f"size({_LIST % n})", "first": lambda n: f"try_element_at({_LIST % n}, 1)",
+    "text": lambda n: n, "trimmed": None, "count": lambda n: whole_number_sql("{%d}" % n), "names": lambda n: f"to_json({_names(n)})",
+    "size": lambda n: f"size({_names(n)})", "first": lambda n: f"try_element_at({_names(n)}, 1)",
 }
 #: A probe shorter than this would let almost every line through to the pattern.
 LEAST_PROBE = 4

@@ -34,9 +34,9 @@ def test_a_table_compiles_to_a_family(spark, tmp_path):
             signature(ord=3, kind="trim", template="word of <last>", summary="t", fields=[{"key": "w", "place": 1, "as": "trimmed", "trim": "().'"}])]
     (tmp_path / "t.json").write_text("\n".join(map(json.dumps, rows)) + "\n[1]\n{no\n")
     families = compile_families(read_signatures(spark, str(tmp_path)))
-    lines = spark.createDataFrame([("f", "a", n, t) for n, t in enumerate(["the value is 0042!", "names: ['p', q]", "word of ('x.y')", "nothing"], 1)], "family string, artifact string, lineno long, line string")
+    lines = spark.createDataFrame([("f", "a", n, t) for n, t in enumerate(["the value is 0042!", "names: ['p', \"it's, q\"]", "word of ('x.y')", "nothing"], 1)], "family string, artifact string, lineno long, line string")
     got = {r.lineno: (r.kind, r.data) for r in match_signatures(lines, [family_named(families, "f")]).collect()}
-    assert got == {1: ("k", {"n": "42"}), 2: ("list", {"a": '["p","q"]', "n": "2", "x": "p"}), 3: ("trim", {"w": "x.y"})}
+    assert got == {1: ("k", {"n": "42"}), 2: ("list", {"a": '["p","it\'s, q"]', "n": "2", "x": "p"}), 3: ("trim", {"w": "x.y"})}
     with pytest.raises(ValueError, match="there are: f"):
         family_named(families, "g")
     from pyspark.sql import functions as F

@@ -120,3 +120,16 @@ def test_hostile_texts_are_no_facts_and_take_no_time(spark):
 def test_lines(spark, text, expected):
     df = spark.createDataFrame([("f", "a", text)], "family string, artifact string, text string")
     assert [(r.lineno, r.line) for r in explode_lines(df).collect()] == list(enumerate(expected, start=1))
+
+
+@pytest.mark.parametrize("family, piece", [("polygraphy", "FAILED | Mismatched outputs: ["), ("polygraphy", "FAILED | Mismatched outputs: ['"), ("polygraphy", "PASSED | All outputs matched | Outputs: ['a', "),
+                                           ("tensorrt", "No importer registered for op: "), ("onnxruntime", "Load model "), ("raspberrypi", "a invoked oom-killer: gfp_mask=0,")])
+def test_lines_that_never_end_take_linear_time(spark, family, piece):
+    def seconds(n):
+        row = [(family, "a", 1, piece * (n // len(piece)))]
+        start = time.perf_counter()
+        match_signatures(spark.createDataFrame(row, "family string, artifact string, lineno long, line string")).collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 5
