@@ -11,6 +11,7 @@ from faultscope.functions.numbers import div, ms_text, percent
 from faultscope.operators.facts import as_facts
 from faultscope.operators.ordered import SLICE, number_within
 from faultscope.schema import FACTS
+from faultscope.staging import stage
 
 # Two bigints in one decimal, so that "longest, then earliest" is a plain max.
 _HIGH = Decimal(10 ** 19)
@@ -74,6 +75,8 @@ def profile_rollup(cube: DataFrame) -> DataFrame:
     rows = parts.groupBy("artifact", "level", "item").agg(
         F.sum("us").alias("us"), F.sum("calls").alias("calls"), F.count(F.lit(1)).alias("nodes"),
         F.max("calls").alias("most_calls"), F.min("first_idx").alias("first_idx"), F.max("slowest").alias("slowest"))
+    # Few rows, read twice: for the totals and beside them.
+    rows = stage(rows, "trace-rollup")
     is_trace, is_op, on_provider = (F.col("level") == x for x in ("trace", "op", "provider"))
     # Totals are one row per trace; operators get theirs by a join, and the list of
     # providers stays with the trace's own row.
