@@ -86,6 +86,21 @@ def test_twenty_thousand_conditions_on_one_hot_kind(spark):
     assert looked == kinds.where("kind <> 'hot' and kind <> 'k400'").count() * 50 < 30 * 20_000 / 4
 
 
+def test_rules_of_the_same_kinds_are_looked_at_once(spark):
+    """Artifacts meet premises; rules are told apart where they fire, by their own conditions."""
+    rnd = random.Random(10)
+    facts = [fact(f"a{a}", s, f"k{rnd.randint(0, 3)}", {rnd.choice("xy"): str(rnd.randint(0, 50))}) for a in range(20) for s in range(1, 6)]
+    sets = [(["k0", "k1"], ["k3"]), (["k1", "k0"], ["k3"]), (["k2"], []), (["k2", "k1"], ["k0"])]
+    rules = [rule(k, *sets[k % 4], [("k1", "x", float(k % 40), None), ("k2", "y", None, float(k % 13))][: k % 3]) for k in range(400)]
+    frame = spark.createDataFrame(facts, FACTS)
+    usable = rule_match.usable_rules(Rulebook.of(spark.createDataFrame(rules, RULES)))
+    premises, by_premise = rule_match.premises(usable)
+    assert premises.count() == 3 and by_premise.count() == 400
+    assert rule_match.candidates(frame.select("family", "artifact", "kind").distinct(), premises).count() <= 3 * 20
+    want = brute(facts, rules)
+    assert fired(spark, facts, rules) == want and len(want) > 400
+
+
 def test_counts_over_many_slices(spark):
     rows = [(f"k{n % 3}", float(n * 7 % 101), n % 2) for n in range(101)]
     got = running_count(spark.createDataFrame(rows, "key string, at double, one int"), ["key"], "at", "one", "n", bits=2).collect()
