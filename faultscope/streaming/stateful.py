@@ -41,6 +41,13 @@ _OUT = T.StructType([T.StructField("what", T.StringType()), T.StructField("famil
                      T.StructField("kinds", _WORDS), T.StructField("met", _WORDS)])
 
 
+# Spark hands rows to a processor value by value and takes a batch per artifact back: a row
+# is one JSON text on either way.
+_PACKED = T.StructType([T.StructField("out", T.StringType())])
+_ENTRY = ("lineno", "ordinal", "kind", "excerpt", "data", "end", "ms", "kinds", "met")
+_ABSENT = dict.fromkeys(_ENTRY)
+
+
 def _plain(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
@@ -100,7 +107,13 @@ def _taken(context: Context | None, heading: str | None, kind: str, data: dict)
 
 
 class ArtifactState(StatefulProcessor):
-    """State and output of one artifact. ``idle`` are milliseconds of event time."""
+    """State and output of one artifact. ``idle`` are milliseconds of event time.
+
+    Every call of the handle or of a state is a round trip to the JVM, and most artifacts
+    bring a few lines to a batch: so the state says itself when its timer is due (``timer``)
+    and when the artifact is (``due``). A timer stays while lines move ``due`` on; when it
+    fires too early, one for the rest follows.
+    """
 
     def __init__(self, contexts: dict[str, Context | None], idle: int):
         self.contexts, self.idle = contexts, idle
@@ -114,17 +127,19 @@ class ArtifactState(StatefulProcessor):
         pass
 
     def _load(self) -> dict:
-        if self.state.exists():
-            return json.loads(self.state.get()[0])
-        return {"at": [0, -1], "heading": None, "seq": 0, "done": False, "kinds": [], "met": [], "session": {}}
+        stored = self.state.get()
+        if stored is not None:
+            return json.loads(stored[0])
+        return {"timer": None, "due": None, "at": [0, -1], "heading": None, "seq": 0, "done": False, "kinds": [], "met": [], "session": {}}
 
     def _out(self, key, what: str, **values) -> Row:
-        return Row(**{f: {"what": what, "family": key[0], "artifact": key[1]}.get(f, values.get(f)) for f in _OUT.fieldNames()})
+        return Row(out=_plain({"what": what, "family": key[0], "artifact": key[1], **values}))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state, latest, ended = self._load(), 0, False
+        state, latest = self._load(), 0
+        was_done = state["done"]
         place = lambda r: (r["lineno"], -1 if r["ordinal"] is None else r["ordinal"])
-        batch = list(rows)
+        batch = [{**_ABSENT, **json.loads(r["entry"])} for r in rows]
         for r in sorted((r for r in batch if not r["end"]), key=place):
             latest = max(latest, r["ms"])
             if state["done"] or list(place(r)) <= state["at"]:
@@ -149,26 +164,41 @@ class ArtifactState(StatefulProcessor):
         if ended and not state["done"]:
             yield from self._finish(key, state)
         elif not state["done"] and latest:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(latest + self.idle)
-        self.state.update((json.dumps(state),))
+            state["due"] = latest + self.idle
+            if state["timer"] is None or state["due"] < state["timer"]:
+                self._set_timer(state)
+        if not was_done:
+            self.state.update((json.dumps(state),))
+
+    def _set_timer(self, state: dict) -> None:
+        if state["timer"] is not None:
+            self.handle.deleteTimer(state["timer"])
+        self.handle.registerTimer(state["due"])
+        state["timer"] = state["due"]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
-        if not state["done"]:
+        if state["done"]:
+            return
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if fired < state["due"] and timerValues.getCurrentWatermarkInMs() <= state["due"]:
+            state["timer"] = None
+            self._set_timer(state)
+        else:
             yield from self._finish(key, state)
-            self.state.update((json.dumps(state),))
+        self.state.update((json.dumps(state),))
 
     def _finish(self, key, state: dict) -> Iterator[Row]:
         """Derived facts and the masks; what stays is that the artifact is done."""
-        ops = [k[0] for k in self.ops.keys()]
+        nodes = state["session"].get("nodes")
+        ops = [k[0] for k in self.ops.keys()] if nodes else []
         for kind, lineno, excerpt, data in Session.derived(state["session"], ops):
             state["seq"] += 1
             yield self._out(key, "derived", seq=state["seq"], lineno=lineno, kind=kind, excerpt=excerpt, data={k: v for k, v in data.items() if v is not None})
         yield self._out(key, "done", seq=state["seq"], kinds=state["kinds"], met=state["met"])
         state.update(done=True, session={}, heading=None)
-        self.ops.clear()
+        if nodes:
+            self.ops.clear()
 
 
 def observations(lines: DataFrame, book: Rulebook) -> DataFrame:
@@ -209,10 +239,11 @@ def diagnose_lines_stream(lines: DataFrame, out: str, checkpoint: str, idle_ms:
             raise ValueError(f"{rule['id']}: a condition on a block's heading can't be judged line by line")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = observations(lines.withWatermark("at", lateness), book)
-    states = rows.groupBy(*KEY).transformWithState(ArtifactState(contexts, idle_ms), _OUT, "Append", "EventTime")
+    entries = rows.select(*KEY, "at", F.to_json(F.struct(*_ENTRY), {"ignoreNullFields": "false"}).alias("entry"))
+    states = entries.groupBy(*KEY).transformWithState(ArtifactState(contexts, idle_ms), _PACKED, "Append", "EventTime")
 
     def work(batch: DataFrame, epoch: int) -> None:
-        batch = stage(batch, "stream-batch")
+        batch = stage(batch.select(F.inline(F.array(F.from_json("out", _OUT, {"mode": "FAILFAST"})))), "stream-batch")
         found = as_facts(batch.where("what in ('fact', 'derived')"), F.col("lineno"))
         done = batch.where("what = 'done'")
         fired = match_rules(_combined(done, as_facts(batch.where("what = 'derived'"), F.col("lineno")), book), book)

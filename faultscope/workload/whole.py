@@ -123,6 +123,10 @@ def t1_stream_facts(spark, sf_dir):
     return spark.read.schema(facts.schema).parquet(out).select("family", "artifact", "lineno", "kind")
 
 
+# Files of one batch of a stream.
+_FILES = 24
+
+
 def _streamed(spark, sf_dir, name: str):
     """The log lines of ``events`` arrive in four parts that are cut inside an artifact; then
     every artifact ends. Returns one table of the stream's results."""
@@ -135,9 +139,14 @@ def _streamed(spark, sf_dir, name: str):
     cuts = [-1, most // 4 + 2, most // 2 + 1, 3 * most // 4 + 3, most]
     stop = lines.groupBy("family", "artifact").agg(F.max("lineno").alias("lineno")).select(
         "family", "artifact", "lineno", F.lit(None).cast("string").alias("line"), F.timestamp_seconds(F.lit(most + 4)).alias("at"), F.lit(True).alias("end"))
+    # A batch is one part, in as many files as tasks write and read it: a row of no family in each
+    # of them, which the stream passes over, so that no file is missing.
+    file = F.pmod(F.xxhash64("family", "artifact"), F.lit(_FILES)).cast("int").alias("file")
+    filler = spark.range(_FILES).select(*[F.lit(None).cast(t.dataType).alias(t.name) for t in LINES if t.name != "at"], F.timestamp_seconds(F.lit(0)).alias("at"), F.col("id").cast("int").alias("file"))
     for k, part in enumerate([*[lines.where((place > a) & (place <= b)) for a, b in zip(cuts, cuts[1:])], stop]):
-        part.coalesce(1).write.mode("append").parquet(f"{source}/part={k}")
-    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).option("basePath", source).parquet(f"{source}/part=*")
+        rows = part.select("*", file).unionByName(filler).repartitionById(_FILES, "file").drop("file")
+        rows.write.mode("append").parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", _FILES).option("basePath", source).parquet(f"{source}/part=*")
     diagnose_lines_stream(stream.select(*LINES.fieldNames()), out, new_path(spark, "stream-state"), availableNow=True).awaitTermination()
     return streamed(spark, out, name)
 
