@@ -41,14 +41,14 @@ def _evidence(facts: DataFrame) -> DataFrame:
 @query("j1_rules_by_artifact", with_rules("select kinds.family, kinds.artifact, r.code from kinds join r on r.family = kinds.family and list_has_any(kinds.kinds, r.req)"))
 def j1_rules_by_artifact(spark, sf_dir):
     """Every rule of the family against every artifact: the pairs that share a kind."""
-    profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
+    profile = artifact_profile(log_facts(spark, sf_dir, staged=False), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need")
     return profile.join(rules, "family").where(meets("kinds", "need")).select("family", "artifact", "code")
 
 
 @query("j2_requires_all", with_rules("select kinds.family, kinds.artifact, r.code from kinds join r on r.family = kinds.family where list_has_all(kinds.kinds, r.req)"))
 def j2_requires_all(spark, sf_dir):
-    profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
+    profile = artifact_profile(log_facts(spark, sf_dir, staged=False), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need")
     return (profile.join(rules, "family").where(asks("need") & covers("kinds", "need"))
             .select("family", "artifact", "code"))
@@ -59,7 +59,7 @@ select kinds.family, kinds.artifact, r.code from kinds join r on r.family = kind
 where list_has_all(kinds.kinds, r.req) and list_has_any(kinds.kinds, r.absent)"""))
 def j3_absent_any(spark, sf_dir):
     """Rules that would fire but for a forbidden kind."""
-    profile = artifact_profile(log_facts(spark, sf_dir), BOOK)
+    profile = artifact_profile(log_facts(spark, sf_dir, staged=False), BOOK)
     rules = BOOK.table(spark).select("family", F.col("id").alias("code"), "need", "bar")
     has = covers("kinds", "need")
     return (profile.join(rules, "family").where(asks("need") & has & meets("kinds", "bar"))

@@ -96,10 +96,12 @@ def resolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_facts(stage(match_signatures(v_log(spark, sf_dir)), "raw-facts"))
 
 
-def log_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of ``V_LOG``, staged because rules read them several times."""
+def log_facts(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
+    """All facts of ``V_LOG``, staged because rules read them several times. What reads them
+    once, and few of their columns, takes them unstaged."""
     resolved = resolved_log(spark, sf_dir)
-    return stage(number_facts(resolved).unionByName(derive_facts(resolved)), "facts")
+    facts = number_facts(resolved).unionByName(derive_facts(resolved))
+    return stage(facts, "facts") if staged else facts
 
 
 # ---------------------------------------------------------------- oracle texts
