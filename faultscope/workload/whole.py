@@ -199,7 +199,7 @@ from {ARTIFACTS} g left join fired on fired.a = g.a group by g.family, g.artifac
 union all select 'ort_profile', artifact, case when iterations < 3 or (providers > 1 and round(cpu / total * 100, 2) >= 10) then 3 else 0 end from k""")
 def run_logs_and_traces(spark, sf_dir):
     """Logs of four families and traces in one run, from lines and events to verdicts."""
-    lines, events = v_log(spark, sf_dir), stage(v_trace(spark, sf_dir), "trace-events")
+    lines, events = v_log(spark, sf_dir), v_trace(spark, sf_dir)
     artifacts = lines.select("family", "artifact").unionByName(events.where("cat = 'Node'").select(F.lit("ort_profile").alias("family"), "artifact"))
     run = run_diagnosis(artifacts, all_facts(lines, events, staged=True))
     return run.verdicts
