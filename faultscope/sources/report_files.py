@@ -9,9 +9,12 @@ where an element follows an element of the part before.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +32,10 @@ MANIFEST = T.StructType([T.StructField("family", T.StringType()), T.StructField(
 _DOCUMENT = T.StructType([T.StructField("family", T.StringType()), T.StructField("artifact", T.StringType()), T.StructField("document", T.StringType())])
 
 
+#: Files that a reader of documents keeps open, and characters that it hands on together.
+_FILES, _BATCH = 256, 1 << 22
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
@@ -70,15 +77,20 @@ def write_documents(fragments: DataFrame, folder: str) -> DataFrame:
     return stage(rows.mapInArrow(write, MANIFEST), "report-manifest")
 
 
-def document_pieces(parts: list[dict], piece: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of one document, piece by piece, from its manifest rows."""
+def _open_file(path: str) -> pa.NativeFile:
+    store, inner = _store(path)
+    return store.open_input_file(inner)
+
+
+def document_pieces(parts: list[dict], piece: int = 1 << 20, opened: Callable[[str], AbstractContextManager[pa.NativeFile]] = _open_file) -> Iterator[bytes]:
+    """The bytes of one document, piece by piece, from its manifest rows. ``opened`` gives the
+    file of a path; who reads many documents hands in one that keeps files open."""
     ends = False
     for part in sorted(parts, key=lambda p: p["part"]):
         if ends and part["opens"]:
             yield b","
         ends = part["ends"]
-        store, inner = _store(part["path"])
-        with store.open_input_file(inner) as source:
+        with opened(part["path"]) as source:
             source.seek(part["start"])
             left = part["length"]
             while left:
@@ -93,9 +105,23 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     kinds = to_arrow_schema(_DOCUMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A file holds the documents of a range of artifacts, and a task reads of every file:
+        # files stay open, the least used one is closed for the next. Documents leave together.
+        keep = functools.lru_cache(_FILES)(_open_file)
+        rows, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
         for batch in batches:
             for row in batch.to_pylist():
-                text = b"".join(document_pieces(row["parts"])).decode()
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row["family"], row["artifact"], text), kinds)], schema=kinds)
+                text = b"".join(document_pieces(row["parts"], opened=lambda path: contextlib.nullcontext(keep(path)))).decode()
+                if rows and (size + len(text) > _BATCH or len(rows) >= 10_000):
+                    yield packed()
+                    rows, size = [], 0
+                rows.append((row["family"], row["artifact"], text))
+                size += len(text)
+        if rows:
+            yield packed()
 
     return parts.mapInArrow(run, _DOCUMENT)
