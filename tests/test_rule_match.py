@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultscope.operators import rule_match
@@ -105,3 +106,43 @@ def test_counts_over_many_slices(spark):
     rows = [(f"k{n % 3}", float(n * 7 % 101), n % 2) for n in range(101)]
     got = running_count(spark.createDataFrame(rows, "key string, at double, one int"), ["key"], "at", "one", "n", bits=2).collect()
     assert all(r.n == sum(o for k, a, o in rows if k == r.key and a <= r.at) for r in got) and len(got) == 101
+
+
+def test_conditions_are_judged_before_rows_are_made(spark, monkeypatch):
+    """Masks of many chunks, spans and blocks; the step that makes the rows has no lambda left."""
+    monkeypatch.setattr(rule_match, "SPAN", 2)
+    monkeypatch.setattr(rule_match, "BLOCK", 0)
+    rnd = random.Random(11)
+    facts = [fact(f"a{a}", s, f"k{rnd.randint(0, 2)}", {rnd.choice("xy"): str(rnd.randint(0, 30))}) for a in range(25) for s in range(1, 5)]
+
+    def condition():
+        lo = rnd.choice([None, rnd.randint(0, 30)])
+        return rnd.choice(["k0", "k1", "k7"] + ["k0"] * 5), rnd.choice("xxxz"), lo, rnd.choice([None, (lo or 0) + rnd.randint(-2, 12)])
+    rules = [rule(k, ["k0"] if k % 3 else ["k0", "k1"], [], [tuple(float(v) if isinstance(v, int) else v for v in condition()) for _ in range(k % 4)]) for k in range(300)]
+    book = Rulebook.of(spark.createDataFrame(rules, RULES))
+    found = match_rules(artifact_profile(spark.createDataFrame(facts, FACTS), book), book)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    want = brute(facts, rules)
+    rows = found.collect()
+    assert len(rows) == len(want) > 400 and {(r.family, r.artifact, r.code, r.ord, r.facts) for r in rows} == want
+
+
+def test_masks_of_a_cell(monkeypatch):
+    monkeypatch.setattr(rule_match, "STEP", 7)
+    rnd = random.Random(12)
+    chunks = [(63 * c, [{"field": rnd.choice([5, 9, 1 << 40, -1]), "first": (lo := rnd.choice([-1, rnd.randint(1, 20)])), "last": rnd.choice([1 << 62, lo + rnd.randint(-1, 3)]), "bit": 1 << rnd.choice([0, 1, 62])}
+                        for _ in range(rnd.randint(1, 5))]) for c in (4, 0, 2, 1 << 35)]
+    asked = [(i << 20, [{"field": rnd.choice([5, 9, 1 << 40, 77]), "slot": rnd.randint(1, 20)} for _ in range(rnd.randint(0, 6))], rnd.sample([c for c, _ in chunks], rnd.randint(1, 4))) for i in range(200)]
+    point, ask = pa.struct([("field", pa.int64()), ("slot", pa.int64())]), pa.struct([(c, pa.int64()) for c in ("field", "first", "last", "bit")])
+    got = rule_match.judge(
+        pa.table({"id": [a for a, _, _ in asked], "points": pa.array([p for _, p, _ in asked], pa.list_(point)), "chunks": pa.array([c for *_, c in asked], pa.list_(pa.int64()))}),
+        pa.table({"chunk": [c for c, _ in chunks], "conditions": pa.array([c for _, c in chunks], pa.list_(ask))}))
+    want = {}
+    for i, points, mine in asked:
+        for c in mine:
+            conditions = dict(chunks)[c]
+            ok = [any(p["field"] == k["field"] and k["first"] <= p["slot"] <= k["last"] for p in points) for k in conditions]
+            mask = sum(b for b in {k["bit"] for k in conditions} if all(o for o, k in zip(ok, conditions, strict=True) if k["bit"] == b))
+            if mask:
+                want[i, c] = mask
+    assert {(r["id"], r["chunk"]): r["mask"] for r in got.to_pylist()} == want and len(want) > 20
